@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from squelch.functions.expr import let
+
 # Result-defining word lists, patterns and scores.
 CASUAL_TERMS = ["yeah", "yep", "nope", "okay", "ok", "sure", "thanks", "uh"]
 AIRLINES = ["united", "american", "delta", "southwest", "jetblue", "alaska", "spirit"]
@@ -62,11 +64,16 @@ def words(text: Column) -> Column:
 def contained(text: Column, terms: Sequence[str] | Column) -> Column:
     """Terms that occur in ``text`` as substrings, in list order."""
     pool = terms if isinstance(terms, Column) else literals(terms)
-    return F.filter(pool, lambda t: F.contains(text, t))
+    return let(text, lambda whole: F.filter(pool, lambda t: F.contains(whole, t)))
 
 
 def contains_any(text: Column, terms: Sequence[str]) -> Column:
-    return F.exists(literals(terms), lambda t: F.contains(text, t))
+    return let(text, lambda whole: F.exists(literals(terms), lambda t: F.contains(whole, t)))
+
+
+def strip(text: Column) -> Column:
+    """Without leading and trailing white space of any kind."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def mark_boundaries(text: Column) -> Column:
@@ -182,7 +189,8 @@ def numbers(text: Column, pattern: str = r"\d+") -> Column:
 def split_at_marker(text: Column, marker: str = UNKNOWN_MARKER) -> Column:
     """Non-empty trimmed pieces between markers."""
     return F.filter(
-        F.transform(F.split(text, re.escape(marker)), F.trim), lambda piece: piece != ""
+        F.transform(F.split(text, re.escape(marker)), lambda piece: strip(piece)),
+        lambda piece: piece != "",
     )
 
 
@@ -193,10 +201,12 @@ def without_marker(text: Column, marker: str = UNKNOWN_MARKER) -> Column:
 
 def mask_uncertain(word_list: Column, confidences: Column, cut: float) -> Column:
     """Replace every word whose aligned confidence is under ``cut`` by the unknown marker."""
-    return F.transform(
+    masked = F.zip_with(
         word_list,
-        lambda w, i: F.when(F.get(confidences, i) < cut, F.lit(UNKNOWN_MARKER)).otherwise(w),
+        confidences,
+        lambda w, c: F.when(c < cut, F.lit(UNKNOWN_MARKER)).otherwise(w),
     )
+    return F.slice(masked, 1, F.size(word_list))
 
 
 def replace_word(word_list: Column, index: Column, word: Column) -> Column:
@@ -218,20 +228,25 @@ def insert_word(word_list: Column, after: Column, word: Column | None = None) ->
 
 def swap_with_next(word_list: Column, index: Column) -> Column:
     """Swap a word with its right neighbour; unchanged when there is none."""
-    return F.transform(
+    return let(
         word_list,
-        lambda w, i: F.when((i == index) & (index + 1 < F.size(word_list)), F.get(word_list, i + 1))
-        .when((i == index + 1) & (index >= 0), F.get(word_list, i - 1))
-        .otherwise(w),
+        lambda ws: F.transform(
+            ws,
+            lambda w, i: F.when((i == index) & (index + 1 < F.size(ws)), F.get(ws, i + 1))
+            .when((i == index + 1) & (index >= 0), F.get(ws, i - 1))
+            .otherwise(w),
+        ),
     )
 
 
 def align_confidence(word_list: Column, confidences: Column) -> Column:
     """i-th word with the i-th confidence, null when the confidence list is shorter."""
-    return F.transform(
+    pairs = F.zip_with(
         word_list,
-        lambda w, i: F.struct(w.alias("word"), F.get(confidences, i).alias("confidence")),
+        confidences,
+        lambda w, c: F.struct(w.alias("word"), c.alias("confidence")),
     )
+    return F.slice(pairs, 1, F.size(word_list))
 
 
 def snippet(text: Column, length: int = 200, ellipsis: str = "") -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from squelch.functions.expr import let
+
 FRAME, HOP = 2048, 512
 
 
@@ -18,28 +20,34 @@ def frame_energies(samples: Column, frame: int = FRAME, hop: int = HOP) -> Colum
     When the hop divides the frame, every sample is squared once: hop blocks are summed first and
     a frame is the sum of its blocks.
     """
-    last = F.size(samples) - frame - 1
 
     def energy(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
 
-    if frame % hop == 0:
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(samples) - 1) / hop).cast("int")),
-            lambda b: energy(F.slice(samples, b * hop + 1, hop)),
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+    def frames(y: Column) -> Column:
+        starts = F.sequence(
+            F.lit(0), F.floor(F.greatest(F.size(y) - frame - 1, F.lit(0)) / hop).cast("int")
         )
-        frames = F.transform(
-            F.sequence(F.lit(0), F.floor(last / hop).cast("int")),
-            lambda i: F.aggregate(
-                F.slice(blocks, i + 1, frame // hop), F.lit(0.0), lambda acc, x: acc + x
-            ),
+        if frame % hop:
+            return F.transform(starts, lambda i: energy(F.slice(y, i * hop + 1, frame)))
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor(F.size(y) / hop).cast("int")),
+            lambda b: energy(F.slice(y, b * hop + 1, hop)),
         )
-    else:
-        frames = F.transform(
-            F.sequence(F.lit(0), F.floor(last / hop).cast("int")),
-            lambda i: energy(F.slice(samples, i * hop + 1, frame)),
+        return let(
+            blocks,
+            lambda bs: F.transform(starts, lambda i: total(F.slice(bs, i + 1, frame // hop))),
         )
-    return F.when(last >= 0, frames).otherwise(F.array().cast("array<double>"))
+
+    return let(
+        samples,
+        lambda y: F.when(F.size(y) > frame, frames(y)).otherwise(
+            F.array().cast("array<double>")
+        ),
+    )
 
 
 def mean(values: Column) -> Column:
@@ -49,20 +57,25 @@ def mean(values: Column) -> Column:
 
 def std(values: Column, average: Column) -> Column:
     """Population standard deviation around a known mean."""
-    squares = F.aggregate(
-        values, F.lit(0.0), lambda acc, x: acc + (x - average) * (x - average)
-    )
-    return F.when(F.size(values) > 0, F.sqrt(squares / F.greatest(F.size(values), F.lit(1))))
+
+    def squares(mu: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - mu) * (x - mu))
+
+    n = F.size(values)
+    return F.when(n > 0, F.sqrt(let(average, squares) / F.greatest(n, F.lit(1))))
 
 
 def percentile(values: Column, p: float) -> Column:
     """Linear interpolation between the two nearest ranks."""
-    ordered = F.sort_array(values)
-    rank = (F.size(values) - 1) * F.lit(p)
-    low = F.floor(rank).cast("int")
-    below = F.get(ordered, low)
-    above = F.coalesce(F.get(ordered, low + 1), below)
-    return below + (above - below) * (rank - low)
+
+    def at(ordered: Column) -> Column:
+        rank = (F.size(ordered) - 1) * F.lit(p)
+        low = F.floor(rank).cast("int")
+        below = F.get(ordered, low)
+        above = F.coalesce(F.get(ordered, low + 1), below)
+        return below + (above - below) * (rank - low)
+
+    return let(F.sort_array(values), at)
 
 
 def with_frame_features(
@@ -71,16 +84,16 @@ def with_frame_features(
     """Adds frame energies with their spike and drop shares, RMS variation, amplitude statistics."""
     e, m, s = F.col("energies"), F.col("energy_mean"), F.col("energy_std")
 
-    def share(test) -> Column:
-        hits = F.size(F.filter(e, test))
+    def share(limit: Column, test) -> Column:
+        hits = let(limit, lambda cut: F.size(F.filter(e, lambda x: test(x, cut))))
         return F.when(F.size(e) > 0, hits / F.greatest(F.size(e), F.lit(1))).otherwise(0.0)
 
     return (
         clips.withColumn("energies", frame_energies(F.col(samples), frame, hop))
         .withColumn("energy_mean", mean(e))
         .withColumn("energy_std", std(e, m))
-        .withColumn("spike_ratio", share(lambda x: x > m + s * 1.8))
-        .withColumn("drop_ratio", F.when(m > 0, share(lambda x: x < m - s * 1.5)).otherwise(0.0))
+        .withColumn("spike_ratio", share(m + s * 1.8, lambda x, cut: x > cut))
+        .withColumn("drop_ratio", F.when(m > 0, share(m - s * 1.5, lambda x, cut: x < cut)).otherwise(0.0))
         .withColumn("_rms", F.transform(e, lambda x: F.sqrt(x / frame)))
         .withColumn("_rms_mean", mean(F.col("_rms")))
         .withColumn(

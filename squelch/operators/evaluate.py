@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from squelch.functions import text
+from squelch.functions.expr import let
 
 # First code point of the stand-in alphabet; beyond it lie a million valid code points, more
 # distinct words than a pair can hold and still be compared in quadratic time.
@@ -17,11 +18,12 @@ _ALPHABET = 0x10000
 
 
 def _encode(words: Column, vocabulary: Column) -> Column:
-    def character(word: Column) -> Column:
-        code = F.array_position(vocabulary, word) + F.lit(_ALPHABET)
+    def character(known: Column, word: Column) -> Column:
+        code = F.array_position(known, word) + F.lit(_ALPHABET)
         return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
-    return F.array_join(F.transform(words, character), "")
+    encoded = let(vocabulary, lambda known: F.transform(words, lambda w: character(known, w)))
+    return F.array_join(encoded, "")
 
 
 def word_errors(

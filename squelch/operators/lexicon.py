@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squelch.functions import scoring, text
+from squelch.functions.expr import let
 
 MAX_INLINE_KEYWORDS = 5_000
 
@@ -114,8 +115,9 @@ def _hits(lexicon: Column, present) -> Column:
 
 def keyword_hits(lower_text: Column, cases: Sequence[dict]) -> Column:
     """Cases with a keyword contained anywhere in the text; confidence = matched / declared."""
-    hits = _hits(
-        _lexicon(cases, False, False), lambda k: F.contains(lower_text, k["word"])
+    hits = let(
+        lower_text,
+        lambda t: _hits(_lexicon(cases, False, False), lambda k: F.contains(t, k["word"])),
     )
     return F.transform(
         hits,
@@ -138,20 +140,24 @@ def boundary_hits(
     Stock phraseology is skipped. The text is tokenised and marked once per row.
     """
     lower = F.lower(F.coalesce(F.col(text_column), F.lit("")))
-    prepared = df.withColumn("_lower", lower).withColumn(
-        "_tokens", F.array_distinct(text.words(F.col("_lower")))
-    ).withColumn("_marked", text.mark_boundaries(F.col("_lower")))
+    forms = let(
+        lower,
+        lambda t: F.struct(
+            t.alias("lower"),
+            F.array_distinct(text.words(t)).alias("tokens"),
+            text.mark_boundaries(t).alias("marked"),
+        ),
+    )
 
-    def present(k: Column) -> Column:
+    def present(forms: Column, k: Column) -> Column:
         return (
-            F.when(k["phrase"], F.contains(F.col("_lower"), k["word"]))
-            .when(k["short"], F.array_contains(F.col("_tokens"), k["word"]))
-            .otherwise(F.contains(F.col("_marked"), k["marked"]))
+            F.when(k["phrase"], F.contains(forms["lower"], k["word"]))
+            .when(k["short"], F.array_contains(forms["tokens"], k["word"]))
+            .otherwise(F.contains(forms["marked"], k["marked"]))
         )
 
-    return prepared.withColumn(out, _hits(_lexicon(cases, True, True), present)).drop(
-        "_lower", "_tokens", "_marked"
-    )
+    lexicon = _lexicon(cases, True, True)
+    return df.withColumn(out, let(forms, lambda f: _hits(lexicon, lambda k: present(f, k))))
 
 
 def keyword_score(hits: Column) -> Column:
@@ -181,21 +187,21 @@ def match_ngrams(
     tokens = F.filter(
         F.split(F.lower(F.col(text_column)), rf"[^{text.WORD_CHARS}]+"), lambda w: w != ""
     )
-    size = F.size("_tokens")
-    grams = F.concat(
-        *[
-            F.when(
-                size >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))),
-                    lambda i, n=n: F.array_join(F.slice(F.col("_tokens"), i, n), " "),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in range(1, max_words + 1)
-        ]
+
+    def grams_of(words: Column, n: int) -> Column:
+        return F.when(
+            F.size(words) >= n,
+            F.transform(
+                F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))),
+                lambda i: F.array_join(F.slice(words, i, n), " "),
+            ),
+        ).otherwise(F.array().cast("array<string>"))
+
+    grams = let(
+        tokens, lambda ws: F.concat(*[grams_of(ws, n) for n in range(1, max_words + 1)])
     )
-    salt = F.pmod(F.xxhash64(id_column), F.lit(salts))
-    exploded = texts.select(id_column, tokens.alias("_tokens")).select(
+    salt = F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int")
+    exploded = texts.select(
         id_column, salt.alias("_salt"), F.explode(F.array_distinct(grams)).alias("_gram")
     )
     lexicon = keywords.select(
@@ -207,7 +213,7 @@ def match_ngrams(
             ),
             " ",
         ).alias("_gram"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint").alias("_salt"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
     )
     return exploded.join(lexicon, ["_gram", "_salt"]).select(id_column, "case_id", "keyword")
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from squelch.functions import text
+from squelch.functions.expr import let
 from squelch.operators import queues
 
 OUTPUTS = 3
@@ -28,17 +30,18 @@ def assemble_variations(
 
 def pad_variations(variations: Column, n: int = OUTPUTS) -> Column:
     """Exactly n variants: copies of the first, tagged duplicate, fill up; more are cut off."""
-    missing = F.greatest(F.lit(n) - F.size(variations), F.lit(0))
-    first = F.get(variations, F.lit(0))
-    copies = F.transform(
-        F.array_repeat(first, missing),
-        lambda v, i: v.withField(
-            "rank_position", (F.size(variations) + i + 1).cast("int")
+
+    def copies(present: Column) -> Column:
+        return F.transform(
+            F.array_repeat(
+                F.get(variations, F.lit(0)), F.greatest(F.lit(n) - present, F.lit(0))
+            ),
+            lambda v, i: v.withField("rank_position", (present + i + 1).cast("int"))
+            .withField("model", F.lit("duplicate"))
+            .withField("model_description", F.lit("Duplicate of first transcription")),
         )
-        .withField("model", F.lit("duplicate"))
-        .withField("model_description", F.lit("Duplicate of first transcription")),
-    )
-    return F.slice(F.concat(variations, copies), 1, n)
+
+    return F.slice(F.concat(variations, let(F.size(variations), copies)), 1, n)
 
 
 def uniqueness(variants: DataFrame, key: str, text_column: str) -> DataFrame:
@@ -48,7 +51,7 @@ def uniqueness(variants: DataFrame, key: str, text_column: str) -> DataFrame:
         variants.groupBy(key)
         .agg(
             F.count("*").alias("total_variants"),
-            F.countDistinct(F.trim(F.lower(F.col(text_column)))).alias("unique_texts"),
+            F.countDistinct(text.strip(F.lower(F.col(text_column)))).alias("unique_texts"),
         )
         .withColumn(
             "kind",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from squelch import schemas
 from squelch.functions import scoring, text
+from squelch.functions.expr import let
 
 SAMPLE_RATE = 16_000
 
@@ -68,7 +69,7 @@ def training_metadata(spark: SparkSession, path: str) -> DataFrame:
         .option("columnNameOfCorruptRecord", "_corrupt")
         .json(path)
     )
-    trimmed = F.trim("text")
+    trimmed = text.strip(F.col("text"))
     return (
         rows.withColumn(
             "problem",
@@ -244,7 +245,7 @@ def normalize_response_b(responses: DataFrame, column: str = "response") -> Data
     A list joins its texts; an object may bring timed chunks or words; without any the words come
     from the text. Missing or zero confidences become 1.0 or that of the text.
     """
-    is_list = F.trim(F.col(column)).startswith("[")
+    is_list = F.col(column).rlike(r"^\s*\[")
     parsed = responses.withColumn(
         "_l", F.when(is_list, F.from_json(column, f"array<{_ITEM_B}>"))
     ).withColumn("_o", F.when(~is_list, F.from_json(column, _RESPONSE_B)))
@@ -265,7 +266,7 @@ def normalize_response_b(responses: DataFrame, column: str = "response") -> Data
             name.alias("word"),
             F.coalesce(start, F.lit(0.0)).alias("start"),
             F.coalesce(end, F.lit(0.0)).alias("end"),
-            given(conf, F.col("confidence")).alias("confidence"),
+            conf.alias("confidence"),
         )
 
     chunks = F.transform(
@@ -290,11 +291,17 @@ def normalize_response_b(responses: DataFrame, column: str = "response") -> Data
     )
     timed = F.coalesce(chunks, listed)
     none = F.array().cast("array<struct<word:string,start:double,end:double,confidence:double>>")
-    words = (
+    untold = (
         F.when(F.coalesce(F.size(timed), F.lit(0)) > 0, timed)
         .when(F.coalesce(F.col("_raw"), F.lit("")) != "", made)
         .otherwise(none)
     )
+    words = let(
+        F.col("confidence"),
+        lambda default: F.transform(
+            untold, lambda w: w.withField("confidence", given(w["confidence"], default))
+        ),
+    )
     return (
         parsed.withColumn("_raw", raw)
         .withColumn("confidence", confidence)
@@ -302,7 +309,7 @@ def normalize_response_b(responses: DataFrame, column: str = "response") -> Data
         .select(
             *responses.columns,
             F.when(F.col("_raw").isNull(), "unexpected format").alias("error"),
-            F.trim("_raw").alias("text"),
+            text.strip(F.col("_raw")).alias("text"),
             "confidence",
             "words",
         )
