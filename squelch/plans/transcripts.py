@@ -200,12 +200,17 @@ RADIO = (
 )
 
 
+RADIO_PHRASES = [
+    (" the ", " cleared to land "),
+    (" que ", " hold short "),
+    ("tion", "wilco"),
+    (" und ", " pan-pan "),
+]
+
+
 def _radio(spark, path):
     t = F.lower("text")
-    for old, new in [
-        (" the ", " cleared to land "), (" que ", " hold short "), ("tion", "wilco"),
-        (" und ", " pan-pan "),
-    ]:
+    for old, new in RADIO_PHRASES:
         t = F.replace(t, F.lit(old), F.lit(new))
     return b.table(spark, path, "documents").select(F.col("doc_id").alias("id"), t.alias("t"))
 
