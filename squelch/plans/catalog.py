@@ -1,6 +1,15 @@
 """All named queries; importing this module fills the registry."""
 
-from squelch.plans import detection, rankings, segments, timelines, transcripts  # noqa: F401
+from squelch.plans import (  # noqa: F401
+    detection,
+    maintenance,
+    rankings,
+    segments,
+    sounds,
+    timelines,
+    training,
+    transcripts,
+)
 from squelch.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from squelch import schemas
 from squelch.sources import readers
@@ -131,8 +131,8 @@ def run_available(
         spark.conf.set(_MERGE_LOCALLY, before)
     if query.lastProgress is None and not query.recentProgress:
         return spark.createDataFrame([], stream.schema)
-    schema = StructType(stream.schema.fields)
-    stored = spark.read.schema(schema.add("batch_id", "bigint")).parquet(table)
+    schema = StructType([*stream.schema.fields, StructField("batch_id", LongType())])
+    stored = spark.read.schema(schema).parquet(table)
     if mode == "append":
         return stored.drop("batch_id")
     if mode == "complete":
