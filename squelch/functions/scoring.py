@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from squelch.functions.expr import let
+
 TOP_WEIGHTS = [0.6, 0.25, 0.15]
 PRIORITY_WEIGHTS = {"low": 0.3, "medium": 0.6, "high": 0.9, "critical": 1.0}
 
@@ -138,11 +140,14 @@ def route(confidence: Column, threshold: float = 0.85) -> Column:
 
 def top_weighted(values: Column, weights: list[float] = TOP_WEIGHTS) -> Column:
     """Weighted sum of the largest values of an array; missing places add nothing."""
-    best = F.slice(F.sort_array(values, asc=False), 1, len(weights))
-    total = F.lit(0.0)
-    for i, weight in enumerate(weights):
-        total = total + F.coalesce(F.get(best, F.lit(i)) * weight, F.lit(0.0))
-    return total
+
+    def total(best: Column) -> Column:
+        out = F.lit(0.0)
+        for i, weight in enumerate(weights):
+            out = out + F.coalesce(F.get(best, F.lit(i)) * weight, F.lit(0.0))
+        return out
+
+    return let(F.sort_array(values, asc=False), total)
 
 
 def format_duration(seconds: Column) -> Column:

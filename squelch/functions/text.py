@@ -87,10 +87,9 @@ def mark_keyword(keyword: str) -> str:
 
 
 def has_callsign(text: Column) -> Column:
-    return (
-        contains_any(text, AIRLINES)
-        | text.rlike(CIVIL_CALLSIGN)
-        | text.rlike(MILITARY_CALLSIGN)
+    has_digit = text.rlike("[0-9]")
+    return contains_any(text, AIRLINES) | (
+        has_digit & (text.rlike(CIVIL_CALLSIGN) | text.rlike(MILITARY_CALLSIGN))
     )
 
 
@@ -109,26 +108,29 @@ def _issue(kind: str, severity: float, detail: Column) -> Column:
 
 def phraseology_issues(text: Column, word_count: Column) -> Column:
     """Issues of a lower-cased transcript: informal terms, no call sign, verbosity, homophones."""
-    casual, risks = contained(text, CASUAL_TERMS), homophone_risks(text)
-    none = F.lit("")
-    return F.array_compact(
-        F.array(
-            F.when(
-                F.size(casual) > 0,
-                _issue("non_standard_terminology", 0.5, F.array_join(casual, ",")),
-            ),
-            F.when(~has_callsign(text) & (word_count > 3), _issue("missing_callsign", 0.65, none)),
-            F.when(
-                word_count > 50,
-                _issue("excessive_verbosity", 0.4, word_count.cast("string")),
-            ),
-            F.when(
-                F.size(risks) > 0,
-                _issue("homophone_confusion_risk", 0.7, F.array_join(risks, ",")),
-            ),
-        )
+    facts = F.struct(
+        F.array_join(contained(text, CASUAL_TERMS), ",").alias("casual"),
+        word_count.alias("words"),
+        has_callsign(text).alias("callsign"),
+        F.array_join(homophone_risks(text), ",").alias("risks"),
     )
 
+    def issues(f: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                F.when(f["casual"] != "", _issue("non_standard_terminology", 0.5, f["casual"])),
+                F.when(
+                    ~f["callsign"] & (f["words"] > 3), _issue("missing_callsign", 0.65, F.lit(""))
+                ),
+                F.when(
+                    f["words"] > 50, _issue("excessive_verbosity", 0.4, f["words"].cast("string"))
+                ),
+                F.when(f["risks"] != "", _issue("homophone_confusion_risk", 0.7, f["risks"])),
+            )
+        )
+
+    return let(facts, issues)
+
 
 def missing_readbacks(text: Column) -> Column:
     """Clearances spoken in a text that holds no acknowledgement; one issue each."""
@@ -257,15 +259,16 @@ def snippet(text: Column, length: int = 200, ellipsis: str = "") -> Column:
 
 def spot_keywords(text: Column, confidence: Column) -> Column:
     """Cheap gate: fixed keywords by substring; full transcription when any hit or unsure."""
-    found = contained(F.lower(text), SPOTTED_KEYWORDS)
-    return F.struct(
-        found.alias("keywords_found"),
-        F.size(found).cast("bigint").alias("keyword_count"),
-        F.round(confidence, 3).alias("confidence"),
-        ((F.size(found) > 0) | (F.coalesce(confidence, F.lit(0.0)) < 0.7)).alias(
-            "should_transcribe"
+    unsure = F.coalesce(confidence, F.lit(0.0)) < 0.7
+    return let(
+        contained(F.lower(text), SPOTTED_KEYWORDS),
+        lambda found: F.struct(
+            found.alias("keywords_found"),
+            F.size(found).cast("bigint").alias("keyword_count"),
+            F.round(confidence, 3).alias("confidence"),
+            ((F.size(found) > 0) | unsure).alias("should_transcribe"),
+            snippet(text).alias("partial_transcript"),
         ),
-        snippet(text).alias("partial_transcript"),
     )
 
 

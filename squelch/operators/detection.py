@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from squelch.functions import scoring, text
+from squelch.functions.expr import let, unnest
 from squelch.operators import lexicon, rules
 
 # Generic cases and the confidence of each match kind.
@@ -187,11 +188,18 @@ def summary(matches: Column, score: Column, routing: Column) -> Column:
         1,
         3,
     )
-    lines = F.transform(
-        ranked,
-        lambda m: F.concat(
-            F.lit("- "), m["name"], F.lit(" ("), m["percent"].cast("string"), F.lit("% confidence)")
+    lines = F.array_join(
+        F.transform(
+            ranked,
+            lambda m: F.concat(
+                F.lit("- "),
+                m["name"],
+                F.lit(" ("),
+                m["percent"].cast("string"),
+                F.lit("% confidence)"),
+            ),
         ),
+        "\n",
     )
     band = (
         F.when(score > 0.8, "CRITICAL: High-priority edge case detected")
@@ -209,7 +217,7 @@ def summary(matches: Column, score: Column, routing: Column) -> Column:
             F.lit(")"),
         ),
         band,
-        F.when(F.size(lines) > 0, F.concat(F.lit("\nTop matches:\n"), F.array_join(lines, "\n"))),
+        F.concat(F.lit("\nTop matches:\n"), F.nullif(lines, F.lit(""))),
     )
 
 
@@ -285,10 +293,9 @@ def detect(
 
 def match_table(detected: DataFrame, key: str = "id") -> DataFrame:
     """One row per match, built-in and custom in one schema."""
-    return detected.select(
-        F.col(key).alias("segment_id"),
-        F.explode(F.concat(F.col("matches"), custom_matches(F.col("rule_hits")))).alias("m"),
-    ).select("segment_id", "m.*")
+    found = F.concat(F.col("matches"), custom_matches(F.col("rule_hits")))
+    rows = unnest(detected, found, "m", F.col(key).alias("segment_id"))
+    return rows.select("segment_id", "m.*")
 
 
 def top_matches(matches: DataFrame, k: int = 3) -> DataFrame:

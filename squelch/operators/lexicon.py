@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squelch.functions import scoring, text
-from squelch.functions.expr import let
+from squelch.functions.expr import let, unnest
 
 MAX_INLINE_KEYWORDS = 5_000
 
@@ -201,8 +201,8 @@ def match_ngrams(
         tokens, lambda ws: F.concat(*[grams_of(ws, n) for n in range(1, max_words + 1)])
     )
     salt = F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int")
-    exploded = texts.select(
-        id_column, salt.alias("_salt"), F.explode(F.array_distinct(grams)).alias("_gram")
+    exploded = unnest(
+        texts, F.array_distinct(grams), "_gram", id_column, salt.alias("_salt")
     )
     lexicon = keywords.select(
         "case_id",

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from squelch.functions.expr import unnest
+
 
 def routing_overview(segments: DataFrame, *by: str) -> DataFrame:
     conf = F.col("confidence")
@@ -47,7 +49,7 @@ def analysis_overview(segments: DataFrame, score: str, patterns: str) -> DataFra
 
 def pattern_distribution(segments: DataFrame, patterns: str) -> DataFrame:
     return (
-        segments.select(F.explode(patterns).alias("pattern"))
+        unnest(segments, F.col(patterns), "pattern")
         .groupBy("pattern")
         .agg(F.count("*").alias("count"))
     )

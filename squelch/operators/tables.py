@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from squelch.functions.expr import unnest
 from squelch.operators import timeline
 
 
@@ -150,7 +151,8 @@ def constraint_violations(
     found = F.array_compact(
         F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()])
     )
-    rows = segments.select(F.explode(found).alias("rule"), F.col("id").cast("string").alias("id"))
+    rows = unnest(segments, found, "rule", F.col("id").cast("string").alias("id"))
+    rows = rows.select("rule", "id")
     twice = (
         segments.groupBy("recording_id", "segment_index")
         .agg(F.count("*").alias("n"))

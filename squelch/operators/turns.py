@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from squelch.functions import text
@@ -54,14 +54,16 @@ def speaker_turns(
     """
     numbered = number_turns(words, key, order, speaker, rows_per_block)
     item = F.struct(
-        *order,
+        "_row",
         F.col(start).alias("_start"),
         F.col(end).alias("_end"),
         F.col(word).cast("string").alias("_word"),
         F.col(confidence).cast("double").alias("_conf"),
     )
+    in_block = Window.partitionBy(*key, "_b1", "_b2").orderBy(*order)
     parts = (
-        numbered.groupBy(*key, "turn_no", "_b1", "_b2")
+        numbered.withColumn("_row", F.row_number().over(in_block))
+        .groupBy(*key, "turn_no", "_b1", "_b2")
         .agg(F.first(speaker).alias(speaker), F.array_sort(F.collect_list(item)).alias("_items"))
         .select(
             *key,

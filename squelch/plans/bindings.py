@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squelch.operators import queues, ranking
+from squelch.operators import queues, ranking, sizing
 
 AIRPORTS = ["KJFK", "KHOU", "KIAH", "KSFO", "KAUS", "KEWR", "KLGA"]
 FACILITIES = ["tower", "ground", "approach", "departure"]
@@ -320,7 +320,7 @@ def pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def label_rows(spark: SparkSession, path: str) -> DataFrame:
     """Labels as transcriptions of their document; every third holds an unknown marker."""
-    docs = table(spark, path, "documents").select("doc_id", "text")
+    docs = sizing.spread(table(spark, path, "documents").select("doc_id", "text"))
     i = F.col("doc_id")
     return (
         table(spark, path, "labels")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from squelch.functions import scoring, text
-from squelch.operators import detection, queues, ranking, rules, stats
+from squelch.functions.expr import let, unnest
+from squelch.operators import detection, queues, ranking, rules, sizing, stats
 from squelch.plans import bindings as b
 from squelch.plans import transcripts as tr
 from squelch.plans.registry import query
@@ -127,7 +128,7 @@ def transcripts(spark, path):
     radio = F.lower("text")
     for old, new in tr.RADIO_PHRASES:
         radio = F.replace(radio, F.lit(old), F.lit(new))
-    return b.segments(spark, path).withColumn("text", radio)
+    return sizing.spread(b.segments(spark, path)).withColumn("text", radio)
 
 
 def detected(spark, path, mode="hybrid"):
@@ -273,7 +274,7 @@ def summary_text(spark, path):
     DETECT + """SELECT id, rule_id, priority, ROUND(confidence, 6) AS confidence FROM rule_hits""",
 )
 def rule_matches(spark, path):
-    hits = detected(spark, path, "custom").select("id", F.explode("rule_hits").alias("r"))
+    hits = unnest(detected(spark, path, "custom"), F.col("rule_hits"), "r", "id")
     return hits.select(
         "id", "r.rule_id", "r.priority", F.round("r.confidence", 6).alias("confidence")
     )
@@ -289,8 +290,11 @@ FROM (SELECT id, {tr.any_sql(b.RULES[0]["conditions"]["keywords"])} AS k, rate >
 )
 def rule_dry_run(spark, path):
     t = transcripts(spark, path)
-    rate = scoring.words_per_minute(F.size(text.words(F.col("text"))), F.col("duration"))
-    result = rules.dry_run(b.RULES[0], F.col("text"), rate)
+    count = F.size(text.words(F.col("text")))
+    result = let(
+        scoring.words_per_minute(count, F.col("duration")),
+        lambda rate: rules.dry_run(b.RULES[0], F.col("text"), rate),
+    )
     return t.select("id", result.alias("r")).select(
         "id",
         "r.matched",
@@ -378,7 +382,7 @@ def rule_upsert(spark, path):
 )
 def two_stage_gate(spark, path):
     """The cheap audio test runs at the scan, the text test only on what is left."""
-    s = b.segments(spark, path).filter(F.col("audio_score") >= 0.65)
+    s = sizing.spread(b.segments(spark, path).filter(F.col("audio_score") >= 0.65))
     spotted = text.spot_keywords(F.col("text"), F.col("confidence"))
     return s.filter(spotted["should_transcribe"]).select("id")
 
@@ -394,7 +398,7 @@ def review_prompts(spark, path):
     """Prompt heads; the numbers, whose text form engines write differently, are cut out."""
     s = b.segments(spark, path).filter(F.col("confidence").isNotNull())
     joined = queues.embed(
-        s.select("id", "recording_id", "duration", "confidence", "text"),
+        sizing.spread(s.select("id", "recording_id", "duration", "confidence", "text")),
         b.recordings(spark, path), ("airport", "facility"),
     )
     words = F.transform(

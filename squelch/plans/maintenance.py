@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from squelch.functions import scoring, text
-from squelch.operators import queues, rules, stats, tables
+from squelch.operators import queues, rules, sizing, stats, tables
 from squelch.plans import bindings as b
 from squelch.plans import detection as det
 from squelch.plans.registry import query
@@ -249,8 +249,9 @@ def word_edits(spark, path):
         "swapped": text.swap_with_next(tokens, F.lit(0)),
     }
     docs = b.table(spark, path, "documents").select(
-        F.col("doc_id").alias("id"), text.words(F.col("text")).alias("tokens")
+        F.col("doc_id").alias("id"), "text"
     )
+    docs = sizing.spread(docs).withColumn("tokens", text.words(F.col("text")))
     return docs.select("id", *[F.array_join(v, " ").alias(k) for k, v in edited.items()])
 
 

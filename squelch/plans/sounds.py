@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from squelch.functions.expr import unnest
 from squelch.operators import audio
 from squelch.plans import bindings as b
 from squelch.plans.registry import query
@@ -43,8 +44,11 @@ def _rounded(df):
 )
 def frame_energy(spark, path):
     energies = audio.frame_energies(F.col("samples"), FRAME, HOP)
-    rows = b.clip_samples(spark, path).select("clip", F.posexplode(energies).alias("frame", "energy"))
-    return _rounded(rows).withColumn("frame", F.col("frame").cast("bigint"))
+    numbered = F.transform(
+        energies, lambda e, i: F.struct(i.cast("bigint").alias("frame"), e.alias("energy"))
+    )
+    rows = unnest(b.clip_samples(spark, path), numbered, "f", "clip")
+    return _rounded(rows.select("clip", "f.*"))
 
 
 @query(

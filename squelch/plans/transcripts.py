@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from squelch.functions import scoring, text
-from squelch.operators import lexicon
+from squelch.functions.expr import unnest
+from squelch.operators import lexicon, sizing
 from squelch.plans import bindings as b
 from squelch.plans.registry import query
 
@@ -39,9 +40,8 @@ def cases_sql(cases) -> str:
 
 
 def _documents(spark, path):
-    return b.table(spark, path, "documents").select(
-        F.col("doc_id").alias("id"), F.lower("text").alias("t"), "text", "n_chars"
-    )
+    docs = b.table(spark, path, "documents").select(F.col("doc_id").alias("id"), "text", "n_chars")
+    return sizing.spread(docs).withColumn("t", F.lower("text"))
 
 
 KEYWORD_HITS = f"""{DOCS}, {cases_sql(b.CASES)}, keyword_hits AS (
@@ -59,7 +59,7 @@ FROM keyword_hits WHERE len(matched) > 0""",
 )
 def keyword_match(spark, path):
     docs = _documents(spark, path)
-    hits = docs.select("id", F.explode(lexicon.keyword_hits(F.col("t"), b.CASES)).alias("h"))
+    hits = unnest(docs, lexicon.keyword_hits(F.col("t"), b.CASES), "h", "id")
     return hits.select(
         "id", "h.case_id", "h.category", "h.severity",
         F.array_join("h.matched", ",").alias("matched"),
@@ -87,7 +87,7 @@ FROM hits WHERE len(matched) > 0""",
 )
 def keyword_match_boundary(spark, path):
     docs = _documents(spark, path).select("id", "text")
-    hits = lexicon.boundary_hits(docs, "text", b.CASES).select("id", F.explode("hits").alias("h"))
+    hits = unnest(lexicon.boundary_hits(docs, "text", b.CASES), F.col("hits"), "h", "id")
     return hits.select(
         "id", "h.case_id", "h.severity", F.array_join("h.matched", ",").alias("matched")
     )
@@ -148,7 +148,7 @@ SELECT id, array_to_string(found, ',') AS keywords_found, len(found) AS keyword_
 FROM spotted""",
 )
 def critical_spotting(spark, path):
-    s = b.segments(spark, path)
+    s = sizing.spread(b.segments(spark, path).select("id", "text", "confidence"))
     spot = s.select("id", text.spot_keywords(F.col("text"), F.col("confidence")).alias("k"))
     return spot.select(
         "id",
@@ -188,7 +188,7 @@ phraseology AS (
 def phraseology_issues(spark, path):
     docs = _documents(spark, path)
     count = F.size(text.words(F.col("t")))
-    issues = docs.select("id", F.explode(text.phraseology_issues(F.col("t"), count)).alias("i"))
+    issues = unnest(docs, text.phraseology_issues(F.col("t"), count), "i", "id")
     return issues.select("id", "i.*")
 
 
@@ -212,7 +212,8 @@ def _radio(spark, path):
     t = F.lower("text")
     for old, new in RADIO_PHRASES:
         t = F.replace(t, F.lit(old), F.lit(new))
-    return b.table(spark, path, "documents").select(F.col("doc_id").alias("id"), t.alias("t"))
+    docs = b.table(spark, path, "documents").select(F.col("doc_id").alias("id"), "text")
+    return sizing.spread(docs).select("id", t.alias("t"))
 
 
 @query(
@@ -221,9 +222,7 @@ def _radio(spark, path):
   0.85::DOUBLE AS severity FROM radio WHERE NOT {any_sql(text.ACKNOWLEDGEMENTS)}""",
 )
 def missing_readback(spark, path):
-    found = _radio(spark, path).select(
-        "id", F.explode(text.missing_readbacks(F.col("t"))).alias("i")
-    )
+    found = unnest(_radio(spark, path), text.missing_readbacks(F.col("t")), "i", "id")
     return found.select("id", F.col("i.detail").alias("clearance"), "i.severity")
 
 
@@ -247,8 +246,8 @@ def emergency_indicators(spark, path):
     variance = F.when((i % 50 == 0) | (i % 20 == 0), 0).otherwise(
         F.abs(i * 7 % 20 - i * 17 % 50)
     )
-    found = _radio(spark, path).select(
-        "id", F.explode(text.emergency_indicators(F.col("t"), variance)).alias("e")
+    found = unnest(
+        _radio(spark, path), text.emergency_indicators(F.col("t"), variance), "e", "id"
     )
     return found.select("id", "e.*")
 
@@ -262,8 +261,9 @@ def emergency_indicators(spark, path):
 )
 def marker_split(spark, path):
     pieces = text.split_at_marker(F.col("transcription"))
-    rows = b.label_rows(spark, path).select("segment_id", F.posexplode(pieces).alias("pos", "piece"))
-    return rows.withColumn("pos", F.col("pos").cast("bigint"))
+    numbered = F.transform(pieces, lambda p, i: F.struct(i.cast("bigint").alias("pos"), p.alias("piece")))
+    rows = unnest(b.label_rows(spark, path), numbered, "p", "segment_id")
+    return rows.select("segment_id", "p.*")
 
 
 @query(
@@ -340,4 +340,4 @@ def taxonomy_search(spark, path):
         | F.contains(F.lower(c["category"]), F.col("lang")),
     )
     docs = b.table(spark, path, "documents").select(F.col("doc_id").alias("id"), "lang")
-    return docs.select("id", F.explode(found).alias("c")).select("id", "c.case_id", "c.category")
+    return unnest(docs, found, "c", "id").select("id", "c.case_id", "c.category")
