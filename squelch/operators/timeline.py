@@ -5,10 +5,10 @@ than ``rows_per_block`` rows is first cut into ordered blocks, the window runs p
 what must cross a block border (the last row, the maximum, the count of the blocks before) is
 carried over from a per-block summary. Results equal the plain window.
 
-Blocks come from the data alone (row count and value range), so recomputed tasks agree. Two
-zoom levels are used: a timeline is cut evenly over its position range, then every block that
-is still heavy is cut again over its own range, by position or, where all positions are
-equal, by the tie-break column.
+Blocks come from the data alone (row count and value range), so recomputed tasks agree. A heavy
+timeline is cut evenly over its position range; a block that is still heavy is cut again over its
+own range, by position or, where all positions are equal, by the tie-break column, twice at most.
+Levels after the first read the heavy rows only. ``order`` should end in a column without repeats.
 
 What is broadcast has a bound: a heavy group has more than ``rows_per_block`` rows, so there are
 at most rows / rows_per_block of them, and at most twice as many blocks per level.
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 2_000_000
-_LEVELS = ["_b1", "_b2"]
+LEVELS = ["_b1", "_b2", "_b3"]
 _HOT = "_hot"
 
 
@@ -33,7 +33,7 @@ def add_blocks(
     position, tie = order[0], order[min(1, len(order) - 1)]
     df = df.withColumn(_HOT, F.lit(True))
     group = list(key)
-    for level in _LEVELS:
+    for level in LEVELS:
         ranges = (
             df.filter(_HOT)
             .groupBy(*group)
@@ -61,7 +61,7 @@ def add_blocks(
         df = (
             df.join(F.broadcast(ranges), group, "left")
             .withColumn(level, block)
-            .withColumn(_HOT, F.col("_n").isNotNull() if level == _LEVELS[0] else F.col(_HOT))
+            .withColumn(_HOT, F.col("_n").isNotNull() if level == LEVELS[0] else F.col(_HOT))
             .drop("_n", "_lo", "_hi", "_tie_lo", "_tie_hi")
         )
         group = [*group, level]
@@ -69,25 +69,25 @@ def add_blocks(
 
 
 def drop_blocks(df: DataFrame) -> DataFrame:
-    return df.drop(_HOT, *_LEVELS)
+    return df.drop(_HOT, *LEVELS)
 
 
 def _local(key: Sequence[str], order: Sequence[str]) -> Window:
-    return Window.partitionBy(*key, *_LEVELS).orderBy(*order)
+    return Window.partitionBy(*key, *LEVELS).orderBy(*order)
 
 
 def _carry(df: DataFrame, key: Sequence[str], aggregates: dict, carried: dict) -> DataFrame:
     """Per-block summary of the heavy timelines and what each block inherits from the blocks before."""
-    across = Window.partitionBy(*key).orderBy(*_LEVELS)
+    across = Window.partitionBy(*key).orderBy(*LEVELS)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     summary = (
         df.filter(_HOT)
-        .groupBy(*key, *_LEVELS)
+        .groupBy(*key, *LEVELS)
         .agg(*[value.alias(name) for name, value in aggregates.items()])
     )
     return F.broadcast(
         summary.select(
-            *key, *_LEVELS, *[fn(across, before).alias(name) for name, fn in carried.items()]
+            *key, *LEVELS, *[fn(across, before).alias(name) for name, fn in carried.items()]
         )
     )
 
@@ -107,7 +107,7 @@ def with_previous(
     out = df.withColumn("_first", first)
     for c in columns:
         out = out.withColumn(f"_lag_{c}", F.lag(c).over(local))
-    out = out.join(carry, [*key, *_LEVELS], "left")
+    out = out.join(carry, [*key, *LEVELS], "left")
     for c in columns:
         out = out.withColumn(
             f"prev_{c}",
@@ -129,7 +129,7 @@ def with_max_before(
     )
     return (
         df.withColumn("_here", F.max(column).over(local))
-        .join(carry, [*key, *_LEVELS], "left")
+        .join(carry, [*key, *LEVELS], "left")
         .withColumn(out, F.greatest("_here", "_before"))
         .drop("_here", "_before")
     )
@@ -149,7 +149,7 @@ def with_running_count(
     )
     return (
         df.withColumn("_here", F.sum("_one").over(local))
-        .join(carry, [*key, *_LEVELS], "left")
+        .join(carry, [*key, *LEVELS], "left")
         .withColumn(out, F.col("_here") + F.coalesce(F.col("_before"), F.lit(0)))
         .drop("_here", "_before", "_one")
     )
@@ -161,6 +161,7 @@ def with_row_index(df: DataFrame, key: Sequence[str], order: Sequence[str], out:
 
 
 __all__ = [
+    "LEVELS",
     "ROWS_PER_BLOCK",
     "add_blocks",
     "drop_blocks",

@@ -60,18 +60,17 @@ def speaker_turns(
         F.col(word).cast("string").alias("_word"),
         F.col(confidence).cast("double").alias("_conf"),
     )
-    in_block = Window.partitionBy(*key, "_b1", "_b2").orderBy(*order)
+    in_block = Window.partitionBy(*key, *timeline.LEVELS).orderBy(*order)
     parts = (
         numbered.withColumn("_row", F.row_number().over(in_block))
-        .groupBy(*key, "turn_no", "_b1", "_b2")
+        .groupBy(*key, "turn_no", *timeline.LEVELS)
         .agg(F.first(speaker).alias(speaker), F.array_sort(F.collect_list(item)).alias("_items"))
         .select(
             *key,
             "turn_no",
             speaker,
             F.struct(
-                "_b1",
-                "_b2",
+                *timeline.LEVELS,
                 F.element_at("_items", 1)["_start"].alias("start"),
                 F.element_at("_items", -1)["_end"].alias("end"),
                 F.array_join(F.transform("_items", lambda w: w["_word"]), " ").alias("text"),
