@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from squelch.functions.expr import unnest
-from squelch.operators import timeline
+from squelch.operators import sizing, timeline
 
 
 def merge_updates(
@@ -162,7 +162,8 @@ def constraint_violations(
             F.concat_ws("/", "recording_id", F.col("segment_index").cast("string")).alias("id"),
         )
     )
-    no_recording = segments.join(recordings.select("recording_id"), "recording_id", "left_anti")
+    known = sizing.broadcast_if_small(recordings.select("recording_id"))
+    no_recording = segments.join(known, "recording_id", "left_anti")
     no_segment = labels.join(
         segments.select(F.col("id").alias("segment_id")), "segment_id", "left_anti"
     )

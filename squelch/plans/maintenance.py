@@ -9,10 +9,12 @@ from squelch.operators import queues, rules, sizing, stats, tables
 from squelch.plans import bindings as b
 from squelch.plans import detection as det
 from squelch.plans.registry import query
-from squelch.sources import readers
+from squelch.sources import readers, sinks
 from squelch.streaming import jobs
 
 SEG = b.with_sql(b.SEGMENTS).rstrip()
+# Files per micro-batch, so that a backlog is worked off in bounded steps.
+MAX_FILES = 1000
 
 
 def _reviews(spark, path):
@@ -362,7 +364,7 @@ def responses_by_list(spark, path):
 
 def _activity(spark, path):
     schema = b.table(spark, path, "events").schema
-    stream = jobs.read_table_stream(spark, path, "events.parquet", schema)
+    stream = jobs.read_table_stream(spark, path, "events.parquet", schema, MAX_FILES)
     return stream.select(
         F.col("event_type").alias("feed"),
         "user_id",
@@ -427,7 +429,7 @@ FROM documents WHERE doc_id % 4 = 0""",
 def queue_drain(spark, path):
     """Pending segments drained batch by batch; failures keep their reason."""
     schema = b.table(spark, path, "documents").schema
-    stream = jobs.read_table_stream(spark, path, "documents.parquet", schema)
+    stream = jobs.read_table_stream(spark, path, "documents.parquet", schema, MAX_FILES)
     pending = stream.filter(F.col("doc_id") % 4 == 0).select(F.col("doc_id").alias("id"), "n_chars")
 
     def process(batch):
@@ -449,3 +451,56 @@ def equality_filters(spark, path):
     )
     ordered = r.orderBy(*queues.newest_first("recorded_at", "recording_id"))
     return ordered.select("recording_id", "airport", "facility")
+
+
+@query(
+    "exact_counts",
+    SEG + """ SELECT COUNT(*) AS segments, COUNT(*) FILTER (rlhf_candidate) AS candidates,
+  COUNT(*) FILTER (status = 'needs_ranking') AS waiting,
+  COUNT(*) FILTER (recording_id IN ('src1', 'src2', 'src3')) AS of_recordings FROM segments""",
+)
+def exact_counts(spark, path):
+    """Counts under several filters from one scan."""
+    return b.segments(spark, path).agg(
+        F.count("*").alias("segments"),
+        F.count_if("rlhf_candidate").alias("candidates"),
+        F.count_if(F.col("status") == "needs_ranking").alias("waiting"),
+        F.count_if(F.col("recording_id").isin("src1", "src2", "src3")).alias("of_recordings"),
+    )
+
+
+@query(
+    "metadata_roundtrip",
+    b.with_sql(b.LABEL_ROWS) + """SELECT 'seg/' || segment_id || '.mp3' AS audio,
+  regexp_replace(transcription, '^\\s+|\\s+$', '', 'g') AS text,
+  COALESCE(NULLIF(response, ''), 'unknown') AS source,
+  CAST(segment_id AS DOUBLE) / 16000 AS duration FROM label_rows WHERE segment_id % 5 <> 0""",
+)
+def metadata_roundtrip(spark, path):
+    """Samples written as JSON lines and read back; every fifth has a blank text and is skipped."""
+    i = F.col("segment_id")
+    samples = b.label_rows(spark, path).select(
+        F.format_string("seg/%d.mp3", i).alias("audio"),
+        F.when(i % 5 == 0, F.lit("  \n")).otherwise(F.col("transcription")).alias("text"),
+        F.nullif(F.col("response"), F.lit("")).alias("source"),
+        i.alias("samples"),
+    )
+    folder = jobs.shared_folder(spark, "metadata")
+    sinks.write_jsonl(samples, folder)
+    read = readers.usable_samples(readers.training_metadata(spark, folder))
+    return read.select("audio", "text", "source", "duration")
+
+
+@query(
+    "stored_matches",
+    det.DETECT + """SELECT match_type, COUNT(*) AS matches FROM built_in GROUP BY 1
+UNION ALL SELECT 'custom_rule', COUNT(*) FROM rule_hits HAVING COUNT(*) > 0""",
+)
+def stored_matches(spark, path):
+    """Matches appended to a table in two batches, then counted from it."""
+    matches = det.detection.match_table(det.detected(spark, path))
+    folder = jobs.shared_folder(spark, "matches")
+    for custom in (False, True):
+        sinks.append_table(matches.filter(F.col("is_custom_rule") == custom), folder)
+    stored = spark.read.parquet(folder)
+    return stored.groupBy("match_type").agg(F.count("*").alias("matches"))
