@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from squelch.functions import scoring, text
-from squelch.operators import queues, rules, sizing, stats, tables
+from squelch.operators import detection, queues, rules, sizing, stats, tables
 from squelch.plans import bindings as b
 from squelch.plans import detection as det
 from squelch.plans.registry import query
@@ -498,9 +498,11 @@ UNION ALL SELECT 'custom_rule', COUNT(*) FROM rule_hits HAVING COUNT(*) > 0""",
 )
 def stored_matches(spark, path):
     """Matches appended to a table in two batches, then counted from it."""
-    matches = det.detection.match_table(det.detected(spark, path))
+    transcripts = det.transcripts(spark, path)
     folder = jobs.shared_folder(spark, "matches")
-    for custom in (False, True):
-        sinks.append_table(matches.filter(F.col("is_custom_rule") == custom), folder)
+    for half in (0, 1):
+        batch = transcripts.filter(F.col("id") % 2 == half)
+        detected = detection.detect(batch, b.CASES, b.RULES)
+        sinks.append_table(detection.match_table(detected), folder)
     stored = spark.read.parquet(folder)
     return stored.groupBy("match_type").agg(F.count("*").alias("matches"))
