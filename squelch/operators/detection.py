@@ -232,7 +232,8 @@ def detect(
     """Score and route transcripts.
 
     Input columns: text, confidence, duration, speaker_count, speech_density, mean_volume,
-    max_volume, and optionally high_workload and turn_mismatches. Adds routing, quality, matches,
+    max_volume, and optionally words (else the text is split), high_workload and turn_mismatches.
+    Adds routing, quality, matches,
     rule_hits, edge_score and summary. Empty text yields no built-in matches; its quality penalty
     still counts.
     """
@@ -240,9 +241,10 @@ def detect(
         raise ValueError(f"mode must be one of {MODES}")
     has = set(transcripts.columns)
     lower = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    words = F.col("words") if "words" in has else text.words(F.col("_lower"))
     df = (
         transcripts.withColumn("_lower", lower)
-        .withColumn("word_count", F.size(text.words(F.col("_lower"))).cast("bigint"))
+        .withColumn("word_count", F.size(words).cast("bigint"))
         .withColumn("variance", scoring.volume_variance(F.col("mean_volume"), F.col("max_volume")))
         .withColumn("overlap", scoring.overlap(F.col("variance"), F.col("max_volume")))
         .withColumn("routing", scoring.route(F.col("confidence"), threshold))

@@ -104,24 +104,26 @@ def nest_children(
 ) -> DataFrame:
     """Parents with an ordered array of their children.
 
-    An array holds at most ``page_size`` children; a parent with more gets further rows with
-    ``page`` 1, 2, ... so that no group has to fit one task. Usual parents have one row, page 0.
+    An array holds at most ``page_size`` children and ``offset`` is the index of its first one. A
+    parent with more children gets further rows, so that no group has to fit one task; usual
+    parents have one row with offset 0.
     """
     blocked = timeline.add_blocks(children, [key], order, rows_per_block)
     paged = timeline.with_row_index(blocked, [key], order, "_index").withColumn(
-        "page", F.floor(F.col("_index") / page_size)
+        "_page", F.floor(F.col("_index") / page_size)
     )
     arrays = (
-        paged.groupBy(key, "page")
+        paged.groupBy(key, timeline.HOT, *timeline.LEVELS, "_page")
         .agg(
+            F.min("_index").alias("offset"),
             F.array_sort(
                 F.collect_list(F.struct("_index", F.struct(*fields).alias("child")))
             ).alias("_sorted")
         )
-        .select(key, "page", F.transform("_sorted", lambda c: c["child"]).alias(out))
+        .select(key, "offset", F.transform("_sorted", lambda c: c["child"]).alias(out))
     )
     return parents.join(arrays, key, "left").withColumn(
-        "page", F.coalesce(F.col("page"), F.lit(0))
+        "offset", F.coalesce(F.col("offset"), F.lit(0))
     )
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 2_000_000
 LEVELS = ["_b1", "_b2", "_b3"]
-_HOT = "_hot"
+HOT = "_hot"
 
 
 def add_blocks(
@@ -31,11 +31,11 @@ def add_blocks(
 ) -> DataFrame:
     """Add block columns; ``order`` is (position, tie-break, ...), the first two numeric."""
     position, tie = order[0], order[min(1, len(order) - 1)]
-    df = df.withColumn(_HOT, F.lit(True))
+    df = df.withColumn(HOT, F.lit(True))
     group = list(key)
     for level in LEVELS:
         ranges = (
-            df.filter(_HOT)
+            df.filter(HOT)
             .groupBy(*group)
             .agg(
                 F.count("*").alias("_n"),
@@ -61,7 +61,7 @@ def add_blocks(
         df = (
             df.join(F.broadcast(ranges), group, "left")
             .withColumn(level, block)
-            .withColumn(_HOT, F.col("_n").isNotNull() if level == LEVELS[0] else F.col(_HOT))
+            .withColumn(HOT, F.col("_n").isNotNull() if level == LEVELS[0] else F.col(HOT))
             .drop("_n", "_lo", "_hi", "_tie_lo", "_tie_hi")
         )
         group = [*group, level]
@@ -69,11 +69,12 @@ def add_blocks(
 
 
 def drop_blocks(df: DataFrame) -> DataFrame:
-    return df.drop(_HOT, *LEVELS)
+    return df.drop(HOT, *LEVELS)
 
 
 def _local(key: Sequence[str], order: Sequence[str]) -> Window:
-    return Window.partitionBy(*key, *LEVELS).orderBy(*order)
+    # The heavy flag follows from the key; as a partition column it lets filters on it pass below.
+    return Window.partitionBy(*key, HOT, *LEVELS).orderBy(*order)
 
 
 def _carry(df: DataFrame, key: Sequence[str], aggregates: dict, carried: dict) -> DataFrame:
@@ -81,7 +82,7 @@ def _carry(df: DataFrame, key: Sequence[str], aggregates: dict, carried: dict) -
     across = Window.partitionBy(*key).orderBy(*LEVELS)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     summary = (
-        df.filter(_HOT)
+        df.filter(HOT)
         .groupBy(*key, *LEVELS)
         .agg(*[value.alias(name) for name, value in aggregates.items()])
     )
@@ -161,6 +162,7 @@ def with_row_index(df: DataFrame, key: Sequence[str], order: Sequence[str], out:
 
 
 __all__ = [
+    "HOT",
     "LEVELS",
     "ROWS_PER_BLOCK",
     "add_blocks",

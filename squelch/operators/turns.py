@@ -50,7 +50,8 @@ def speaker_turns(
 
     The confidence is folded pairwise, (c + w) / 2 from word to word. That fold is linear in its
     start value, so a part of a turn reduces to (slope, offset) and parts compose. Words are
-    gathered per turn and block only; a turn that crosses blocks joins its parts.
+    gathered per turn and block only. Turns of light clips are whole then; those of heavy clips
+    may cross blocks and join their parts.
     """
     numbered = number_turns(words, key, order, speaker, rows_per_block)
     item = F.struct(
@@ -60,15 +61,17 @@ def speaker_turns(
         F.col(word).cast("string").alias("_word"),
         F.col(confidence).cast("double").alias("_conf"),
     )
-    in_block = Window.partitionBy(*key, *timeline.LEVELS).orderBy(*order)
+    blocks = [timeline.HOT, *timeline.LEVELS]
+    in_block = Window.partitionBy(*key, *blocks).orderBy(*order)
     parts = (
         numbered.withColumn("_row", F.row_number().over(in_block))
-        .groupBy(*key, "turn_no", *timeline.LEVELS)
+        .groupBy(*key, "turn_no", *blocks)
         .agg(F.first(speaker).alias(speaker), F.array_sort(F.collect_list(item)).alias("_items"))
         .select(
             *key,
             "turn_no",
             speaker,
+            timeline.HOT,
             F.struct(
                 *timeline.LEVELS,
                 F.element_at("_items", 1)["_start"].alias("start"),
@@ -88,22 +91,34 @@ def speaker_turns(
             ).alias("part"),
         )
     )
-    whole = parts.groupBy(*key, "turn_no").agg(
-        F.first(speaker).alias(speaker), F.array_sort(F.collect_list("part")).alias("_parts")
-    )
-    return whole.select(
+    light = parts.filter(~F.col(timeline.HOT)).select(
         *key,
         "turn_no",
         speaker,
-        F.element_at("_parts", 1)["start"].alias("start"),
-        F.element_at("_parts", -1)["end"].alias("end"),
-        F.array_join(F.transform("_parts", lambda p: p["text"]), " ").alias("text"),
-        F.aggregate("_parts", F.lit(0).cast("bigint"), lambda a, p: a + p["n"]).alias("n_words"),
-        F.aggregate(
-            F.slice("_parts", 2, F.size("_parts")),
-            F.element_at("_parts", 1)["folded"],
-            lambda acc, p: acc * p["slope"] + p["offset"],
-        ).alias("confidence"),
+        *[F.col(f"part.{c}").alias(c) for c in ("start", "end", "text")],
+        F.col("part.n").alias("n_words"),
+        F.col("part.folded").alias("confidence"),
+    )
+    whole = (
+        parts.filter(timeline.HOT)
+        .groupBy(*key, "turn_no")
+        .agg(F.first(speaker).alias(speaker), F.array_sort(F.collect_list("part")).alias("_parts"))
+    )
+    return light.unionByName(
+        whole.select(
+            *key,
+            "turn_no",
+            speaker,
+            F.element_at("_parts", 1)["start"].alias("start"),
+            F.element_at("_parts", -1)["end"].alias("end"),
+            F.array_join(F.transform("_parts", lambda p: p["text"]), " ").alias("text"),
+            F.aggregate("_parts", F.lit(0).cast("bigint"), lambda a, p: a + p["n"]).alias("n_words"),
+            F.aggregate(
+                F.slice("_parts", 2, F.size("_parts")),
+                F.element_at("_parts", 1)["folded"],
+                lambda acc, p: acc * p["slope"] + p["offset"],
+            ).alias("confidence"),
+        )
     )
 
 

@@ -255,7 +255,7 @@ def left_embed(spark, path):
 
 @query(
     "nested_labels",
-    """SELECT o.o_orderkey AS id, 0 AS page,
+    """SELECT o.o_orderkey AS id, 0 AS "offset",
   string_agg(l.l_linenumber || ':' || l.l_partkey, ',' ORDER BY l.l_linenumber, l.l_partkey) AS children
 FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey""",
 )
@@ -271,7 +271,7 @@ def nested_labels(spark, path):
     item = lambda c: F.format_string("%d:%d", c["l_linenumber"], c["l_partkey"])
     return nested.select(
         "id",
-        F.col("page").cast("int").alias("page"),
+        F.col("offset").cast("int").alias("offset"),
         F.array_join(F.transform("children", item), ",").alias("children"),
     )
 

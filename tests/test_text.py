@@ -206,3 +206,19 @@ def test_rule_document(spark, tmp_path):
 def test_band_edges(spark, fn, expected):
     df = spark.createDataFrame([(None,), (0.0,), (0.5,), (0.7,), (0.85,), (0.9,)], "v double")
     assert [r[0] for r in df.select(fn(F.col("v"))).collect()] == expected
+
+
+def test_rule_table_updates(spark):
+    table = spark.createDataFrame(
+        [("1", "one", "low", "t0"), ("2", "two", "low", "t0")],
+        "id string, name string, priority string, updated_at string",
+    )
+    updates = spark.createDataFrame([("2", None, "high")], "id string, name string, priority string")
+    got = {r["id"]: tuple(r) for r in rules.update_rules(table, updates, F.lit("t1")).collect()}
+    assert got == {"1": ("1", "one", "low", "t0"), "2": ("2", "two", "high", "t1")}
+
+
+def test_malformed_rate_counts_and_never_holds(spark):
+    rule = {"id": "x", "name": "x", "conditions": {"keywords": ["a"], "speech_rate": ">fast"}}
+    got = evaluate(spark, rule, [("a", 999.0, 1, 0.0)])[0]
+    assert (got["confidence"], got["matched"]) == (0.5, ["keywords"])
