@@ -113,7 +113,7 @@ def nest_children(
         "_page", F.floor(F.col("_index") / page_size)
     )
     arrays = (
-        paged.groupBy(key, timeline.HOT, *timeline.LEVELS, "_page")
+        paged.groupBy(key, *timeline.block_columns(paged), "_page")
         .agg(
             F.min("_index").alias("offset"),
             F.array_sort(

@@ -10,6 +10,9 @@ timeline is cut evenly over its position range; a block that is still heavy is c
 own range, by position or, where all positions are equal, by the tie-break column, twice at most.
 Levels after the first read the heavy rows only. ``order`` should end in a column without repeats.
 
+``add_blocks`` first counts the rows per timeline. When none is heavy it adds nothing, and the
+other functions are plain windows.
+
 What is broadcast has a bound: a heavy group has more than ``rows_per_block`` rows, so there are
 at most rows / rows_per_block of them, and at most twice as many blocks per level.
 """
@@ -29,7 +32,12 @@ HOT = "_hot"
 def add_blocks(
     df: DataFrame, key: Sequence[str], order: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:
-    """Add block columns; ``order`` is (position, tie-break, ...), the first two numeric."""
+    """Add block columns if any timeline is heavy; ``order`` is (position, tie-break, ...), the
+    first two numeric.
+    """
+    sizes = df.groupBy(*key).agg(F.count("*").alias("_n"))
+    if sizes.filter(F.col("_n") > rows_per_block).isEmpty():
+        return df
     position, tie = order[0], order[min(1, len(order) - 1)]
     df = df.withColumn(HOT, F.lit(True))
     group = list(key)
@@ -72,13 +80,28 @@ def drop_blocks(df: DataFrame) -> DataFrame:
     return df.drop(HOT, *LEVELS)
 
 
-def _local(key: Sequence[str], order: Sequence[str]) -> Window:
-    # The heavy flag follows from the key; as a partition column it lets filters on it pass below.
-    return Window.partitionBy(*key, HOT, *LEVELS).orderBy(*order)
+def block_columns(df: DataFrame) -> list[str]:
+    """The block columns of a frame, none when no timeline is heavy.
+
+    The heavy flag follows from the key; as a partition column it lets filters on it pass below
+    a window.
+    """
+    return [c for c in (HOT, *LEVELS) if c in df.columns]
+
 
+def _local(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Window:
+    return Window.partitionBy(*key, *block_columns(df)).orderBy(*order)
 
-def _carry(df: DataFrame, key: Sequence[str], aggregates: dict, carried: dict) -> DataFrame:
-    """Per-block summary of the heavy timelines and what each block inherits from the blocks before."""
+
+def _with_carry(
+    out: DataFrame, df: DataFrame, key: Sequence[str], name: str, aggregates: dict, carried
+) -> DataFrame:
+    """Add to ``out`` as ``name`` what each block inherits from the blocks before it: null in light
+    timelines and in first blocks. The summary is computed from ``df``.
+    """
+    if not block_columns(df):
+        kind = df.agg(*[v.alias(n) for n, v in aggregates.items()]).schema[0].dataType
+        return out.withColumn(name, F.lit(None).cast(kind))
     across = Window.partitionBy(*key).orderBy(*LEVELS)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     summary = (
@@ -86,29 +109,27 @@ def _carry(df: DataFrame, key: Sequence[str], aggregates: dict, carried: dict) -
         .groupBy(*key, *LEVELS)
         .agg(*[value.alias(name) for name, value in aggregates.items()])
     )
-    return F.broadcast(
-        summary.select(
-            *key, *LEVELS, *[fn(across, before).alias(name) for name, fn in carried.items()]
-        )
-    )
+    carry = summary.select(*key, *LEVELS, carried(across, before).alias(name))
+    return out.join(F.broadcast(carry), [*key, *LEVELS], "left")
 
 
 def with_previous(
     df: DataFrame, key: Sequence[str], order: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
     """Add ``prev_<column>``: the value in the row before, null in the first row of a timeline."""
-    local = _local(key, order)
-    carry = _carry(
-        df,
-        key,
-        {"_last": F.max_by(F.struct(*columns), F.struct(*order))},
-        {"_before": lambda across, _: F.lag("_last").over(across)},
-    )
+    local = _local(df, key, order)
     first = F.row_number().over(local) == 1
     out = df.withColumn("_first", first)
     for c in columns:
         out = out.withColumn(f"_lag_{c}", F.lag(c).over(local))
-    out = out.join(carry, [*key, *LEVELS], "left")
+    out = _with_carry(
+        out,
+        df,
+        key,
+        "_before",
+        {"_last": F.max_by(F.struct(*columns), F.struct(*order))},
+        lambda across, _: F.lag("_last").over(across),
+    )
     for c in columns:
         out = out.withColumn(
             f"prev_{c}",
@@ -121,16 +142,16 @@ def with_max_before(
     df: DataFrame, key: Sequence[str], order: Sequence[str], column: str, out: str
 ) -> DataFrame:
     """Add the maximum of ``column`` over all earlier rows, null in the first row."""
-    local = _local(key, order).rowsBetween(Window.unboundedPreceding, -1)
-    carry = _carry(
-        df,
-        key,
-        {"_max": F.max(column)},
-        {"_before": lambda _, before: F.max("_max").over(before)},
-    )
+    local = _local(df, key, order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.withColumn("_here", F.max(column).over(local))
-        .join(carry, [*key, *LEVELS], "left")
+        _with_carry(
+            df.withColumn("_here", F.max(column).over(local)),
+            df,
+            key,
+            "_before",
+            {"_max": F.max(column)},
+            lambda _, before: F.max("_max").over(before),
+        )
         .withColumn(out, F.greatest("_here", "_before"))
         .drop("_here", "_before")
     )
@@ -140,17 +161,17 @@ def with_running_count(
     df: DataFrame, key: Sequence[str], order: Sequence[str], flag: Column, out: str
 ) -> DataFrame:
     """Add how many rows up to and including this one satisfy ``flag``."""
-    local = _local(key, order).rowsBetween(Window.unboundedPreceding, 0)
+    local = _local(df, key, order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_one", F.when(flag, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-    carry = _carry(
-        df,
-        key,
-        {"_sum": F.sum("_one")},
-        {"_before": lambda _, before: F.sum("_sum").over(before)},
-    )
     return (
-        df.withColumn("_here", F.sum("_one").over(local))
-        .join(carry, [*key, *LEVELS], "left")
+        _with_carry(
+            df.withColumn("_here", F.sum("_one").over(local)),
+            df,
+            key,
+            "_before",
+            {"_sum": F.sum("_one")},
+            lambda _, before: F.sum("_sum").over(before),
+        )
         .withColumn(out, F.col("_here") + F.coalesce(F.col("_before"), F.lit(0)))
         .drop("_here", "_before", "_one")
     )
@@ -166,6 +187,7 @@ __all__ = [
     "LEVELS",
     "ROWS_PER_BLOCK",
     "add_blocks",
+    "block_columns",
     "drop_blocks",
     "with_max_before",
     "with_previous",

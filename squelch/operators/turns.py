@@ -61,7 +61,7 @@ def speaker_turns(
         F.col(word).cast("string").alias("_word"),
         F.col(confidence).cast("double").alias("_conf"),
     )
-    blocks = [timeline.HOT, *timeline.LEVELS]
+    blocks = timeline.block_columns(numbered)
     in_block = Window.partitionBy(*key, *blocks).orderBy(*order)
     parts = (
         numbered.withColumn("_row", F.row_number().over(in_block))
@@ -71,9 +71,9 @@ def speaker_turns(
             *key,
             "turn_no",
             speaker,
-            timeline.HOT,
+            *blocks[:1],
             F.struct(
-                *timeline.LEVELS,
+                *blocks[1:],
                 F.element_at("_items", 1)["_start"].alias("start"),
                 F.element_at("_items", -1)["_end"].alias("end"),
                 F.array_join(F.transform("_items", lambda w: w["_word"]), " ").alias("text"),
@@ -91,7 +91,7 @@ def speaker_turns(
             ).alias("part"),
         )
     )
-    light = parts.filter(~F.col(timeline.HOT)).select(
+    light = (parts.filter(~F.col(timeline.HOT)) if blocks else parts).select(
         *key,
         "turn_no",
         speaker,
@@ -99,6 +99,8 @@ def speaker_turns(
         F.col("part.n").alias("n_words"),
         F.col("part.folded").alias("confidence"),
     )
+    if not blocks:
+        return light
     whole = (
         parts.filter(timeline.HOT)
         .groupBy(*key, "turn_no")

@@ -95,7 +95,9 @@ def test_running_count_and_index(case):
 def test_light_timelines_stay_in_one_block(spark):
     df = spark.createDataFrame([(1, 1.0, 1), (1, 2.0, 2)], "clip int, pos double, seq int")
     blocked = timeline.add_blocks(df, ["clip"], ORDER)
-    assert {(r["_b1"], r["_b2"], r["_b3"], r["_hot"]) for r in blocked.collect()} == {(0, 0, 0, False)}
+    assert timeline.block_columns(blocked) == []
+    rows = timeline.with_previous(blocked, ["clip"], ORDER, ["seq"]).collect()
+    assert sorted((r["seq"], r["prev_seq"]) for r in rows) == [(1, None), (2, 1)]
 
 
 def test_heavy_timeline_is_split_over_tasks(spark):
