@@ -67,8 +67,10 @@ def segments(spark: SparkSession, path: str, labelled: bool = False) -> DataFram
         F.coalesce(confidence >= 0.9, F.lit(False)).alias("rlhf_candidate"),
         F.coalesce(confidence < 0.7, F.lit(False)).alias("needs_human_review"),
         (i % 5 == 0).alias("reviewed"),
-        F.when(i % 13 != 0, F.format_string("seg/%d.mp3", i)).alias("file_path"),
-        F.when(i % 6 == 0, F.format_string("trim/%d.mp3", i))
+        F.when(i % 13 != 0, F.concat(F.lit("seg/"), i.cast("string"), F.lit(".mp3"))).alias(
+            "file_path"
+        ),
+        F.when(i % 6 == 0, F.concat(F.lit("trim/"), i.cast("string"), F.lit(".mp3")))
         .when(i % 6 == 1, "")
         .alias("trimmed_file_path"),
         (-(i * 17 % 50)).cast("double").alias("mean_volume"),
@@ -252,7 +254,9 @@ def model_results(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(
         F.col("clip").alias("id"),
         "rank_position",
-        F.format_string("v%d-%d", "part", "line").alias("text"),
+        F.concat(
+            F.lit("v"), F.col("part").cast("string"), F.lit("-"), F.col("line").cast("string")
+        ).alias("text"),
         "confidence",
         F.concat(F.lit("model-"), F.col("rank_position").cast("string")).alias("model"),
         F.col("part"),

@@ -268,7 +268,9 @@ def nested_labels(spark, path):
     nested = queues.nest_children(
         parents, children, "id", ["l_linenumber", "l_partkey"], ["l_linenumber", "l_partkey"]
     )
-    item = lambda c: F.format_string("%d:%d", c["l_linenumber"], c["l_partkey"])
+    item = lambda c: F.concat_ws(
+        ":", c["l_linenumber"].cast("string"), c["l_partkey"].cast("string")
+    )
     return nested.select(
         "id",
         F.col("offset").cast("int").alias("offset"),
