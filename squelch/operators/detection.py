@@ -233,9 +233,8 @@ def detect(
 
     Input columns: text, confidence, duration, speaker_count, speech_density, mean_volume,
     max_volume, and optionally words (else the text is split), high_workload and turn_mismatches.
-    Adds routing, quality, matches,
-    rule_hits, edge_score and summary. Empty text yields no built-in matches; its quality penalty
-    still counts.
+    Adds routing, quality, matches, rule_hits, edge_score and summary. Empty text yields no
+    built-in matches; its quality penalty still counts.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
