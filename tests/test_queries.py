@@ -27,4 +27,6 @@ def test_entry_contract(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.queries()) >= set(catalog.QUERIES)
+    assert set(entry.oracle_sql()) >= set(catalog.ORACLE)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
