@@ -69,7 +69,9 @@ def keep_bitmaps(
         .withColumn("_before", F.lag("doc_id").over(stream))
         .filter((F.col("_nth") == 1) | ~F.col("doc_id").eqNullSafe(F.col("_before")))
         .groupBy("_h1", "_h2")
-        .agg(F.count("*").alias("_documents"), F.max("doc_id").alias("_keeper"))
+        # the row comes along so that both uses of the ranges read the same columns, one exchange
+        .agg(F.count("*").alias("_documents"), F.max(F.struct("doc_id", "_row")).alias("_last"))
+        .select("_h1", "_h2", "_documents", F.col("_last")["doc_id"].alias("_keeper"))
         .filter((F.col("_documents") >= min_documents) & F.col("_keeper").isNotNull())
         .drop("_documents")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squelch.llm import line_dedup, perspectives
+from squelch.llm import decontaminate, line_dedup, mixture, perspectives
 from squelch.llm.registry import ORACLE, QUERIES, query
 from squelch.llm.shared import table
 __all__ = ["ORACLE", "QUERIES"]
@@ -65,3 +65,24 @@ def perspectives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations")).select(
         "conv_id", "perspective", "turn", "speaker", "chat_role", "rendered", "mask_start", "mask_end"
     )
+
+
+@query("op3_decontaminate")
+def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.find_contamination(documents, table(spark, sf_dir, "benchmark"), "found")
+    found = F.col("found")
+    return out.select(
+        "doc_id",
+        found["n_words"].alias("n_words"),
+        decontaminate.n_hit(found).alias("n_hit"),
+        F.size(found["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(found["items"], ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(found).alias("contaminated"),
+    )
+
+
+@query("op4_mixture")
+def mixture_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixture.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
