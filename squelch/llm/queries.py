@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squelch.llm import decontaminate, line_dedup, mixture, perspectives
+from squelch.llm import decontaminate, line_dedup, mixture, perspectives, simple8b, syncmers
 from squelch.llm.registry import ORACLE, QUERIES, query
 from squelch.llm.shared import table
 __all__ = ["ORACLE", "QUERIES"]
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 LINE_SQL = r"""
 WITH lines AS (
   SELECT d.doc_id, u.position - 1 AS position, u.line
@@ -86,3 +89,22 @@ def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixture_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixture.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_syncmers")
+def syncmers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = syncmers.compare_neighbours(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.fingerprint(F.col("anchors")).alias("fingerprint"),
+        syncmers.fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+@query("op10_simple8b")
+def simple8b_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.code_documents(table(spark, sf_dir, "documents"), TOKENIZER)
