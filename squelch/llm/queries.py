@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squelch.llm import decontaminate, line_dedup, mixture, perspectives, simple8b, syncmers
+from squelch.llm import decontaminate, line_dedup, mixture, perspectives, simple8b, syncmers, toxicity
 from squelch.llm.registry import ORACLE, QUERIES, query
 from squelch.llm.shared import table
 __all__ = ["ORACLE", "QUERIES"]
@@ -108,3 +108,16 @@ def syncmers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simple8b")
 def simple8b_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.code_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query("op5_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    score = F.col("found")["score"]
+    return toxicity.score_documents(documents, model, "found").select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        score.alias("score"),
+        F.when(score >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
