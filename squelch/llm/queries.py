@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squelch.llm import decontaminate, line_dedup, mixture, perspectives, simple8b, syncmers, toxicity
+from squelch.llm import decontaminate, jaccard, line_dedup, mixture, perspectives, simple8b, syncmers, toxicity
 from squelch.llm.registry import ORACLE, QUERIES, query
 from squelch.llm.shared import table
 __all__ = ["ORACLE", "QUERIES"]
@@ -121,3 +121,8 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         score.alias("score"),
         F.when(score >= 0.5, 1).otherwise(0).alias("predicted"),
     )
+
+
+@query("op1_jaccard")
+def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
