@@ -296,9 +296,11 @@ def _open_pairs(shared: DataFrame, members: DataFrame, named: DataFrame, round_:
     return pairs.join(label("a"), "a").join(label("b"), "b").filter("_a != _b").select("a", "b")
 
 
-def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = THRESHOLD
+) -> DataFrame:
     """The rows of ``documents`` whose id is the smallest of its component; rows without id stay."""
-    out = linked(documents, id_col, text_col).filter(F.col("doc_id") != F.col("component_id"))
+    out = linked(documents, id_col, text_col, n, percent).filter(F.col("doc_id") != F.col("component_id"))
     gone = cut(out.select(F.col("doc_id").alias("_gone")).distinct())
     keyed = documents.withColumn("_gone", F.col(id_col).cast("long"))
     return with_small(keyed, gone, ["_gone"], "left_anti").drop("_gone").select(*documents.columns)
