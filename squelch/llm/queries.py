@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squelch.llm import decontaminate, jaccard, line_dedup, mixture, perspectives, simple8b, suffix_dedup, syncmers, toxicity
+from squelch.llm import decontaminate, hmm, jaccard, line_dedup, mixture, perspectives, simple8b, suffix_dedup, syncmers, toxicity
 from squelch.llm.registry import ORACLE, QUERIES, query
 from squelch.llm.shared import table
 __all__ = ["ORACLE", "QUERIES"]
@@ -132,3 +132,8 @@ def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_hmm")
+def hmm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
