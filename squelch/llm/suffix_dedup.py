@@ -11,8 +11,9 @@ from the anchor to the end of the last of them, followed by the bytes before the
 2. A task merges the runs of its range with a loser tree that carries common-prefix lengths: a match
    compares lengths first and bytes only behind a known common prefix. Of equal records all but the
    smallest id are removed.
-3. Different records with one gram may share some of their strings only. Those strings (and those
-   of grams at the border of a range, which may go on beyond it) are compared one by one.
+3. Different records with one gram may share some of their strings only. These are compared one by
+   one as the gram passes; those of a gram at the border of a range, which may go on beyond it, and
+   of grams with more than ``GROUP_RECORDS`` records are compared by a join.
 
 A hot record costs one entry per run, a hot gram is spread over ranges.
 """
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +32,11 @@ from squelch.llm.hashing import _VALUES, mix
 from squelch.llm.shared import fresh_folder
 
 LENGTH = 50
-GRAM = 26
-RUN_BYTES = 12_000_000
+GRAM = 20
+RUN_BYTES = 8_000_000
 SPLITTER_DOCUMENTS = 2000
-RANGE_BYTES = 64_000_000
+RANGE_BYTES = 8_000_000
+GROUP_RECORDS = 10_000
 BEFORE = LENGTH - GRAM
 #: Suffix, bytes before the anchor, and both lengths.
 WIDTH = LENGTH + BEFORE + 2
@@ -44,7 +46,7 @@ FOUND = "id bigint, row int, spans binary, string binary, at int"
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of each run of ``GRAM`` bytes, by doubling: 26 = 16 + 8 + 2."""
+    """Hash of each run of ``GRAM`` bytes, by doubling: 20 = 16 + 4."""
     k = np.uint64(0x9E3779B97F4A7C15)
     x, n, made = _VALUES[data], 1, {}
     while n <= 16:
@@ -52,7 +54,7 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
         x = (x[:-n] * k) ^ (x[n:] + (x[n:] >> np.uint64(29))) if len(x) > n else x[:0]
         n *= 2
     m = len(data) - GRAM + 1
-    return mix(made[16][:m] * k + made[8][16 : 16 + m] * (k ^ np.uint64(0x5555)) + made[2][24 : 24 + m])
+    return mix(made[16][:m] * k + made[4][16 : 16 + m])
 
 
 def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,14 +143,16 @@ def _front_coded(records: np.ndarray, docs: np.ndarray, starts: np.ndarray, ids:
     rest = records[heads][np.arange(WIDTH) >= shared[:, None]]
     known, local = np.unique(docs, return_inverse=True)
     header = np.array([len(heads), n, len(known), len(rest)], "<i8")
-    return b"".join(
+    parts = (
         x.tobytes()
         for x in (header, shared.astype(np.uint8), counts.astype("<i4"), local.astype("<i4"), starts.astype("<i4"), ids[known].astype("<i8"), rows[known].astype("<i4"), rest)
     )
+    return zstandard.compress(b"".join(parts), 3)
 
 
 def _decoded(blob: bytes) -> Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]:
     """(prefix shared with the record before, record, places (id, row, first start))."""
+    blob = zstandard.decompress(blob)
     heads, n, known, _ = np.frombuffer(blob, "<i8", 4).tolist()
     at = 32
     parts = []
@@ -157,14 +161,18 @@ def _decoded(blob: bytes) -> Iterator[tuple[int, bytes, list[tuple[int, int, int
         at += x.nbytes
         parts.append(x)
     shared, counts, local, starts, ids, rows = parts
-    ids, rows = ids[local].tolist(), rows[local].tolist()
-    starts, record, k = starts.tolist(), b"", 0
-    for common, count in zip(shared.tolist(), counts.tolist(), strict=True):
-        size = WIDTH - common
-        record = record[:common] + blob[at : at + size]
-        at += size
-        yield common, record, [(ids[j], rows[j], starts[j]) for j in range(k, k + count)]
-        k += count
+    record, k = b"", 0
+    for block in range(0, heads, 4096):
+        count = counts[block : block + 4096]
+        docs = local[k : k + int(count.sum())]
+        places = list(zip(ids[docs].tolist(), rows[docs].tolist(), starts[k : k + len(docs)].tolist(), strict=True))
+        k, j = k + len(docs), 0
+        for common, c in zip(shared[block : block + 4096].tolist(), count.tolist(), strict=True):
+            size = WIDTH - common
+            record = record[:common] + blob[at : at + size]
+            at += size
+            yield common, record, places[j : j + c]
+            j += c
 
 
 def merged(runs: list[Iterator]) -> Iterator[tuple[int, bytes, list]]:
@@ -342,30 +350,45 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _merge_range(runs: list[Iterator]) -> Iterator[pa.RecordBatch]:
     out = _Out()
 
-    def strings(record: bytes, places: list) -> None:
+    def texts(record: bytes) -> list[bytes]:
         behind, before = record[-2], record[-1]
         text = record[LENGTH : LENGTH + before][::-1] + record[:behind]
-        for i, r, start in places:
-            for d in range(len(text) - LENGTH + 1):
-                out.strings.append((i, r, text[d : d + LENGTH], start + d))
+        return [text[d : d + LENGTH] for d in range(len(text) - LENGTH + 1)]
+
+    def send(record: bytes, places: list) -> None:
+        for d, string in enumerate(texts(record)):
+            out.strings += [(i, r, string, a + d) for i, r, a in places]
+
+    def compare() -> None:
+        first: dict[bytes, int] = {}
+        for record, places in group:
+            i = places[0][0]
+            for string in texts(record):
+                if first.setdefault(string, i) > i:
+                    first[string] = i
+        for record, places in group:
+            i = places[0][0]
+            for d, string in enumerate(texts(record)):
+                if first[string] < i:
+                    out.spans += [(i, r, a + d, a + d + LENGTH) for _, r, a in places]
 
     record, places, least = None, [], 0
-    alone = None  # the only record of the gram so far, with its places
-    split = True  # whether the gram has another record, or may have one in the range before
+    group: list = []  # records of the gram, with the places of their smallest id
+    outside = True  # the gram may go on in the range before, or has too many records: compared by join
 
     def done(new_gram: bool) -> None:
         """A record is complete: ``places`` are those of its smallest id."""
-        nonlocal alone, split
-        if split:
-            strings(record, places)
-        elif alone is not None:
-            strings(*alone)
-            strings(record, places)
-            alone, split = None, True
-        else:
-            alone = (record, places)
+        nonlocal group, outside
+        group.append((record, places))
+        if outside or len(group) > GROUP_RECORDS:
+            outside = True
+            for g in group:
+                send(*g)
+            group = []
         if new_gram:
-            alone, split = None, False
+            if len(group) > 1:
+                compare()
+            group, outside = [], False
 
     for common, text, found in merged(runs):
         if record is not None and common == WIDTH:
@@ -386,9 +409,8 @@ def _merge_range(runs: list[Iterator]) -> Iterator[pa.RecordBatch]:
         if len(out.spans) + len(out.strings) > 200_000:
             yield out.batch()
     if record is not None:
+        outside = True
         done(False)
-        if alone is not None:
-            strings(*alone)
     yield out.batch()
 
 
