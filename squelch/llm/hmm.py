@@ -36,7 +36,7 @@ HEAD_WORDS = 1 << 18
 SHORT = 1024
 FOLDS, FOLD = 7, 2
 PARTS = 16
-PRIOR = 100.0
+PRIOR = 1000.0
 
 
 def held_out(doc_id: Column) -> Column:
