@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from squelch.llm.components import components
 from squelch.llm.hashing import SPACED, Words, mix, ngrams, slices
-from squelch.llm.shared import cut, with_small
+from squelch.llm.shared import cut, stored, with_small
 
 SHINGLE = 3
 THRESHOLD = 90
@@ -161,10 +162,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(check, "a bigint, b bigint")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(3)
+    for batch in batches:
+        texts = [press.compress((x or "").encode()) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["id", "_text"])
+
+
 def _aligned(first, second) -> Iterator[tuple]:
-    """Slices of two columns over the same rows."""
-    for start in range(0, len(first), 64):
-        a, b = first.slice(start, 64), second.slice(start, 64)
+    """Slices of two columns of packed texts over the same rows."""
+    unpack = zstandard.ZstdDecompressor()
+    for start in range(0, len(first), 16):
+        a, b = (pa.array([unpack.decompress(x) for x in c.slice(start, 16).to_pylist()], pa.binary()) for c in (first, second))
         yield next(slices(a, 1 << 40)), next(slices(b, 1 << 40))
 
 
@@ -179,8 +188,8 @@ def linked(
     and has no component_id.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    rows = cut(document_sets(docs, n, percent))
-    classes = cut(
+    rows = stored(document_sets(docs, n, percent), "sets")
+    classes = stored(
         rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
         .groupBy("sig")
         .agg(
@@ -188,7 +197,8 @@ def linked(
             F.first("n").alias("n"),
             F.first("prefix").alias("prefix"),
             F.first("prefix_sig").alias("prefix_sig"),
-        )
+        ),
+        "classes",
     )
     # 1. groups: equal size and prefix; the member with the smallest id leads
     groups = classes.groupBy("n", "prefix_sig").agg(F.min("id").alias("lead"), F.count("*").alias("members"))
@@ -202,7 +212,7 @@ def linked(
     )
     leader = F.struct(F.xxhash64("id", F.pmod("token", F.lit(LEADERS))).alias("by"), "id", "n", "at")
     heads = postings.groupBy("token").agg(F.count("*").alias("groups"), F.min(leader).alias("head"))
-    shared = cut(postings.join(heads.filter(F.col("groups") > 1), "token").drop("groups"))
+    shared = stored(postings.join(heads.filter(F.col("groups") > 1), "token").drop("groups"), "postings")
     star = _admitted(shared.select("*", F.col("head")["id"].alias("id2"), F.col("head")["n"].alias("n2"), F.col("head")["at"].alias("at2")), percent)
     pairs = star.unionByName(members.select(F.col("lead").alias("a"), F.col("id").alias("b")).filter(F.col("a") != F.col("b")))
     # 3. and 4.
@@ -237,9 +247,10 @@ def linked(
 
 
 def _texts(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """Texts of the needed classes: the rows whose doc_id is the class id."""
+    """Packed texts of the needed classes: the rows whose doc_id is the class id."""
     with_id = docs.withColumn("id", F.col("doc_id"))
-    return with_small(with_id, needed, ["id"], "inner").select("id", "_text")
+    found = with_small(with_id, needed, ["id"], "inner").select("id", "_text")
+    return found.mapInArrow(_packed, "id bigint, _text binary")
 
 
 def _admitted(pairs: DataFrame, percent: int) -> DataFrame:

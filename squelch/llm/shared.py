@@ -41,6 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder as Parquet and read back: like ``cut``, for large tables."""
+    folder = fresh_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def with_small(large: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
     """Join on ``on``: ``small`` (already materialised, two narrow columns at most) is broadcast
     if it has at most ``MAX_BROADCAST_ROWS`` rows; otherwise the join shuffles both sides.
