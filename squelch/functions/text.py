@@ -180,11 +180,10 @@ def emergency_indicators(text: Column, volume_variance: Column) -> Column:
 
 
 def numbers(text: Column, pattern: str = r"\d+") -> Column:
-    """Digit runs as integers; runs beyond 64 bits become null and drop out."""
-    return F.array_compact(
-        F.transform(
-            F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), lambda d: d.try_cast("bigint")
-        )
+    """Digit runs of any length as numbers in decimal notation, without leading zeros."""
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(f"({pattern})"), 1),
+        lambda d: F.regexp_replace(d, "^0+(?=.)", ""),
     )
 
 

@@ -2,8 +2,8 @@
 
 A lexicon is a list of cases ``{"id", "name", "category", "severity", "keywords"}``. Up to
 ``MAX_INLINE_KEYWORDS`` it travels inside the plan as one constant array and a transcript is
-matched in a single projection, with no join and no shuffle. Bigger lexicons stay a table and
-are matched by hash join on word n-grams (``match_ngrams``).
+matched in a single projection, with no join and no shuffle. Bigger lexicons stay a table:
+``match_substrings`` finds what ``keyword_hits`` finds, ``match_ngrams`` finds whole words.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def load_cases(cases: DataFrame) -> list[dict]:
     """Cases of a taxonomy frame as a constant lexicon; refuses lexicons too big to inline."""
     size = cases.agg(F.coalesce(F.sum(F.size("keywords") + 1), F.lit(0)).alias("n")).first()["n"]
     if size > MAX_INLINE_KEYWORDS:
-        raise ValueError(f"lexicon has {size} entries; match it as a table with match_ngrams")
+        raise ValueError(f"lexicon has {size} entries; match it as a table with match_substrings")
     return [
         {
             "id": r["case_id"],
@@ -175,18 +175,22 @@ def match_ngrams(
     id_column: str,
     text_column: str,
     keywords: DataFrame,
-    max_words: int,
     salts: int = 16,
 ) -> DataFrame:
-    """Whole-word matches of a keyword table of any size.
+    """Whole-word matches of a keyword table of any size, keywords of any number of words.
 
-    ``keywords`` has (case_id, keyword). Each text becomes its distinct n-grams, one row per text
-    and n-gram, and an equi-join on the n-gram finds the cases. A frequent word is a hot join key,
+    ``keywords`` has (case_id, keyword). Each text becomes its distinct n-grams of the lengths that
+    the keywords have (one aggregate over the keyword table finds them), one row per text and
+    n-gram, and an equi-join on the n-gram finds the cases. A frequent word is a hot join key,
     so the texts are salted and the keyword table, the small side, is repeated per salt.
     """
-    tokens = F.filter(
-        F.split(F.lower(F.col(text_column)), rf"[^{text.WORD_CHARS}]+"), lambda w: w != ""
-    )
+
+    def split(column: str) -> Column:
+        return F.filter(
+            F.split(F.lower(F.col(column)), rf"[^{text.WORD_CHARS}]+"), lambda w: w != ""
+        )
+
+    lengths = keywords.agg(F.collect_set(F.size(split("keyword")))).first()[0]
 
     def grams_of(words: Column, n: int) -> Column:
         return F.when(
@@ -197,8 +201,10 @@ def match_ngrams(
             ),
         ).otherwise(F.array().cast("array<string>"))
 
+    none = F.array().cast("array<string>")
     grams = let(
-        tokens, lambda ws: F.concat(*[grams_of(ws, n) for n in range(1, max_words + 1)])
+        split(text_column),
+        lambda ws: F.concat(none, *[grams_of(ws, n) for n in sorted(lengths) if n > 0]),
     )
     salt = F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int")
     exploded = unnest(
@@ -207,17 +213,57 @@ def match_ngrams(
     lexicon = keywords.select(
         "case_id",
         "keyword",
-        F.array_join(
-            F.filter(
-                F.split(F.lower("keyword"), rf"[^{text.WORD_CHARS}]+"), lambda w: w != ""
-            ),
-            " ",
-        ).alias("_gram"),
+        F.array_join(split("keyword"), " ").alias("_gram"),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
     )
     return exploded.join(lexicon, ["_gram", "_salt"]).select(id_column, "case_id", "keyword")
 
 
+def match_substrings(
+    texts: DataFrame,
+    id_column: str,
+    text_column: str,
+    keywords: DataFrame,
+    gram: int = 4,
+    salts: int = 16,
+) -> DataFrame:
+    """Substring matches of a keyword table of any size: the hits of ``keyword_hits`` as rows.
+
+    ``keywords`` has (case_id, keyword). A text that holds a keyword holds its first ``gram``
+    characters (or all of a shorter one), so texts become their distinct character grams of the
+    lengths in use and an equi-join finds candidates; longer keywords are then looked for in the
+    whole text. ``id_column`` is unique. Empty and null keywords match nothing.
+    """
+    lower = F.lower(F.col(text_column))
+    lexicon = keywords.select("case_id", "keyword", F.lower("keyword").alias("_word")).filter(
+        F.length("_word") > 0
+    )
+    lengths = lexicon.agg(F.collect_set(F.least(F.length("_word"), F.lit(gram)))).first()[0]
+
+    def grams_of(t: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: t.substr(i, F.lit(n)))
+
+    none = F.array().cast("array<string>")
+    grams = let(lower, lambda t: F.concat(none, *[grams_of(t, n) for n in sorted(lengths)]))
+    salt = F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int")
+    exploded = unnest(texts, F.array_distinct(grams), "_gram", id_column, salt.alias("_salt"))
+    keyed = lexicon.select(
+        "*",
+        F.substring("_word", 1, gram).alias("_gram"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+    )
+    candidates = exploded.join(keyed, ["_gram", "_salt"])
+    found = ["case_id", "keyword"]
+    short = candidates.filter(F.length("_word") <= gram).select(id_column, *found)
+    long = (
+        candidates.filter(F.length("_word") > gram)
+        .join(texts.select(id_column, lower.alias("_lower")), id_column)
+        .filter(F.contains("_lower", "_word"))
+    )
+    return short.unionByName(long.select(id_column, *found))
+
+
 def search_cases(cases: DataFrame, query: str) -> DataFrame:
     """Case-insensitive search in name, description and id; empty categories drop out."""
     q = F.lit(query.lower())

@@ -15,15 +15,15 @@ OUTPUTS = 3
 
 
 def assemble_variations(
-    results: DataFrame, key: str, fields: Sequence[str], k: int = OUTPUTS
+    results: DataFrame, key: str, fields: Sequence[str], k: int | None = None
 ) -> DataFrame:
     """Model results to one ordered array per segment; invalid results (null text) are skipped.
 
-    Only the first k valid results per segment are ranked in, so an array holds at most k.
+    All valid results are kept, one per model; ``k`` keeps the first k only.
     """
-    valid = queues.top_k_per_group(
-        results.filter(F.col("text").isNotNull()), [key], [F.col("rank_position").asc()], k, "_rank"
-    )
+    valid = results.filter(F.col("text").isNotNull())
+    if k is not None:
+        valid = queues.top_k_per_group(valid, [key], [F.col("rank_position").asc()], k, "_rank")
     item = F.struct("rank_position", *[f for f in fields if f != "rank_position"])
     return valid.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("variations"))
 
@@ -109,27 +109,31 @@ def ranking_errors(scores: Column, ranking: Column) -> Column:
     )
 
 
-def preference_pairs(rankings: DataFrame) -> DataFrame:
-    """Every better-worse pair of a ranking; three outputs give three pairs.
+def preference_pairs(rankings: DataFrame, outputs: int | None = OUTPUTS) -> DataFrame:
+    """Every better-worse pair of a ranking; n outputs give n (n - 1) / 2 pairs.
 
     Input: segment_id, model_output_id, ``variations``, ``scores`` (arrays in output order),
-    ``ranking`` and notes. Pairs are built inside the row.
+    ``ranking`` and notes. A complete ranking has ``outputs`` ranks, or one for each variation
+    when that is None. Pairs are built inside the row.
     """
     order = F.array_sort(
         F.transform("ranking", lambda r, i: F.struct(r.alias("rank"), i.alias("index")))
     )
-    places = [(a, b) for a in range(OUTPUTS) for b in range(a + 1, OUTPUTS)]
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("better_place"),
-                F.lit(b).alias("worse_place"),
-                F.get("_order", F.lit(a))["index"].alias("better"),
-                F.get("_order", F.lit(b))["index"].alias("worse"),
-            )
-            for a, b in places
-        ]
-    )
+    complete = F.size("variations") if outputs is None else F.lit(outputs)
+
+    def below(better: Column, a: Column) -> Column:
+        rest = F.slice("_order", a + 2, F.size("_order"))
+        return F.transform(
+            rest,
+            lambda worse, i: F.struct(
+                a.alias("better_place"),
+                (a + i + 1).alias("worse_place"),
+                better["index"].alias("better"),
+                worse["index"].alias("worse"),
+            ),
+        )
+
+    pairs = F.flatten(F.transform("_order", below))
 
     def output(side: str) -> Column:
         return F.get("variations", F.col(f"p.{side}"))
@@ -139,7 +143,7 @@ def preference_pairs(rankings: DataFrame) -> DataFrame:
 
     metrics = ["accuracy", "completeness", "clarity"]
     return (
-        rankings.filter(F.size("ranking") == OUTPUTS)
+        rankings.filter(F.size("ranking") == complete)
         .withColumn("_order", order)
         .withColumn("p", F.explode(pairs))
         .select(

@@ -8,6 +8,7 @@ carried over from a per-block summary. Results equal the plain window.
 Blocks come from the data alone (row count and value range), so recomputed tasks agree. A heavy
 timeline is cut evenly over its position range; a block that is still heavy is cut again over its
 own range, by position or, where all positions are equal, by the tie-break column, twice at most.
+Null positions come first, as in the plain window, and null keys form a timeline like any other.
 Levels after the first read the heavy rows only. ``order`` should end in a column without repeats.
 
 ``add_blocks`` first counts the rows per timeline. When none is heavy it adds nothing, and the
@@ -20,6 +21,8 @@ at most rows / rows_per_block of them, and at most twice as many blocks per leve
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +50,7 @@ def add_blocks(
             .groupBy(*group)
             .agg(
                 F.count("*").alias("_n"),
+                F.count(position).alias("_set"),
                 F.min(F.col(position).cast("double")).alias("_lo"),
                 F.max(F.col(position).cast("double")).alias("_hi"),
                 F.min(F.col(tie).cast("double")).alias("_tie_lo"),
@@ -54,28 +58,38 @@ def add_blocks(
             )
             .filter(F.col("_n") > rows_per_block)
         )
-        spread = F.col("_hi") > F.col("_lo")
-        at = F.when(spread, F.col(position)).otherwise(F.col(tie)).cast("double")
-        low = F.when(spread, F.col("_lo")).otherwise(F.col("_tie_lo"))
-        high = F.when(spread, F.col("_hi")).otherwise(F.col("_tie_hi"))
         blocks = F.ceil(F.col("_n") / rows_per_block)
+
+        def piece(at: Column, low: Column, high: Column) -> Column:
+            part = F.floor((at.cast("double") - low) / (high - low) * blocks)
+            return F.when(at.isNotNull() & (high > low), F.least(blocks - 1, part)).otherwise(0)
+
+        here = F.col(position)
+        by_position = piece(here, F.col("_lo"), F.col("_hi"))
         block = (
-            F.when(F.col("_n").isNull() | (high <= low), F.lit(0))
-            .otherwise(
-                F.least(blocks - 1, F.floor((at - low) / (high - low) * blocks))
-            )
+            F.when(F.col("_n").isNull(), 0)
+            .when((F.col("_set") > 0) & (F.col("_set") < F.col("_n")), F.when(here.isNull(), 0).otherwise(by_position + 1))
+            .when(F.col("_hi") > F.col("_lo"), by_position)
+            .otherwise(piece(F.col(tie), F.col("_tie_lo"), F.col("_tie_hi")))
             .cast("bigint")
         )
         df = (
-            df.join(F.broadcast(ranges), group, "left")
+            _left_join(df, ranges, group)
             .withColumn(level, block)
             .withColumn(HOT, F.col("_n").isNotNull() if level == LEVELS[0] else F.col(HOT))
-            .drop("_n", "_lo", "_hi", "_tie_lo", "_tie_hi")
+            .drop("_n", "_set", "_lo", "_hi", "_tie_lo", "_tie_hi")
         )
         group = [*group, level]
     return df
 
 
+def _left_join(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join with a broadcast side on columns that may be null on both sides."""
+    renamed = small.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return df.join(F.broadcast(renamed), same, "left").drop(*[f"_on_{c}" for c in on])
+
+
 def drop_blocks(df: DataFrame) -> DataFrame:
     return df.drop(HOT, *LEVELS)
 
@@ -110,7 +124,7 @@ def _with_carry(
         .agg(*[value.alias(name) for name, value in aggregates.items()])
     )
     carry = summary.select(*key, *LEVELS, carried(across, before).alias(name))
-    return out.join(F.broadcast(carry), [*key, *LEVELS], "left")
+    return _left_join(out, carry, [*key, *LEVELS])
 
 
 def with_previous(

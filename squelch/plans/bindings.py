@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from squelch.operators import queues, ranking, sizing
+from squelch.operators import ranking, sizing
 
 AIRPORTS = ["KJFK", "KHOU", "KIAH", "KSFO", "KAUS", "KEWR", "KLGA"]
 FACILITIES = ["tower", "ground", "approach", "departure"]
@@ -248,11 +248,13 @@ REGIONS = f"""regions AS (
 
 
 def model_results(spark: SparkSession, path: str) -> DataFrame:
-    """The first three lines of an order as the results of three models."""
+    """Every three lines of an order as the results of three models for one output."""
     order = [F.col(c).asc() for c in WORD_ORDER] + [F.col("sentence").asc()]
-    lines = queues.top_k_per_group(words(spark, path), ["clip"], order, 3, "rank_position")
+    before = F.row_number().over(Window.partitionBy("clip").orderBy(*order)) - 1
+    lines = words(spark, path).withColumn("_before", before)
+    lines = lines.withColumn("rank_position", F.col("_before") % 3 + 1)
     return lines.select(
-        F.col("clip").alias("id"),
+        (F.col("clip") * 4 + F.floor(F.col("_before") / 3)).alias("id"),
         "rank_position",
         F.concat(
             F.lit("v"), F.col("part").cast("string"), F.lit("-"), F.col("line").cast("string")
@@ -265,12 +267,11 @@ def model_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 RESULTS = f"""results AS (
-  SELECT l_orderkey AS id, rank_position, 'v' || l_partkey || '-' || l_linenumber AS text,
-    1 - l_discount AS confidence, 'model-' || rank_position AS model, l_partkey AS part,
+  SELECT l_orderkey * 4 + earlier // 3 AS id, earlier % 3 + 1 AS rank_position, 'v' || l_partkey || '-' || l_linenumber AS text,
+    1 - l_discount AS confidence, 'model-' || (earlier % 3 + 1) AS model, l_partkey AS part,
     l_extendedprice AS price
   FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey
-      ORDER BY {_SQL_ORDER}, l_returnflag) AS rank_position FROM lineitem)
-  WHERE rank_position <= 3
+      ORDER BY {_SQL_ORDER}, l_returnflag) - 1 AS earlier FROM lineitem)
 )"""
 
 

@@ -389,26 +389,37 @@ def two_stage_gate(spark, path):
 
 @query(
     "review_prompts",
-    SEG + ", " + b.RECORDINGS + """, top AS (SELECT * FROM segments WHERE confidence IS NOT NULL)
+    SEG + ", " + b.RECORDINGS + rf""", numbered AS (SELECT *, {tr._TOKENS} AS tokens FROM segments
+  WHERE confidence IS NOT NULL)
 SELECT s.id, concat_ws(chr(10), 'Airport: ' || r.airport, 'Facility: ' || r.facility,
-  'Automatic Transcription (potentially incorrect):', '"' || s.text || '"') AS head
-FROM top s JOIN recordings r ON r.recording_id = s.recording_id""",
+  'Duration: ' || printf('%.1f', floor(s.duration * 2) / 2) || 's',
+  'Overall Confidence: ' || printf('%.1f', floor(s.confidence * 1000) / 1000 * 100) || '%' || chr(10),
+  'Automatic Transcription (potentially incorrect):', '"' || s.text || '"' || chr(10),
+  CASE WHEN len(tokens) > 0 THEN 'Word-level confidence scores:' || chr(10) || array_to_string(
+    list_transform(tokens, lambda w, i: '  ' || i || '. "' || w || '" (' || (s.id * 31 + (i - 1) * 17) % 100
+      || '%)'), chr(10)) || chr(10) END,
+  'Based on the context and low confidence scores, what is the most likely correct transcription? Consider:',
+  '- Standard aviation phraseology', '- ' || r.airport || ' airport layout and operations',
+  '- ' || r.facility || ' typical communications',
+  '- Low-confidence words may be mishearing of similar-sounding aviation terms' || chr(10),
+  'Provide the corrected transcription:') AS prompt
+FROM numbered s JOIN recordings r ON r.recording_id = s.recording_id""",
 )
 def review_prompts(spark, path):
-    """Prompt heads; the numbers, whose text form engines write differently, are cut out."""
+    """Whole prompts; duration and confidence are cut to the digits that the prompt shows."""
     s = b.segments(spark, path).filter(F.col("confidence").isNotNull())
     joined = queues.embed(
         sizing.spread(s.select("id", "recording_id", "duration", "confidence", "text")),
         b.recordings(spark, path), ("airport", "facility"),
     )
     words = F.transform(
-        F.slice(text.words(F.col("text")), 1, 1),
-        lambda w: F.struct(w.alias("word"), F.lit(0.5).alias("confidence")),
+        text.words(F.col("text")),
+        lambda w, i: F.struct(
+            w.alias("word"), (((F.col("id") * 31 + i * 17) % 100) / 100.0).alias("confidence")
+        ),
     )
     prompt = text.review_prompt(
-        F.col("airport"), F.col("facility"), F.col("duration"), F.col("confidence"),
-        F.col("text"), words,
+        F.col("airport"), F.col("facility"), F.floor(F.col("duration") * 2) / 2,
+        F.floor(F.col("confidence") * 1000) / 1000, F.col("text"), words,
     )
-    head = F.substring_index(prompt, "\n\nWord-level confidence scores:", 1)
-    lean = F.regexp_replace(head, r"\nDuration: [0-9.]+s\nOverall Confidence: [0-9.]+%\n", "")
-    return joined.select("id", lean.alias("head"))
+    return joined.select("id", prompt.alias("prompt"))

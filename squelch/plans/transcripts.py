@@ -134,7 +134,34 @@ def keyword_table_match(spark, path):
     """The lexicon as a table, matched by hash join on n-grams."""
     keywords = spark.createDataFrame(_KEYWORD_ROWS, "case_id string, keyword string")
     docs = _documents(spark, path)
-    return lexicon.match_ngrams(docs, "id", "text", keywords, 2)
+    return lexicon.match_ngrams(docs, "id", "text", keywords)
+
+
+_BENCHMARK_WORDS = r"""keywords AS (SELECT DISTINCT 'K' || length(keyword) AS case_id, keyword FROM (
+  SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS keyword FROM benchmark)
+  WHERE length(keyword) > 2)"""
+
+
+def _benchmark_words(spark, path):
+    found = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
+    return (
+        b.table(spark, path, "benchmark")
+        .select(F.explode(found).alias("keyword"))
+        .filter(F.length("keyword") > 2)
+        .select(F.concat(F.lit("K"), F.length("keyword")).alias("case_id"), "keyword")
+        .distinct()
+    )
+
+
+@query(
+    "keyword_table_substrings",
+    f"""WITH {DOCS}, {_BENCHMARK_WORDS} SELECT d.id, k.case_id, k.keyword
+FROM docs d JOIN keywords k ON contains(d.t, k.keyword)""",
+)
+def keyword_table_substrings(spark, path):
+    """Every word of the benchmark as a keyword, found anywhere in the documents."""
+    docs = _documents(spark, path).select("id", "text")
+    return lexicon.match_substrings(docs, "id", "text", _benchmark_words(spark, path))
 
 
 @query(
@@ -269,14 +296,14 @@ def marker_split(spark, path):
 @query(
     "number_extraction",
     f"""WITH {DOCS} SELECT id, array_to_string(list_filter(list_transform(
-  regexp_extract_all(t, '\\d+'), lambda d: TRY_CAST(d AS BIGINT)), lambda n: n IS NOT NULL), ',')
+  regexp_extract_all(t, '\\d+'), lambda d: regexp_replace(d, '^0+(.)', '\\1')), lambda n: n IS NOT NULL), ',')
   AS numbers FROM docs WHERE regexp_matches(t, '\\d')""",
 )
 def number_extraction(spark, path):
     docs = _documents(spark, path).filter(F.col("t").rlike(r"\d"))
     return docs.select(
         "id",
-        F.array_join(text.numbers(F.col("t")).cast("array<string>"), ",").alias("numbers"),
+        F.array_join(text.numbers(F.col("t")), ",").alias("numbers"),
     )
 
 
@@ -298,15 +325,16 @@ def masked_words(spark, path):
 
 @query(
     "word_confidence",
-    f"""WITH {DOCS} SELECT id, array_to_string(list_transform({_TOKENS}, lambda w, i: w || '=' ||
-  CASE WHEN i > 40 THEN 'no data' WHEN {_CONF} >= 0.9::DOUBLE THEN 'high'
-    WHEN {_CONF} >= 0.7::DOUBLE THEN 'medium' ELSE 'low' END), ' ') AS bands FROM docs""",
+    f"""WITH {DOCS} SELECT id, array_to_string(list_transform(tokens, lambda w, i: w || '=' ||
+  CASE WHEN i > n - n // 3 THEN 'no data' WHEN {_CONF} >= 0.9::DOUBLE THEN 'high'
+    WHEN {_CONF} >= 0.7::DOUBLE THEN 'medium' ELSE 'low' END), ' ') AS bands
+FROM (SELECT id, {_TOKENS} AS tokens, len({_TOKENS}) AS n FROM docs)""",
 )
 def word_confidence(spark, path):
-    """Words aligned with a shorter confidence list, then banded."""
+    """Words aligned with confidences for all but their last third, then banded."""
     tokens = text.words(F.col("text"))
     confidences = F.transform(
-        F.slice(tokens, 1, 40), lambda _, i: ((F.col("id") * 31 + i * 17) % 100) / 100.0
+        F.slice(tokens, F.lit(1), F.size(tokens) - F.floor(F.size(tokens) / 3).cast("int")), lambda _, i: ((F.col("id") * 31 + i * 17) % 100) / 100.0
     )
     banded = F.transform(
         text.align_confidence(tokens, confidences),

@@ -106,6 +106,11 @@ def test_ranking_gives_three_pairs(spark):
     assert (pairs[2]["chosen_clarity_score"], pairs[2]["rejected_clarity_score"]) == (3, 2)
     errors = df.select(ranking.ranking_errors(F.col("scores"), F.col("ranking"))).first()[0]
     assert errors == []
+    four = df.withColumn("ranking", F.array(*map(F.lit, [2, 1, 4, 3]))).withColumn(
+        "variations", F.concat("variations", F.slice("variations", 1, 1))
+    )
+    assert ranking.preference_pairs(four).isEmpty()
+    assert ranking.preference_pairs(four, None).count() == 6
     tie = df.select(ranking.ranking_errors(F.col("scores"), F.array(F.lit(1), F.lit(1), F.lit(2))))
     assert tie.first()[0] == ["ranks not unique"]
     unset = F.array(F.lit(1), F.lit(None), F.lit(2))

@@ -150,11 +150,30 @@ def test_taxonomy_document(spark, tmp_path):
 def test_keyword_table_needs_no_inlining(spark):
     texts = spark.createDataFrame([(i, "the tower said hold short") for i in range(50)], "id int, t string")
     keywords = spark.createDataFrame([("A", "the"), ("B", "hold  short"), ("C", "tow")], "case_id string, keyword string")
-    got = lexicon.match_ngrams(texts, "id", "t", keywords, 2)
+    got = lexicon.match_ngrams(texts, "id", "t", keywords)
     assert got.count() == 100
     assert {r["case_id"] for r in got.collect()} == {"A", "B"}
 
 
+def test_long_keywords_of_a_table_are_found(spark):
+    texts = spark.createDataFrame([(1, "a b c d e"), (2, None), (3, "")], "id int, t string")
+    keywords = spark.createDataFrame([("A", "b c d e"), ("B", "a c"), ("C", "")], "case_id string, keyword string")
+    assert [tuple(r) for r in lexicon.match_ngrams(texts, "id", "t", keywords).collect()] == [(1, "A", "b c d e")]
+
+
+def test_table_substrings_equal_inlined_keywords(spark):
+    words = ["tow", "tower", "Hold  s", "x", "er s", "ü", "towers", "short of"]
+    texts = spark.createDataFrame(
+        [(1, "The TOWER said hold  short of"), (2, "ü"), (3, None), (4, ""), (5, "x" * 9)], "id int, t string"
+    )
+    keywords = spark.createDataFrame([(str(i), w) for i, w in enumerate(words)], "case_id string, keyword string")
+    cases = [{"id": str(i), "name": "n", "category": "c", "severity": 1.0, "keywords": [w]} for i, w in enumerate(words)]
+    inline = texts.select("id", F.explode(lexicon.keyword_hits(F.lower("t"), cases)).alias("h"))
+    want = {(r["id"], r["case_id"]) for r in inline.select("id", "h.case_id").collect()}
+    got = lexicon.match_substrings(texts, "id", "t", keywords).collect()
+    assert len(got) == len(want) and {(r["id"], r["case_id"]) for r in got} == want
+
+
 RULE = {"id": "r", "name": "n", "priority": "high",
         "conditions": {"keywords": ["unable", "standby"], "speech_rate": ">200", "multiple_speakers": True}}
 

@@ -63,7 +63,7 @@ def test_readback(spark, block):
     df = spark.createDataFrame(rows, "clip int, turn int, text string")
     got = turns.readback_mismatches(df, "clip", ["turn"], rows_per_block=block).collect()
     found = {(r["clip"], r["turn"]): list(r["mismatches"]) for r in got}
-    assert found == {(1, 1): [5000, 5000], (3, 1): [7]}
+    assert found == {(1, 1): ["5000", "5000"], (3, 1): ["99999999999999999999", "7"]}
 
 
 @pytest.mark.parametrize("block", [1_000_000, 2])
