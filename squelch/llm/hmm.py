@@ -32,6 +32,8 @@ CLASSES = 8192
 END = CLASSES
 STEPS = 5
 PIECE = 64
+#: Text that is worked on at once, in bytes, or one longer text.
+SLICE_BYTES = 400_000
 HEAD_WORDS = 1 << 18
 SHORT = 1024
 FOLDS, FOLD = 7, 2
@@ -220,14 +222,14 @@ def _long_likelihood(field: Field, tokens: np.ndarray, piece: int = 256) -> floa
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, raw, offsets in slices(batch.column(0)):
+        for _, _, raw, offsets in slices(batch.column(0), SLICE_BYTES):
             found, n = np.unique(Words(raw, offsets, SPACED).hashes(), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, raw, offsets in slices(batch.column(0)):
+        for _, _, raw, offsets in slices(batch.column(0), SLICE_BYTES):
             words = Words(raw, offsets, SPACED)
             tokens, lengths = _tokens(words, words.hashes())
             yield pa.RecordBatch.from_arrays(
@@ -241,9 +243,7 @@ def _scorer(field: Field, head: np.ndarray, counts: np.ndarray, within: np.ndarr
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = {k: [] for k in ("n", "known", "logs", "spread", "path")}
-            rare, rare_n = [], []
-            for _, _, raw, offsets in slices(batch.column(1)):
+            for first, stop, raw, offsets in slices(batch.column(1), SLICE_BYTES):
                 words = Words(raw, offsets, SPACED)
                 hashes, texts = words.hashes(), len(offsets) - 1
                 tokens, lengths = _tokens(words, hashes)
@@ -251,32 +251,26 @@ def _scorer(field: Field, head: np.ndarray, counts: np.ndarray, within: np.ndarr
                 hit = head[at] == hashes if len(head) else np.zeros(len(hashes), bool)
                 logs = np.where(hit, np.log10((counts[at] if len(head) else 0) + 1.0), 0.0)
                 per = lambda x, d=words.doc, t=texts: np.bincount(d, x, t)
-                done["n"].append(lengths)
-                done["known"].append(per(hit.astype(float)).astype(np.int64))
-                done["logs"].append(per(logs))
-                done["spread"].append(per(within[_class_of(hashes)]))
-                done["path"].append(log_likelihoods(field, tokens, lengths) / np.log(10))
                 order = np.lexsort((hashes[~hit], words.doc[~hit]))
                 doc, word = words.doc[~hit][order], hashes[~hit][order]
-                new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])])) if len(doc) else np.zeros(0, int)
-                n = np.diff(np.append(new, len(doc)))
-                edges = np.searchsorted(doc[new], np.arange(texts + 1))
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    rare.append(word[new][a:b].view(np.int64))
-                    rare_n.append(n[a:b])
-            flat = {k: np.concatenate(v) if v else np.zeros(0) for k, v in done.items()}
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(2),
-                    pa.array(flat["n"], pa.int64()),
-                    pa.array(flat["known"], pa.int64()),
-                    *[pa.array(flat[k], pa.float64()) for k in ("logs", "spread", "path")],
-                    pa.array(rare, pa.list_(pa.int64())),
-                    pa.array(rare_n, pa.list_(pa.int64())),
-                ],
-                ["doc_id", "row", "n", "known", "logs", "spread", "path", "rare", "rare_n"],
-            )
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])
+                new = np.flatnonzero(new)
+                edges = pa.array(np.searchsorted(doc[new], np.arange(texts + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, stop - first),
+                        batch.column(2).slice(first, stop - first),
+                        pa.array(lengths, pa.int64()),
+                        pa.array(per(hit.astype(float)).astype(np.int64)),
+                        pa.array(per(logs)),
+                        pa.array(per(within[_class_of(hashes)])),
+                        pa.array(log_likelihoods(field, tokens, lengths) / np.log(10)),
+                        pa.ListArray.from_arrays(edges, pa.array(word[new].view(np.int64))),
+                        pa.ListArray.from_arrays(edges, pa.array(np.diff(np.append(new, len(doc))).astype(np.int64))),
+                    ],
+                    ["doc_id", "row", "n", "known", "logs", "spread", "path", "rare", "rare_n"],
+                )
 
     return score
 
