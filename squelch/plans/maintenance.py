@@ -393,18 +393,20 @@ def tumbling_capture(spark, path):
 
 @query(
     "session_transmissions",
-    """WITH marks AS (SELECT event_type AS feed, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY event_type
-    ORDER BY ts) < INTERVAL 10 MINUTES THEN 0 ELSE 1 END AS new FROM events),
-numbered AS (SELECT *, SUM(new) OVER (PARTITION BY feed ORDER BY ts
+    """WITH marks AS (SELECT event_type AS feed, user_id, ts, CASE WHEN ts - LAG(ts) OVER (
+    PARTITION BY event_type, user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events),
+numbered AS (SELECT *, SUM(new) OVER (PARTITION BY feed, user_id ORDER BY ts
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM marks)
-SELECT feed, MIN(ts) AS started, MAX(ts) + INTERVAL 10 MINUTES AS ended, COUNT(*) AS events
-FROM numbered GROUP BY feed, s""",
+SELECT feed, user_id, MIN(ts) AS started, MAX(ts) + INTERVAL 6 HOURS AS ended, COUNT(*) AS events
+FROM numbered GROUP BY feed, user_id, s""",
 )
 def session_transmissions(spark, path):
-    stream = jobs.transmissions(_activity(spark, path), ["feed"], "moment", "10 minutes")
+    """Sessions of each source of a feed, so no feed is one state group."""
+    key = ["feed", "user_id"]
+    stream = jobs.transmissions(_activity(spark, path), key, "moment", "6 hours")
     df = jobs.run_available(stream, "complete", "sessions")
     return df.select(
-        "feed",
+        *key,
         F.col("started").cast("timestamp_ntz").alias("started"),
         F.col("ended").cast("timestamp_ntz").alias("ended"),
         "events",

@@ -22,9 +22,13 @@ _MERGE_LOCALLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.part
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint directory of the session."""
+    """A new folder below the checkpoint directory of the session. Only a local session, where one
+    machine is the cluster, may go without that setting.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="squelch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,11 +9,11 @@ from squelch.streaming import jobs
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
 
-def activity(spark, folder):
-    schema = spark.read.parquet(EVENTS).schema
+def activity(spark, folder, part="event_id % 3"):
+    events = spark.read.parquet(EVENTS)
+    schema = events.schema
     for i in range(3):
-        part = spark.read.parquet(EVENTS).filter(F.col("event_id") % 3 == i)
-        part.coalesce(1).write.mode("append").parquet(str(folder))
+        events.withColumn("_part", F.expr(part)).filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(str(folder))
     stream = jobs.read_table_stream(spark, str(folder), "*.parquet", schema, max_files=1)
     return stream.select(
         "user_id", F.col("event_type").alias("feed"), jobs.to_timestamp(F.col("ts")).alias("moment"), "value"
@@ -40,10 +40,13 @@ def test_update_mode_over_several_batches(spark, tmp_path):
 
 def test_append_mode_gives_the_closed_chunks(spark, tmp_path):
     key = ["feed", "chunk_start", "events"]
-    stream = jobs.capture_chunks(activity(spark, tmp_path / "in"), "feed", "moment", "value", late="60 days")
-    assert set(rows(jobs.run_available(stream, "append", "t"), *key)) <= set(
-        rows(jobs.capture_chunks(batch(spark), "feed", "moment", "value"), *key)
-    )
+    arriving = activity(spark, tmp_path / "in", "ntile(3) OVER (ORDER BY ts) - 1")
+    stream = jobs.capture_chunks(arriving, "feed", "moment", "value", late="1 day")
+    got = rows(jobs.run_available(stream, "append", "t"), *key)
+    newest = batch(spark).agg(F.max("moment")).first()[0]
+    chunks = jobs.capture_chunks(batch(spark), "feed", "moment", "value")
+    closed = chunks.filter(F.col("chunk_end") <= F.lit(newest) - F.expr("INTERVAL 1 DAY"))
+    assert got == rows(closed, *key) and len(got) > 100
 
 
 def test_sessions_equal_batch(spark, tmp_path):
