@@ -12,6 +12,8 @@ FACILITIES = ["tower", "ground", "approach", "departure"]
 STATUSES = ["pending", "active", "needs_ranking", "needs_human_review"]
 EPOCH = 1704067200
 CLIP_SECONDS = 2600.0
+# Outputs of an order have ids of their own: more than any order has blocks of three lines.
+BLOCKS = 1009
 
 # Keyword cases made of frequent fragments of the test texts.
 CASES = [
@@ -254,7 +256,7 @@ def model_results(spark: SparkSession, path: str) -> DataFrame:
     lines = words(spark, path).withColumn("_before", before)
     lines = lines.withColumn("rank_position", F.col("_before") % 3 + 1)
     return lines.select(
-        (F.col("clip") * 4 + F.floor(F.col("_before") / 3)).alias("id"),
+        (F.col("clip") * BLOCKS + F.floor(F.col("_before") / 3)).alias("id"),
         "rank_position",
         F.concat(
             F.lit("v"), F.col("part").cast("string"), F.lit("-"), F.col("line").cast("string")
@@ -267,7 +269,7 @@ def model_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 RESULTS = f"""results AS (
-  SELECT l_orderkey * 4 + earlier // 3 AS id, earlier % 3 + 1 AS rank_position, 'v' || l_partkey || '-' || l_linenumber AS text,
+  SELECT l_orderkey * {BLOCKS} + earlier // 3 AS id, earlier % 3 + 1 AS rank_position, 'v' || l_partkey || '-' || l_linenumber AS text,
     1 - l_discount AS confidence, 'model-' || (earlier % 3 + 1) AS model, l_partkey AS part,
     l_extendedprice AS price
   FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey

@@ -95,7 +95,7 @@ def next_to_rank(spark, path):
     f"""WITH {b.RESULTS}, {b.OUTPUTS}, counted AS (SELECT id, COUNT(*) AS n FROM results GROUP BY id),
 firsts AS (SELECT segment_id, n FROM (SELECT o.segment_id, c.n, ROW_NUMBER() OVER (
   PARTITION BY o.segment_id ORDER BY o.created_at, c.id) AS rn
-  FROM counted c JOIN outputs o ON o.id = c.id // 4) WHERE rn = 1)
+  FROM counted c JOIN outputs o ON o.id = c.id // {b.BLOCKS}) WHERE rn = 1)
 SELECT c.c_custkey AS id, COALESCE(f.n, 0) AS variant_count, COALESCE(f.n, 0) > 0 AS has_variants
 FROM customer c LEFT JOIN firsts f ON f.segment_id = c.c_custkey""",
 )
@@ -103,7 +103,7 @@ def has_variants(spark, path):
     orders = b.outputs(spark, path).withColumnRenamed("id", "order_id")
     outputs = (
         b.variations(spark, path)
-        .withColumn("order_id", F.floor(F.col("id") / 4))
+        .withColumn("order_id", F.floor(F.col("id") / b.BLOCKS))
         .join(orders, "order_id")
     )
     segments = b.table(spark, path, "customer").select(F.col("c_custkey").alias("id"))
