@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from squelch.llm import decontaminate, jaccard, mixture, simple8b, toxicity
 from squelch.llm.queries import TOKENIZER
@@ -30,7 +31,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixture.repeat_by_mix(docs)
+    mixed = mixture.repeat_by_mix(docs)
+    if "n_chars" not in docs.columns:
+        return mixed
+    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

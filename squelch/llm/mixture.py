@@ -19,7 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from squelch.llm.shared import cut
+from squelch.functions.expr import let, unnest
+from squelch.llm.shared import MAX_BROADCAST_ROWS, cut, with_small
 
 BLOCK = 128
 SHARD_SLOTS = 1024
@@ -28,6 +29,8 @@ WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
 MAX_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space after it, the first one also with that before it: together, the text.
+WORD_AND_SPACE = r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 #: Multipliers of the index permutations, primes below 2**30.
 PRIMES = [1073741789, 1073741783, 1073741741, 1073741723, 1073741719, 1073741717, 1073741689, 1073741671]
 
@@ -179,22 +182,11 @@ def packed(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def mix(
-    documents: DataFrame,
-    id_col: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-    weights: tuple[int, ...] = WEIGHTS,
-    most: int = MOST_REPEATS,
-    seed: int = 7,
-    block: int = BLOCK,
-    shard_slots: int = SHARD_SLOTS,
-) -> DataFrame:
-    """Per row of ``documents``: doc_id, _row, size, source_size, target and taken, the words that
-    the mix reads from it, repeats counted (at most ``most`` times its size).
-
-    Null texts have no words; a null source is a source of its own, the last. Rows that repeat are
-    documents of their own. An empty table gives an empty result.
+def _reads(
+    documents: DataFrame, id_col: str, text: str, source: str, weights: tuple[int, ...], most: int, seed: int, block: int, shard_slots: int
+) -> tuple[DataFrame, DataFrame]:
+    """The rows at their places in the streams, and their blocks (as of ``packed``) with how often
+    the mix reads a block whole (_whole) and how many of the row's words there a part read has (_part).
     """
     spark = documents.sparkSession
     rows = cut(sized(documents, id_col, text, source))
@@ -213,11 +205,31 @@ def mix(
         )
     )
     part = F.greatest(F.least("end", F.coalesce("_part", F.lit(0))) - F.col("first"), F.lit(0))
+    blocks = packed(placed, block).join(reads, ["s", "block"], "left")
+    return placed, blocks.withColumn("_whole", F.coalesce("_whole", F.lit(0))).withColumn("_part", part)
+
+
+def mix(
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    most: int = MOST_REPEATS,
+    seed: int = 7,
+    block: int = BLOCK,
+    shard_slots: int = SHARD_SLOTS,
+) -> DataFrame:
+    """Per row of ``documents``: doc_id, _row, size, source_size, target and taken, the words that
+    the mix reads from it, repeats counted (at most ``most`` times its size).
+
+    Null texts have no words; a null source is a source of its own, the last. Rows that repeat are
+    documents of their own. An empty table gives an empty result.
+    """
+    placed, blocks = _reads(documents, id_col, text, source, weights, most, seed, block, shard_slots)
     keys = ["doc_id", "_row", "size", "source_size", "target"]
     taken = (
-        packed(placed, block)
-        .join(reads, ["s", "block"], "left")
-        .withColumn("_taken", F.coalesce("_whole", F.lit(0)) * (F.col("end") - F.col("first")) + part)
+        blocks.withColumn("_taken", F.col("_whole") * (F.col("end") - F.col("first")) + F.col("_part"))
         .groupBy(*keys, "s", "start")
         .agg(F.sum("_taken").cast("long").alias("taken"))
         .select(*keys, "taken")
@@ -226,19 +238,88 @@ def mix(
     return taken.unionByName(wordless)
 
 
-def repeat_by_mix(documents: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of ``documents`` as often as the mix reads them (taken / size, rounded to whole
-    times); documents without words stay once.
+def _stretches(spans: Column) -> Column:
+    """From the word ranges (a, b, read n times) of a document in order: for each r up to the
+    most reads, the longest ranges whose words are all read r times or more.
     """
-    mixed = mix(documents, id_col, text, source, **options)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size")))
-    chosen = mixed.groupBy(F.col("_row").alias("_mix_row")).agg(F.max(times.cast("int")).alias("_mix_times"))
-    keyed = documents.withColumn("_mix_row", F.xxhash64(F.col(id_col), F.col(text)))
-    from squelch.llm.shared import with_small
 
-    joined = with_small(keyed, cut(chosen.filter(F.col("_mix_times") > 0)), ["_mix_row"], "inner")
-    return (
-        joined.withColumn("_mix_times", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
-        .drop("_mix_times", "_mix_row")
-        .select(*documents.columns)
+    def joined(kept: Column) -> Column:
+        opens = F.filter(kept, lambda x, i: (i == 0) | (F.get(kept, i - 1)["b"] < x["a"]))
+        closes = F.filter(kept, lambda x, i: F.coalesce(F.get(kept, i + 1)["a"] > x["b"], F.lit(True)))
+        return F.zip_with(opens, closes, lambda o, c: F.struct(o["a"].alias("a"), c["b"].alias("b")))
+
+    most = F.array_max(F.transform(spans, lambda x: x["n"]))
+    return F.flatten(
+        F.transform(F.sequence(F.lit(1).cast("long"), most), lambda r: let(F.filter(spans, lambda x: x["n"] >= r), joined))
+    )
+
+
+def stretches(
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    most: int = MOST_REPEATS,
+    seed: int = 7,
+    block: int = BLOCK,
+    shard_slots: int = SHARD_SLOTS,
+) -> DataFrame:
+    """Per row of ``documents`` that the mix reads: _row, source, start, size and pieces, the word
+    ranges (a, b) that the drawn blocks read from it, once per reading. Neighbouring blocks are one
+    range; a row without words has the range (0, 0).
+    """
+    placed, blocks = _reads(documents, id_col, text, source, weights, most, seed, block, shard_slots)
+    a = F.col("block") * block + F.col("first") - F.col("start")
+    middle, b, n = a + F.col("_part"), a + F.col("end") - F.col("first"), F.col("_whole")
+    span = lambda x, y, n: F.struct(x.alias("a"), y.alias("b"), n.alias("n"))
+    both = F.explode(F.array(span(a, middle, n + 1), span(middle, b, n)))
+    keys = ["_row", "source", "start", "size"]
+    read = (
+        blocks.select(*keys, both.alias("_span"))
+        .filter((F.col("_span")["a"] < F.col("_span")["b"]) & (F.col("_span")["n"] > 0))
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list("_span")).alias("_spans"))
+        .select(*keys, _stretches(F.col("_spans")).alias("pieces"))
     )
+    nothing = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
+    return read.unionByName(placed.filter(F.col("size") == 0).select(*keys, nothing.alias("pieces")))
+
+
+def repeat_by_mix(documents: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The words of ``documents`` that the mix reads, as often as it reads them: a row per
+    stretch of blocks read in a document, with the document's columns and the stretch as its text.
+
+    A document that is read whole, n times, gives n rows of its whole text. Words per source are
+    those of the mix. Documents without words stay once.
+    """
+    pieces = stretches(documents, id_col, text, source, **options)
+    # rows that share id, text and source are told apart by a number
+    key = F.xxhash64("_row", "source").alias("_mix_row")
+    copy = F.row_number().over(Window.partitionBy("_mix_row").orderBy("start"))
+    read = cut(pieces.select(key, "start", "size", "pieces").select(
+        "_mix_row", copy.alias("_mix_copy"), F.col("size").alias("_mix_size"), F.col("pieces").alias("_mix_pieces")
+    ))
+    keyed = documents.withColumn("_mix_row", F.xxhash64(F.xxhash64(F.col(id_col), F.col(text)), F.col(source)))
+    repeated = cut(keyed.groupBy("_mix_row").count().filter("count > 1").select("_mix_row"))
+    if repeated.isEmpty():
+        numbered = keyed.withColumn("_mix_copy", F.lit(1))
+    else:
+        rest = [F.col(c) for c in documents.columns if c not in (id_col, text, source)]
+        number = F.row_number().over(Window.partitionBy("_mix_row").orderBy("_mix_row", *rest))
+        once = with_small(keyed, repeated, ["_mix_row"], "left_anti").withColumn("_mix_copy", F.lit(1))
+        numbered = once.unionByName(with_small(keyed, repeated, ["_mix_row"], "left_semi").withColumn("_mix_copy", number))
+    values = read.agg(F.sum(F.size("_mix_pieces") + 2).alias("n")).first()["n"] or 0
+    joined = numbered.join(F.broadcast(read) if values <= MAX_BROADCAST_ROWS else read, ["_mix_row", "_mix_copy"])
+    whole = lambda p: (p["a"] == 0) & (p["b"] == F.col("_mix_size"))
+    words = F.when(F.exists("_mix_pieces", lambda p: ~whole(p)), F.regexp_extract_all(F.col(text), F.lit(WORD_AND_SPACE), F.lit(0)))
+
+    def texts(words: Column) -> Column:
+        def piece(p: Column) -> Column:
+            found = F.slice(words, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int"))
+            return F.struct(F.when(whole(p), F.col(text)).otherwise(F.array_join(found, "")).alias("text"))
+
+        return F.transform("_mix_pieces", piece)
+
+    rows = unnest(joined, let(words, texts), "_mix_text", *documents.columns)
+    return rows.select(*[F.col("_mix_text")["text"].alias(c) if c == text else F.col(c) for c in documents.columns])

@@ -184,6 +184,29 @@ def test_mix_stays_within_its_bounds_and_reruns_agree(name, request):
     assert all(0 <= r[4] <= 3 * r[1] for r in first)
 
 
+def test_repeated_rows_carry_out_the_mix(spark):
+    size = {"a": 40_000, "b": 9_000, "c": 30_000}
+    made = [(s, i, " \n" * (i % 2) + "  ".join(f"{s}{i}-{w}" for w in range(1000))) for s, n in size.items() for i in range(n // 1000)]
+    rows = [(n, t, None, s, len(t), "", f"{n}") for n, (s, _, t) in enumerate(made)]
+    rows += [(*r[:6], "copy") for r in rows[:3]] + [(900, " \n", None, "a", 2, "", "blank"), (901, None, None, "b", 0, "", "null")]
+    docs = spark.createDataFrame(rows, KIND).repartition(3)
+    mixed = mixture.mix(docs).join(docs.select("doc_id", "source").distinct(), "doc_id")
+    drawn = {r["source"]: (r["n"], r["target"]) for r in mixed.groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("target")).collect()}
+    out = mixture.repeat_by_mix(docs).collect()
+    got, texts = Counter(), {r[0]: r[1] for r in rows}
+    for r in out:
+        got[r["source"]] += len(brute.SPACED.findall(r["text"] or ""))
+        assert (r["text"] or "") in (texts[r["doc_id"]] or "")
+    assert got == {s: n for s, (n, _) in drawn.items()}
+    assert all(abs(n - target) <= 3 * mixture.BLOCK for n, target in drawn.values())
+    by_id = Counter()
+    for r in out:
+        by_id[r["doc_id"]] += len(brute.SPACED.findall(r["text"] or ""))
+    taken = {r["doc_id"]: r["n"] for r in mixed.groupBy("doc_id").agg(F.sum("taken").alias("n")).collect()}
+    assert {i: n for i, n in by_id.items() if n} == {i: n for i, n in taken.items() if n}
+    assert sorted((r["doc_id"], r["text"]) for r in out if r["doc_id"] >= 900) == [(900, " \n"), (901, None)]
+
+
 def test_awkward_lines_and_syncmers(awkward):
     assert line_dedup.dedup_lines(awkward).count() == awkward.count()
     rows = syncmers.compare_neighbours(awkward).select(syncmers.fingerprint(F.col("anchors")).alias("f"), "doc_id", "near_next").collect()
