@@ -1,7 +1,8 @@
 """Document fingerprints from closed syncmers.
 
-A text is read as units of at most eight characters, cut at white space; a k-mer is ``K`` units in
-a row, its inner substrings are runs of ``S`` units. A k-mer whose minimal inner substring (by
+A run of at most eight characters between white space is one unit; in longer runs every character
+is a unit, so no cut depends on where a run starts. A text of fewer than ``K`` such units is read
+character by character. A k-mer is ``K`` units in a row, its inner substrings are runs of ``S`` units. A k-mer whose minimal inner substring (by
 hash) is its first or its last is a closed syncmer. Whether it is one depends on the k-mer alone,
 so two texts that share a passage choose the same anchors in it, wherever it stands. The
 fingerprint is the sequence of anchor hashes; their unit positions are kept for matching by place.
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from squelch.functions.expr import let
 from squelch.llm.shared import with_small
 
-UNIT = r"\S{1,8}"
+UNIT = r"(?<!\S)\S{1,8}(?!\S)|\S"
+CHARACTER = r"\S"
 K, S = 6, 2
 ROWS_PER_BUCKET = 4096
 LAST = (1 << 63) - 1
@@ -25,7 +27,7 @@ LAST = (1 << 63) - 1
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """array<struct<at, hash>>: closed syncmers of a text in order. A text of one to ``k`` - 1
-    units is one k-mer; a text without units has none.
+    characters is one k-mer; a text without any but white space has none.
     """
     inner = k - s + 1
 
@@ -60,7 +62,10 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
             .otherwise(F.array().cast("array<struct<at: int, hash: bigint>>"))
         )
 
-    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0))
+    def parts(unit: str) -> Column:
+        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(unit), F.lit(0))
+
+    units = let(parts(UNIT), lambda found: F.when(F.size(found) >= k, found).otherwise(parts(CHARACTER)))
     return let(let(units, minimizers), chosen)
 
 

@@ -214,6 +214,22 @@ def test_awkward_lines_and_syncmers(awkward):
     assert by_id[3]["f"] == by_id[4]["f"] and all(0 <= r["near_next"] <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("put", ["", "x", "xyz", "12345678 9", "\u4e00\U00020000"])
+def test_syncmers_of_a_shared_passage_do_not_depend_on_what_stands_before_it(spark, put):
+    rng = np.random.default_rng(9)
+    passages = [
+        "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 300)),
+        "".join(chr(c) for c in rng.integers(0x20000, 0x20F00, 300)),
+        "".join(chr(c) for c in rng.integers(97, 123, 300)),
+        " ".join("".join(chr(c) for c in rng.integers(97, 123, n)) for n in rng.integers(1, 15, 60)),
+        "just five short words here",
+    ]
+    rows = spark.createDataFrame([(p, put + p) for p in passages], "a string, b string")
+    hashes = lambda c: F.array_distinct(F.transform(syncmers.anchors(F.col(c)), lambda x: x["hash"]))
+    got = [r[0] for r in rows.select(syncmers.likeness(hashes("a"), hashes("b"))).collect()]
+    assert min(got[:4]) > 0.9 and (got[4] > 0.6 or " " in put)
+
+
 @pytest.mark.parametrize("run", ["jaccard", "repeats", "model", "tokens", "mix"])
 def test_empty_tables(spark, run):
     empty = spark.createDataFrame([], KIND)
