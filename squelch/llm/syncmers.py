@@ -22,6 +22,7 @@ UNIT = r"(?<!\S)\S{1,8}(?!\S)|\S"
 CHARACTER = r"\S"
 K, S = 6, 2
 ROWS_PER_BUCKET = 4096
+DRAWS = 16
 LAST = (1 << 63) - 1
 
 
@@ -83,24 +84,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
+def _not_above(bounds: list[tuple[int, int]]) -> Column:
+    """How many of the ordered ``bounds`` are at most (_id, _row): binary search in constants."""
+
+    def constant(values: list[int]) -> Column:
+        # one folded literal; lit of a list makes an expression per value
+        whole = F.split(F.lit(",".join(map(str, values))), ",") if values else F.array()
+        return whole.cast("array<bigint>")
+
+    ids, hashes = constant([i for i, _ in bounds]), constant([h for _, h in bounds])
+
+    def halved(state: Column, _: Column) -> Column:
+        middle = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
+        at = F.get(ids, middle)
+        below = (at < F.col("_id")) | ((at == F.col("_id")) & (F.get(hashes, middle) <= F.col("_row")))
+        return F.struct(
+            F.when(below, middle + 1).otherwise(state["lo"]).alias("lo"),
+            F.when(below, state["hi"]).otherwise(middle).alias("hi"),
+        )
+
+    steps = F.array(*[F.lit(0)] * (len(bounds).bit_length() + 1))
+    whole = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.aggregate(steps, whole, halved, lambda state: state["lo"])
+
+
 def with_next(rows: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Rows (doc_id, text) in buckets of neighbouring ids, with a copy of each next bucket's first
     row at the end of a bucket (``_guest``), so that the next row by (id, text hash) is always in
     the same bucket; the first row of all follows the last. Null ids come last.
 
-    Buckets are equal ranges of ids; where ids crowd, a bucket is larger and its window spills.
+    Bounds are every ``DRAWS``-th of the keys (id, text hash) that a hash draws, ``DRAWS`` for
+    ``rows_per_bucket`` rows, so buckets have about that many rows however ids are spread, null
+    ids included; only rows that are equal in id and text can't be cut. The drawn keys are
+    collected, the bounds are constants of the plan.
     """
     rows = rows.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(LAST))).withColumn(
         "_row", F.xxhash64("text")
     )
-    span = rows.filter(F.col("doc_id").isNotNull()).agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")
-    ).first()
-    n = max(1, -(-span["n"] // rows_per_bucket))
-    low = span["lo"] if span["n"] else 0
-    width = -(-(span["hi"] - low + 1) // n) if span["n"] else 1
-    bucket = F.when(F.col("doc_id").isNull(), n).otherwise(F.floor((F.col("doc_id") - low) / width))
-    rows = rows.withColumn("_bucket", bucket.cast("long"))
+    bound = F.pmod(F.xxhash64("_id", "_row"), F.lit(max(1, rows_per_bucket // DRAWS))) == 0
+    bounds = sorted((r["_id"], r["_row"]) for r in rows.select("_id", "_row").filter(bound).distinct().collect())[::DRAWS]
+    rows = rows.withColumn("_bucket", _not_above(bounds).cast("long"))
     heads = rows.groupBy("_bucket").agg(F.min(F.struct("_id", "_row")).alias("_head"))
     order = Window.orderBy("_bucket")
     heads = heads.select(

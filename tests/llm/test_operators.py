@@ -8,6 +8,7 @@ from itertools import pairwise
 import numpy as np
 import pytest
 from llm import brute
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from squelch.llm import decontaminate, hmm, jaccard, line_dedup, mixture, queries, simple8b, suffix_dedup, syncmers, toxicity
@@ -230,6 +231,20 @@ def test_syncmers_of_a_shared_passage_do_not_depend_on_what_stands_before_it(spa
     assert min(got[:4]) > 0.9 and (got[4] > 0.6 or " " in put)
 
 
+def test_syncmer_buckets_have_a_bound_where_ids_crowd(spark):
+    ids = [*range(2000), 1 << 62, *[None] * 1000, *[7] * 1000]
+    rows = [(i, f"text {n}") for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = syncmers.with_next(docs, 50)
+    sizes = [r["count"] for r in out.groupBy("_bucket").count().collect()]
+    assert sum(sizes) == len(rows) + len(sizes) and max(sizes) < 200
+    key = lambda df: df.withColumn("_row", F.xxhash64("text")).orderBy(F.asc_nulls_last("doc_id"), "_row")
+    texts = [r["text"] for r in key(docs).collect()]
+    order = Window.partitionBy("_bucket").orderBy("_guest", "_id", "_row")
+    found = out.withColumn("_next", F.lead("text").over(order)).filter("_guest = 0")
+    assert {r["text"]: r["_next"] for r in found.collect()} == dict(pairwise([*texts, texts[0]]))
+
+
 @pytest.mark.parametrize("run", ["jaccard", "repeats", "model", "tokens", "mix"])
 def test_empty_tables(spark, run):
     empty = spark.createDataFrame([], KIND)
