@@ -6,12 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squelch.llm import decontaminate, hmm, jaccard, line_dedup, mixture, perspectives, simple8b, suffix_dedup, syncmers, toxicity
+from squelch.llm import (
+    alignment,
+    decontaminate,
+    hmm,
+    jaccard,
+    line_dedup,
+    mixture,
+    perspectives,
+    secrets,
+    simple8b,
+    spelling,
+    suffix_dedup,
+    syncmers,
+    toxicity,
+)
 from squelch.llm.registry import ORACLE, QUERIES, query
 from squelch.llm.shared import table
 __all__ = ["ORACLE", "QUERIES"]
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 LINE_SQL = r"""
 WITH lines AS (
@@ -137,3 +153,71 @@ def suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_hmm")
 def hmm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op13_alignment")
+def alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
+
+
+@query("op11_spelling")
+def spelling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+SECRET_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
+patterns(kind, rank, least, p) AS (VALUES
+  ('assign', 0, 6, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  ('access', 1, 20, '(AKIA[A-Z0-9]+)'),
+  ('hex', 2, 24, '([0-9a-f]{24,})'),
+  ('owned', 3, 16, '([A-Za-z0-9_-]{16,})')
+), found AS (
+  SELECT row, doc_id, source, kind, rank, least, regexp_extract_all(t, p, 0) AS ms, regexp_extract_all(t, p, 1) AS vs,
+         string_split_regex(t, p) AS gaps
+  FROM d, patterns
+), each AS (
+  SELECT row, doc_id, source, kind, rank, least, unnest(ms) AS m, unnest(vs) AS v, unnest(gaps[1:len(ms)]) AS gap,
+         unnest(range(len(ms))) AS i
+  FROM found WHERE len(ms) > 0
+), placed AS (
+  SELECT *, (sum(length(gap) + length(m)) OVER (PARTITION BY row, kind ORDER BY i) - length(m))::BIGINT AS s FROM each
+), long AS (
+  SELECT row, doc_id, source, kind, rank, v, s, s + length(m) AS e FROM placed WHERE length(v) >= least
+), opaque AS (
+  SELECT * FROM long o WHERE kind = 'owned'
+    AND length(regexp_replace(v, '[^0-9]', '', 'g')) >= 3 AND length(regexp_replace(v, '[^A-Za-z]', '', 'g')) >= 3
+    AND len(list_distinct(string_split(v, ''))) >= 8
+    AND NOT EXISTS (SELECT 1 FROM long b WHERE b.row = o.row AND b.kind <> 'owned' AND b.s < o.e AND b.e > o.s)
+), held AS (SELECT * FROM long WHERE kind <> 'owned' UNION ALL SELECT * FROM opaque),
+widths AS (
+  SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM held GROUP BY v
+), spans AS (
+  SELECT h.*, w.owners FROM held h JOIN widths w USING (v) WHERE kind <> 'owned' OR w.owners <= 3
+), listed AS (
+  SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'owned') AS n_owned,
+         count(*) FILTER (owners > 3) AS n_example,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'owned') AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+  FROM spans GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_owned, 0)::BIGINT AS n_owned, coalesce(n_example, 0)::BIGINT AS n_example
+FROM d LEFT JOIN listed USING (row)
+"""
+
+
+@query("op12_secrets", SECRET_SQL)
+def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda x: x["kind"] != "owned")
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[secrets.of_kind(spans, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(spans).alias("spans"),
+        secrets.of_kind(spans, "owned").alias("n_owned"),
+        F.size(F.filter(spans, lambda x: ~x["live"])).cast("long").alias("n_example"),
+    )
