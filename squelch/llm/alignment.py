@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,10 @@ from pyspark.sql import functions as F
 from squelch.llm.shared import cut, stored
 
 BLOCK_BYTES = 8_000_000
-CACHED_PARTS = 300_000
+CACHED_PARTS = 600_000
+#: Characters encoded in one call, and the links up to which a group is written out inside a worker.
+JOINED = 50_000
+SMALL_GROUP = 4096
 PARTS = re.compile(r"(?<=\S) ")
 BLOCKS = """block bigint, doc_ids array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>,
 n_links array<bigint>, shas array<string>, held array<int>, places binary, times binary, pairs array<bigint>, docs array<int>"""
@@ -53,47 +55,24 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
-def token_ends(spans: list[tuple[int, int]], decoded: list[bytes], text: bytes) -> list[int] | None:
-    """Byte offset where each token ends. ``spans``: coarse (start, end) of each token in bytes of
-    ``text``. A span's end is taken where the next token starts there; between such cuts, decoded
-    lengths decide. None if the decoded bytes are not the text's.
+def token_ends(starts: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Byte offset where each token ends, from the coarse spans (``starts``, ``ends``, in bytes) and
+    the lengths of the decoded tokens. A span's end is a cut where the span is not empty and the
+    next token does not start before it; behind a cut, decoded lengths go on to the next one.
     """
-    if b"".join(decoded) != text:
-        return None
-    out, at, open_ = [], 0, 0
-    for i, piece in enumerate(decoded):
-        at += len(piece)
-        out.append(at)
-        last = i + 1 == len(spans)
-        if last or spans[i + 1][0] >= spans[i][1]:  # a cut of the coarse spans
-            if spans[i][1] != at:  # the library's span does not cover its bytes
-                return _by_length(decoded)
-            open_ = at
-    return out if open_ == len(text) else None
-
-
-def _by_length(decoded: list[bytes]) -> list[int]:
-    return np.cumsum([len(x) for x in decoded]).tolist()
-
-
-def groups(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The ids of each group, in order."""
-    out, i, j = [], 0, 0
-    for end in sorted(set(a_ends) & set(b_ends)):
-        i2, j2 = i, j
-        while i2 < len(a_ends) and a_ends[i2] <= end:
-            i2 += 1
-        while j2 < len(b_ends) and b_ends[j2] <= end:
-            j2 += 1
-        if i2 > i and j2 > j:
-            out.append((a_ids[i:i2], b_ids[j:j2]))
-        i, j = i2, j2
-    return out
+    along = np.cumsum(lengths)
+    cut = ends > starts
+    cut[:-1] &= starts[1:] >= ends[:-1]
+    last = np.maximum.accumulate(np.where(cut, np.arange(len(ends)), -1))
+    base = np.where(last >= 0, ends[last] - along[last], 0)
+    refined = along + base
+    # a library whose spans leave out bytes of a text that decodes to itself
+    return refined if np.array_equal(refined, along) else along
 
 
 class Aligner:
     """Aligned parts of texts, kept while there is room. Per part: n_a, n_b, n_groups, n_links,
-    its groups as text, and its id pairs (A id << 32 | B id) with how often each is linked.
+    its groups as text, and its id pairs (A id * size of B + B id) with how often each is linked.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -105,127 +84,171 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = _byte_of_letter()
-        self.a_bytes = {}
-        for token, i in self.a.get_vocab(with_added_tokens=False).items():
-            self.a_bytes[i] = bytes(letters[c] for c in token)
+        found = {i: bytes(letters[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.a_bytes = [found.get(i, b"") for i in range(max(found) + 1)]
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
-            raw = bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
-            self.b_bytes.append(raw)
+            self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+        self.lengths = [np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes)]
+        shown = lambda n, end: np.array([f"{i}{end}" for i in range(n)], object)
+        self.inner = [shown(len(x), ",") for x in self.lengths]
+        self.outer = [shown(len(x), end) for x, end in zip(self.lengths, "|;", strict=True)]
         self.blank = self.b.piece_to_id("▁")
+        self.base = len(self.b_bytes)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.sizes: list[tuple[int, int, int, int]] = []
         self.shown: list[str] = []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
+        self.sizes = np.zeros((0, 4), np.int64)
+        self.first = np.zeros(1, np.int64)
+        self.codes, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, parts: list[str]) -> None:
-        for first in range(0, len(parts), 2000):
-            some = parts[first : first + 2000]
-            of_a = self.a.encode_batch([" " + p for p in some], add_special_tokens=False)
-            of_b = self.b.encode(some, return_type="proto", num_threads=1)
-            for part, x, y in zip(some, of_a, of_b, strict=True):
-                self.known[part] = len(self.sizes)
-                self._add(self.aligned(" " + part, x, y))
-
-    def aligned(self, text: str, of_a, of_b) -> list[tuple[list[int], list[int]]] | None:
-        raw = text.encode()
-        if len(raw) == len(text):
-            a_spans = of_a.offsets
-        else:  # characters to bytes
-            at = np.cumsum([0, *(len(c.encode()) for c in text)]).tolist()
-            a_spans = [(at[s], at[e]) for s, e in of_a.offsets]
-        a_ids = of_a.ids
-        pieces = [(p.id, p.begin, p.end) for p in of_b.pieces]
-        if text == " ":  # sentencepiece adds no blank to an empty text
-            pieces = [(self.blank, 0, 0)]
-        b_ids = [p[0] for p in pieces]
-        # B's spans do not count the blank it adds; its first token starts there
-        b_spans = [(s + 1 if i else 0, e + 1) for i, (_, s, e) in enumerate(pieces)]
-        a_ends = token_ends(a_spans, [self.a_bytes[i] for i in a_ids], raw)
-        b_ends = token_ends(b_spans, [self.b_bytes[i] for i in b_ids], raw)
-        if a_ends is None or b_ends is None:
+        """Encode new parts. Those that end in a visible character are encoded many at once with
+        blanks between them, which is how they stand in texts.
+        """
+        plain = [p for p in parts if p and not p[-1].isspace() and "▁" not in p]
+        other = [[p] for p in set(parts).difference(plain)]
+        done: list[tuple[list[str], tuple | None]] = []
+        batches, at, size = [], 0, 0
+        for i, part in enumerate(plain):
+            size += len(part)
+            if size >= JOINED or i + 1 == len(plain):
+                batches.append(plain[at : i + 1])
+                at, size = i + 1, 0
+        while batches:
+            found = self._aligned(batches)
+            again = []
+            for batch, made in zip(batches, found, strict=True):
+                if made is None and len(batch) > 1:
+                    again += [batch[: len(batch) // 2], batch[len(batch) // 2 :]]
+                else:
+                    done.append((batch, made))
+            batches, other = again + other, []
+        if other:
+            done += zip(other, self._aligned(other), strict=True)
+        sizes, widths, codes, times = [self.sizes], [np.diff(self.first)], [self.codes], [self.times]
+        for batch, made in done:
+            if made is None:
+                made = (np.array([[-1, 0, 0, 0]]), [""], np.zeros(1, np.int64), self.codes[:0], self.times[:0])
+            for part in batch:
+                self.known[part] = len(self.known)
+            self.shown += made[1]
+            for kept, one in zip((sizes, widths, codes, times), (made[0], *made[2:]), strict=True):
+                kept.append(one)
+        self.sizes, self.codes, self.times = np.concatenate(sizes), np.concatenate(codes), np.concatenate(times)
+        self.first = np.cumsum(np.concatenate([[0], *widths]))
+
+    def _aligned(self, batches: list[list[str]]) -> list[tuple | None]:
+        texts = [" ".join(batch) for batch in batches]
+        of_a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        of_b = self.b.encode(texts, return_type="offset_mapping", num_threads=1)
+        return [self._groups(*x) for x in zip(batches, texts, of_a, of_b, strict=True)]
+
+    def _groups(self, batch: list[str], text: str, of_a, of_b) -> tuple | None:
+        """(sizes, shown, number of id pairs, pairs, times) of the parts joined in ``text``; None if
+        a vocabulary does not give the bytes back.
+        """
+        raw = b" " + text.encode()
+        ids = [np.array(of_a.ids, np.int64), np.array(of_b["ids"], np.int64)]
+        spans = [np.array(of_a.offsets, np.int64).reshape(-1, 2), np.array(of_b["offsets"], np.int64).reshape(-1, 2) + 1]
+        if not text:  # sentencepiece adds no blank to an empty text
+            ids[1], spans[1] = np.array([self.blank]), np.array([[0, 1]])
+        spans[1][:1, 0] = 0
+        if b"".join(map(self.a_bytes.__getitem__, of_a.ids)) != raw or b"".join(map(self.b_bytes.__getitem__, ids[1].tolist())) != raw:
             return None
-        return groups(a_ids, a_ends, b_ids, b_ends)
-
-    def _add(self, found: list[tuple[list[int], list[int]]] | None) -> None:
-        if found is None:
-            self.sizes.append((-1, 0, 0, 0))
-            self.shown.append("")
-            self.pairs.append(np.zeros(0, np.int64))
-            self.times.append(np.zeros(0, np.int64))
-            return
-        links: Counter[int] = Counter()
-        n_a = n_b = n_links = 0
-        for xs, ys in found:
-            n_a, n_b, n_links = n_a + len(xs), n_b + len(ys), n_links + len(xs) * len(ys)
-            if len(xs) == 1 and len(ys) == 1:
-                links[xs[0] << 32 | ys[0]] += 1
-            else:
-                counted = Counter(ys).items()
-                for x, n in Counter(xs).items():
-                    for y, m in counted:
-                        links[x << 32 | y] += n * m
-        self.sizes.append((n_a, n_b, len(found), n_links))
-        self.shown.append(";".join(f"{','.join(map(str, xs))}|{','.join(map(str, ys))}" for xs, ys in found))
-        self.pairs.append(np.fromiter(links, np.int64, len(links)))
-        self.times.append(np.fromiter(links.values(), np.int64, len(links)))
+        if len(raw) > len(text) + 1:  # characters to bytes
+            byte = np.frombuffer(raw, np.uint8)
+            place = np.append(np.flatnonzero((byte & 0xC0) != 0x80), len(raw))
+            spans = [place[x] for x in spans]
+        ends = [token_ends(x[:, 0], x[:, 1], n[i]) for x, n, i in zip(spans, self.lengths, ids, strict=True)]
+        common = np.intersect1d(*ends, assume_unique=True)
+        part_ends = np.cumsum([len(p.encode()) + 1 for p in batch])
+        if not np.isin(part_ends, common, assume_unique=True).all():
+            return None
+        groups = [np.searchsorted(common, x) for x in ends]
+        part = np.searchsorted(part_ends, common)
+        counts = [np.bincount(g, minlength=len(common)) for g in groups]
+        links = counts[0] * counts[1]
+        sums = [counts[0], counts[1], np.ones_like(part), links]
+        sizes = np.stack([np.bincount(part, x, len(batch)).astype(np.int64) for x in sums], axis=1)
+        # ids and separators in the order in which they are shown
+        last = [np.append(np.diff(g) > 0, True) for g in groups]
+        words = np.concatenate([np.where(z, o[i], n[i]) for z, o, n, i in zip(last, self.outer, self.inner, ids, strict=True)])
+        order = np.argsort(np.concatenate([2 * groups[0], 2 * groups[1] + 1]), kind="stable")
+        words = words[order].tolist()
+        edges = np.cumsum([0, *(sizes[:, 0] + sizes[:, 1])]).tolist()
+        shown = ["".join(words[a:b])[:-1] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        # id pairs: small groups all at once, a large one by its distinct ids
+        small = links <= SMALL_GROUP
+        start = np.cumsum(counts[1]) - counts[1]
+        mine = np.flatnonzero(small[groups[0]])
+        wide = counts[1][groups[0][mine]]
+        b_at = np.repeat(start[groups[0][mine]] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
+        where = [np.repeat(part[groups[0][mine]], wide)]
+        pairs, often = [np.repeat(ids[0][mine], wide) * self.base + ids[1][b_at]], [np.ones(len(b_at), np.int64)]
+        for g in np.flatnonzero(~small):
+            (x, n), (y, m) = (np.unique(i[k == g], return_counts=True) for i, k in zip(ids, groups, strict=True))
+            pairs.append((x[:, None] * self.base + y).reshape(-1))
+            often.append((n[:, None] * m).reshape(-1))
+            where.append(np.full(len(pairs[-1]), part[g]))
+        whole = len(self.a_bytes) * self.base
+        key, total = _summed(np.concatenate(where) * whole + np.concatenate(pairs), np.concatenate(often))
+        return sizes, shown, np.bincount(key // whole, minlength=len(batch)), key % whole, total
 
     def block(self, texts: list[str | None]) -> dict:
         """The columns of a block's row but its id and doc_ids."""
         split = [PARTS.split(t) if t else [] for t in texts]
-        wanted = {p for parts in split for p in parts}
+        wanted = set().union(*split)
         new = wanted.difference(self.known)
         if len(self.known) + len(new) > CACHED_PARTS:
             self.clear()
             new = wanted
-        self.learn(sorted(new))
+        if new:
+            self.learn(sorted(new))
         find = self.known.__getitem__
         lengths = np.array([len(parts) for parts in split], np.int64)
         owner = np.repeat(np.arange(len(texts)), lengths)
-        part = np.fromiter((find(p) for parts in split for p in parts), np.int64, len(owner))
-        size = np.array(self.sizes, np.int64).reshape(-1, 4)[part]
+        part = np.fromiter((k for parts in split for k in map(find, parts)), np.int64, len(owner))
+        size = self.sizes[part]
         bad = np.bincount(owner[size[:, 0] < 0], minlength=len(texts)) > 0
         keep = ~bad[owner]
-        sums = [np.zeros(len(texts), np.int64) for _ in range(4)]
-        for i in range(4):
-            np.add.at(sums[i], owner[keep], size[keep, i])
-        shas, edges = [], np.cumsum([0, *lengths]).tolist()
+        sums = [np.bincount(owner[keep], size[keep, i], len(texts)).astype(np.int64) for i in range(4)]
+        shas, edges, numbers = [], np.cumsum([0, *lengths]).tolist(), part.tolist()
         for i, (first, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if first == end or bad[i]:
                 shas.append("")
             else:
-                listed = ";".join([self.shown[k] for k in part[first:end].tolist()])
+                listed = ";".join(map(self.shown.__getitem__, numbers[first:end]))
                 shas.append(hashlib.sha256(listed.encode()).hexdigest())
         # distinct parts of each document, then its distinct pairs
-        kinds = len(self.sizes)
+        kinds = max(1, len(self.shown))
         both, often = np.unique(owner[keep] * kinds + part[keep], return_counts=True)
         which = both % kinds
-        used = np.unique(which)
-        local = np.searchsorted(used, which)
-        widths = np.array([len(self.pairs[k]) for k in used.tolist()], np.int64)
-        codes = np.concatenate([self.pairs[k] for k in used.tolist()] or [np.zeros(0, np.int64)])
-        times = np.concatenate([self.times[k] for k in used.tolist()] or [np.zeros(0, np.int64)])
-        pairs, place = np.unique(codes, return_inverse=True)
-        start, wide = (np.cumsum(widths) - widths)[local], widths[local]
+        start, wide = self.first[which], np.diff(self.first)[which]
         take = np.repeat(start - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
-        doc_pair = np.repeat(both // kinds, wide) * max(1, len(pairs)) + place[take]
-        order = np.argsort(doc_pair, kind="stable")
-        doc_pair = doc_pair[order]
-        first = np.flatnonzero(np.diff(doc_pair, prepend=-1))
-        total = np.add.reduceat((times[take] * np.repeat(often, wide))[order], first) if len(first) else times[:0]
-        doc, at = doc_pair[first] // max(1, len(pairs)), doc_pair[first] % max(1, len(pairs))
+        pairs, place = np.unique(self.codes[take], return_inverse=True)
+        n = max(1, len(pairs))
+        key, total = _summed(np.repeat(both // kinds, wide) * n + place, self.times[take] * np.repeat(often, wide))
+        doc, at = key // n, key % n
         return {
             "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3], "shas": shas,
             "held": np.bincount(doc, minlength=len(texts)), "places": at.astype("<i4").tobytes(),
-            "times": total.astype("<i8").tobytes(), "pairs": pairs, "docs": np.bincount(at, minlength=len(pairs)),
+            "times": total.astype("<i8").tobytes(), "pairs": (pairs // self.base << 32) | (pairs % self.base),
+            "docs": np.bincount(at, minlength=len(pairs)),
         }
 
 
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(values, first) if len(first) else values[:0]
+
+
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 

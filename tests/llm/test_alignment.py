@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -57,8 +58,16 @@ def test_parts_have_the_tokens_of_the_whole(tokenizers, text):
 
 
 def test_spans_are_refined_by_decoded_bytes():
-    # a character of three bytes in three tokens that share its span, between two plain ones
-    decoded = [b" a", b"\xe6", b"\x97", b"\xa5", b"b"]
-    spans = [(0, 2), (2, 5), (2, 5), (2, 5), (5, 6)]
-    assert alignment.token_ends(spans, decoded, b" a\xe6\x97\xa5b") == [2, 3, 4, 5, 6]
-    assert alignment.token_ends(spans, decoded, b" a\xe6\x97\xa5c") is None
+    # a character of three bytes in three tokens that share its span, one in empty spans, two plain ones
+    spans = np.array([(0, 2), (2, 5), (2, 5), (2, 5), (5, 6), (6, 6), (6, 6), (6, 9)])
+    ends = alignment.token_ends(spans[:, 0], spans[:, 1], np.array([2, 1, 1, 1, 1, 1, 1, 1]))
+    assert ends.tolist() == [2, 3, 4, 5, 6, 7, 8, 9]
+
+
+def test_long_groups_are_not_written_out(tokenizers, monkeypatch):
+    monkeypatch.setattr(alignment, "SMALL_GROUP", 3)
+    aligner = alignment.Aligner(A, B)
+    for text in ["aaaabaab " * 5, "日本語テキスト" * 9, "unbelievably antidisestablishmentarianism 1234567"]:
+        (want,) = brute.aligned([(1, text)], *tokenizers)
+        got = aligner.block([text])
+        assert int(got["n_links"][0]) == want[4] == np.frombuffer(got["times"], "<i8").sum() and got["shas"] == [want[7]]
