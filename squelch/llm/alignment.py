@@ -7,9 +7,10 @@ their decoded bytes refine it. Offsets where a token of A and one of B both end
 lists into groups; all A-B pairs of a group are links.
 
 No merge of either vocabulary and no pre-token goes beyond a blank that follows a visible
-character, so a text's tokens are those of its parts between such blanks, and each distinct part
-is encoded and aligned once per worker. A text with a part that does not decode to its own bytes
-has no tokens.
+character, from a letter to a mark that no piece of B has behind a letter, or beyond a single line
+end. So a text's tokens are those of its parts between such places, and each distinct part is
+encoded and aligned once per worker. A text with a part that does not decode to its own bytes has
+no tokens.
 
 1. Texts are read in blocks of ``BLOCK_BYTES``. A block's row keeps, per document, its numbers and
    its links as (place in the block's list of id pairs, how often); written as Parquet.
@@ -25,6 +26,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,17 @@ from pyspark.sql import functions as F
 from squelch.llm.shared import cut, stored
 
 BLOCK_BYTES = 8_000_000
-CACHED_PARTS = 600_000
-#: Characters encoded in one call, and the links up to which a group is written out inside a worker.
+CACHED_PARTS = 400_000
+#: Characters of one joined text, joined texts encoded in one call, and the links up to which a
+#: group is written out inside a worker.
 JOINED = 50_000
+ENCODED = 8
 SMALL_GROUP = 4096
-PARTS = re.compile(r"(?<=\S) ")
+#: Letters and marks between which a part may end, if B's pieces allow it.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+MARKS = ".,!?;:#$%&*|"
+#: Parts that may be followed by another one: visible at the end, or one line end behind that.
+ENDED = re.compile(r"\S\n?\Z")
 BLOCKS = """block bigint, doc_ids array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>,
 n_links array<bigint>, shas array<string>, held array<int>, places binary, times binary, pairs array<bigint>, docs array<int>"""
 RESULT = """doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint,
@@ -95,6 +103,10 @@ class Aligner:
         self.inner = [shown(len(x), ",") for x in self.lengths]
         self.outer = [shown(len(x), end) for x, end in zip(self.lengths, "|;", strict=True)]
         self.blank = self.b.piece_to_id("▁")
+        pieces = "\n".join(self.b.id_to_piece(i) for i in range(len(self.b_bytes)))
+        marks = "".join(re.escape(c) for c in MARKS if not re.search(f"[{LETTERS}]{re.escape(c)}", pieces))
+        after_letter = f"|(?<=[{LETTERS}])(?=[{marks}])" if marks else ""
+        self.parts = re.compile(rf"(?<=\S)(?= )|(?<=\S\n)(?=\S){after_letter}")
         self.base = len(self.b_bytes)
         self.clear()
 
@@ -106,66 +118,69 @@ class Aligner:
         self.codes, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, parts: list[str]) -> None:
-        """Encode new parts. Those that end in a visible character are encoded many at once with
-        blanks between them, which is how they stand in texts.
+        """Encode new parts: those with a blank in front many at once, as they stand in texts, and
+        those without with a line end between them, whose tokens are left out again. Parts that
+        end in more white space than one line end, or fail, are encoded one by one.
         """
-        plain = [p for p in parts if p and not p[-1].isspace() and "▁" not in p]
-        other = [[p] for p in set(parts).difference(plain)]
-        done: list[tuple[list[str], tuple | None]] = []
-        batches, at, size = [], 0, 0
-        for i, part in enumerate(plain):
-            size += len(part)
-            if size >= JOINED or i + 1 == len(plain):
-                batches.append(plain[at : i + 1])
-                at, size = i + 1, 0
+        plain = [p for p in parts if ENDED.search(p) and "▁" not in p]
+        single = sorted(set(parts).difference(plain))
+        # larger batches first, since halves of a failed one are put behind
+        batches = [b for led in (True, False) for b in _batches([p for p in plain if (p[0] == " ") == led])]
+        batches += [[p] for p in single]
+        made = [[self.sizes], [np.diff(self.first)], [self.codes], [self.times]]
         while batches:
-            found = self._aligned(batches)
-            again = []
-            for batch, made in zip(batches, found, strict=True):
-                if made is None and len(batch) > 1:
-                    again += [batch[: len(batch) // 2], batch[len(batch) // 2 :]]
-                else:
-                    done.append((batch, made))
-            batches, other = again + other, []
-        if other:
-            done += zip(other, self._aligned(other), strict=True)
-        sizes, widths, codes, times = [self.sizes], [np.diff(self.first)], [self.codes], [self.times]
-        for batch, made in done:
-            if made is None:
-                made = (np.array([[-1, 0, 0, 0]]), [""], np.zeros(1, np.int64), self.codes[:0], self.times[:0])
-            for part in batch:
-                self.known[part] = len(self.known)
-            self.shown += made[1]
-            for kept, one in zip((sizes, widths, codes, times), (made[0], *made[2:]), strict=True):
-                kept.append(one)
-        self.sizes, self.codes, self.times = np.concatenate(sizes), np.concatenate(codes), np.concatenate(times)
-        self.first = np.cumsum(np.concatenate([[0], *widths]))
+            some, batches = batches[:ENCODED], batches[ENCODED:]
+            for batch, found in zip(some, self._aligned(some), strict=True):
+                if found is None and len(batch) > 1:
+                    batches += [batch[: len(batch) // 2], batch[len(batch) // 2 :]]
+                    continue
+                sizes, shown, *rest = found or (np.array([[-1, 0, 0, 0]]), [""], np.zeros(1, np.int64), self.codes[:0], self.times[:0])
+                for part in batch:
+                    self.known[part] = len(self.known)
+                self.shown += shown
+                for kept, one in zip(made, (sizes, *rest), strict=True):
+                    kept.append(one)
+        self.sizes, widths, self.codes, self.times = map(np.concatenate, made)
+        self.first = np.cumsum(np.append(0, widths))
 
     def _aligned(self, batches: list[list[str]]) -> list[tuple | None]:
-        texts = [" ".join(batch) for batch in batches]
-        of_a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        of_b = self.b.encode(texts, return_type="offset_mapping", num_threads=1)
-        return [self._groups(*x) for x in zip(batches, texts, of_a, of_b, strict=True)]
+        whole = [batch if batch[0][0] == " " else [x for p in batch for x in ("\n", p)] for batch in batches]
+        for batch in whole:
+            if batch[0][0] != " ":
+                batch[0] = " \n"
+        texts = ["".join(batch) for batch in whole]
+        of_a = self.a.encode_batch(texts, add_special_tokens=False)
+        of_b = self.b.encode([t[1:] for t in texts], return_type="offset_mapping", num_threads=1)
+        out = []
+        for parts, text, x, y, batch in zip(whole, texts, of_a, of_b, batches, strict=True):
+            found = self._groups(parts, text, x, y)
+            if found is not None and len(parts) > len(batch):  # without the line ends
+                sizes, shown, widths, codes, times = found
+                mine = np.repeat(np.arange(len(parts)) % 2 == 1, widths)
+                found = sizes[1::2], shown[1::2], widths[1::2], codes[mine], times[mine]
+            out.append(found)
+        return out
 
     def _groups(self, batch: list[str], text: str, of_a, of_b) -> tuple | None:
         """(sizes, shown, number of id pairs, pairs, times) of the parts joined in ``text``; None if
         a vocabulary does not give the bytes back.
         """
-        raw = b" " + text.encode()
+        raw = text.encode()
         ids = [np.array(of_a.ids, np.int64), np.array(of_b["ids"], np.int64)]
-        spans = [np.array(of_a.offsets, np.int64).reshape(-1, 2), np.array(of_b["offsets"], np.int64).reshape(-1, 2) + 1]
-        if not text:  # sentencepiece adds no blank to an empty text
+        spans = [np.fromiter(chain.from_iterable(x), np.int64).reshape(-1, 2) for x in (of_a.offsets, of_b["offsets"])]
+        spans[1] += 1
+        if text == " ":  # sentencepiece adds no blank to an empty text
             ids[1], spans[1] = np.array([self.blank]), np.array([[0, 1]])
         spans[1][:1, 0] = 0
         if b"".join(map(self.a_bytes.__getitem__, of_a.ids)) != raw or b"".join(map(self.b_bytes.__getitem__, ids[1].tolist())) != raw:
             return None
-        if len(raw) > len(text) + 1:  # characters to bytes
+        if len(raw) > len(text):  # characters to bytes
             byte = np.frombuffer(raw, np.uint8)
             place = np.append(np.flatnonzero((byte & 0xC0) != 0x80), len(raw))
             spans = [place[x] for x in spans]
         ends = [token_ends(x[:, 0], x[:, 1], n[i]) for x, n, i in zip(spans, self.lengths, ids, strict=True)]
         common = np.intersect1d(*ends, assume_unique=True)
-        part_ends = np.cumsum([len(p.encode()) + 1 for p in batch])
+        part_ends = np.cumsum([len(p.encode()) for p in batch])
         if not np.isin(part_ends, common, assume_unique=True).all():
             return None
         groups = [np.searchsorted(common, x) for x in ends]
@@ -200,7 +215,7 @@ class Aligner:
 
     def block(self, texts: list[str | None]) -> dict:
         """The columns of a block's row but its id and doc_ids."""
-        split = [PARTS.split(t) if t else [] for t in texts]
+        split = [self.parts.split(" " + t) if t else [] for t in texts]
         wanted = set().union(*split)
         new = wanted.difference(self.known)
         if len(self.known) + len(new) > CACHED_PARTS:
@@ -208,10 +223,9 @@ class Aligner:
             new = wanted
         if new:
             self.learn(sorted(new))
-        find = self.known.__getitem__
         lengths = np.array([len(parts) for parts in split], np.int64)
         owner = np.repeat(np.arange(len(texts)), lengths)
-        part = np.fromiter((k for parts in split for k in map(find, parts)), np.int64, len(owner))
+        part = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, len(owner))
         size = self.sizes[part]
         bad = np.bincount(owner[size[:, 0] < 0], minlength=len(texts)) > 0
         keep = ~bad[owner]
@@ -241,6 +255,15 @@ class Aligner:
         }
 
 
+def _batches(parts: list[str]) -> Iterator[list[str]]:
+    at, size = 0, 0
+    for i, part in enumerate(parts):
+        size += len(part)
+        if size >= JOINED or i + 1 == len(parts):
+            yield parts[at : i + 1]
+            at, size = i + 1, 0
+
+
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of their values."""
     order = np.argsort(keys, kind="stable")
