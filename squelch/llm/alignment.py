@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from squelch.llm.shared import cut, stored
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 CACHED_PARTS = 400_000
 #: Characters of one joined text, joined texts encoded in one call, and the links up to which a
 #: group is written out inside a worker.

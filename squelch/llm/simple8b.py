@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ from squelch.llm.shared import fresh_folder
 
 BLOCK_IDS = 1024
 CHUNK_IDS = 1 << 16
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
+SLICE_BYTES = 8_000_000
 END_ID = 2
 #: Ids per word and bits per id of selectors 1 to 14.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -131,7 +133,8 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, block_ids: int = BLOC
 
 class TokenCache:
     """Ids of white-space separated pieces. The tokenizer drops white space before it splits, so
-    a text's ids are those of its pieces in order; each distinct piece is encoded once.
+    a text's ids are those of its pieces in order; each distinct piece is encoded once, many of
+    them with blanks between, and the tokenizer's offsets tell whose the ids are.
     """
 
     def __init__(self, path: str):
@@ -139,20 +142,54 @@ class TokenCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        pieces = [t.split() for t in texts]
-        new = list({p for ps in pieces for p in ps if p not in self.known})
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text begins (with a closing entry). Pieces
+        are split and numbered in Arrow; only distinct ones become Python objects.
+        """
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        edges = split.offsets.to_numpy().astype(np.int64)
+        numbered = split.flatten().dictionary_encode()
+        pieces = numbered.dictionary.to_pylist()
+        self._learn(pieces)
+        piece = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[numbered.indices.to_numpy()]
+        wide = np.diff(self.first)[piece]
+        ends = np.cumsum(wide)
+        out = self.flat[np.repeat(self.first[piece] - (ends - wide), wide) + np.arange(ends[-1] if len(ends) else 0)]
+        return out, np.append(0, ends)[edges - edges[0]]
+
+    def _learn(self, pieces: list[str]) -> None:
+        new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list({p for ps in pieces for p in ps})
+            self.clear()
+            new = pieces
+        flat, widths = [self.flat], [np.diff(self.first)]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            coded = self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
-            self.known.update((p, np.array(c.ids, np.uint32).tobytes()) for p, c in zip(part, coded, strict=True))
-        find = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(find, ps)), np.uint32) for ps in pieces]
+            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded.ids))
+            edges = np.cumsum([len(p) + 1 for p in part])
+            widths.append(np.bincount(np.searchsorted(edges, starts, "right"), minlength=len(part)))
+            flat.append(np.array(coded.ids, np.uint32))
+            for p in part:
+                self.known[p] = len(self.known)
+        self.flat, self.first = np.concatenate(flat), np.cumsum(np.concatenate([[0], *widths]))
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``SLICE_BYTES`` of text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(ends):
+        done = ends[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+        yield first, stop
+        first = stop
 
 
 _CACHES: dict[str, TokenCache] = {}
@@ -187,12 +224,12 @@ def write_ids(
             )
 
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.large_binary())
-            for first in range(0, batch.num_rows, 256):
-                part = [x or b"" for x in texts.slice(first, 256).to_pylist()]
-                for doc_id, found in zip(ids.slice(first, 256).to_pylist(), cache.ids(part), strict=True):
+            ids, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+            for first, stop in _slices(texts):
+                found, edges = cache.ids(texts.slice(first, stop - first))
+                for i, doc_id in enumerate(ids.slice(first, stop - first).to_pylist()):
                     doc_ids.append(doc_id)
-                    lists.append(np.concatenate([found, end]))
+                    lists.append(np.concatenate([found[edges[i] : edges[i + 1]], end]))
                     size += len(lists[-1])
                     if size >= CHUNK_IDS:
                         yield row()
