@@ -30,6 +30,8 @@ CHUNK_IDS = 1 << 16
 CACHED_WORDS = 1_000_000
 SLICE_BYTES = 8_000_000
 END_ID = 2
+#: The tokenizer lower-cases and splits between a letter and these marks, so a blank may be put there.
+AFTER_LETTER = "([a-zß-öø-ÿ])([.,!?;:#$%&*])"
 #: Ids per word and bits per id of selectors 1 to 14.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -152,6 +154,9 @@ class TokenCache:
         """The ids of all texts in a row, and where each text begins (with a closing entry). Pieces
         are split and numbered in Arrow; only distinct ones become Python objects.
         """
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token in sight
+            # lower-cased before the cast: ascii_lower misreads offsets that do not begin at 0 afterwards
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts).cast(pa.large_string()), AFTER_LETTER, r"\1 \2")
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         edges = split.offsets.to_numpy().astype(np.int64)
         numbered = split.flatten().dictionary_encode()
