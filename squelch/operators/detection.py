@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from squelch.functions import scoring, text
 from squelch.functions.expr import unnest
@@ -36,9 +37,16 @@ MATCH_TYPE = (
     "match_type:string,evidence:string,is_custom_rule:boolean>"
 )
 NO_MATCHES = f"array<{MATCH_TYPE}>"
+#: Matches whose evidence is an object of its kind.
+NO_MATCHES_WITH_OBJECTS = NO_MATCHES.replace("evidence:string", "evidence:variant")
 
 
-def _match(case_id, case_name, category, severity, confidence, match_type, evidence) -> Column:
+def _match(
+    case_id, case_name, category, severity, confidence, match_type, evidence, details=None, objects=False
+) -> Column:
+    """A match; its evidence is the text ``evidence`` or, with ``objects``, the object ``details``."""
+    if objects:
+        evidence = F.to_variant_object(details)
     values = [case_id, case_name, category, severity, confidence, match_type, evidence]
     names = ["case_id", "case_name", "category", "severity", "confidence", "match_type", "evidence"]
     fields = [
@@ -56,18 +64,26 @@ def built_in_matches(
     cases: Sequence[dict],
     turn_mismatches: Column | None = None,
     aliases: dict[str, str] | None = None,
+    patterns: Column | None = None,
+    objects: bool = False,
 ) -> Column:
     """Matches of the six built-in kinds as one array.
 
-    ``overlapping`` is the overlap struct, ``turn_mismatches`` an optional string array with one
-    entry per number mismatch between turns. Indicator types without a case are dropped unless
-    ``aliases`` names one.
+    ``overlapping`` is the overlap struct; ``turn_mismatches`` is optional, an array of texts or of
+    the entries of ``turns.turn_summary``, whose ``speaker_patterns`` are ``patterns``. Indicator
+    types without a case are dropped unless ``aliases`` names one. With ``objects`` the evidence is
+    a VARIANT object per match, else a text.
     """
+
+    def typed(e: Column) -> Column:
+        return F.struct(e["type"].alias("type"), e["severity"].alias("severity"), e["detail"].alias("detail"))
+
     keyword = F.transform(
         lexicon.keyword_hits(lower_text, cases),
         lambda h: _match(
             h["case_id"], h["case_name"], h["category"], h["severity"], h["confidence"],
             "keyword", F.array_join(h["matched"], ","),
+            F.struct(h["matched"].alias("keywords")), objects,
         ),
     )
     found = {kind: lexicon.find_case(cases, kind, aliases) for kind in INDICATOR_TYPES}
@@ -88,7 +104,7 @@ def built_in_matches(
                 F.get(F.filter(targets, lambda t: t["type"] == e["type"]), F.lit(0))["id"],
                 F.get(F.filter(targets, lambda t: t["type"] == e["type"]), F.lit(0))["name"],
                 "emergency_declarations", e["severity"], INDICATOR_CONFIDENCE,
-                "emergency_indicator", e["type"],
+                "emergency_indicator", e["type"], e, objects,
             ),
         ),
         lambda m: m["case_id"].isNotNull(),
@@ -97,22 +113,34 @@ def built_in_matches(
     readback = F.transform(
         text.missing_readbacks(lower_text),
         lambda e: _match(
-            case_id, name, category, e["severity"], confidence, "readback_error", e["detail"]
+            case_id, name, category, e["severity"], confidence, "readback_error", e["detail"],
+            typed(e), objects,
         ),
     )
     if turn_mismatches is not None:
-        readback = F.concat(
-            F.transform(
-                turn_mismatches,
-                lambda m: _match(case_id, name, category, 0.9, confidence, "readback_error", m),
-            ),
-            readback,
-        )
+
+        def mismatch(m: Column) -> Column:
+            shown, details = m, F.struct(m.alias("detail"))
+            if patterns is not None:  # entries of turn_summary
+                shown = F.array_join(m["missing"], ",")
+                details = F.struct(
+                    F.lit("number_mismatch").alias("type"),
+                    m["given"].alias("controllerNumbers"),
+                    m["answered"].alias("pilotNumbers"),
+                    m["missing"].alias("mismatches"),
+                    F.lit(0.9).alias("severity"),
+                    F.array(m["first_turn"], m["first_turn"] + 1).alias("segments"),
+                )
+            return _match(case_id, name, category, 0.9, confidence, "readback_error", shown, details, objects)
+
+        none = F.array().cast(NO_MATCHES_WITH_OBJECTS if objects else NO_MATCHES)
+        readback = F.concat(F.coalesce(F.transform(turn_mismatches, mismatch), none), readback)
     p_id, p_name, p_category, p_confidence = PHRASEOLOGY_CASE
     phraseology = F.transform(
         text.phraseology_issues(lower_text, word_count),
         lambda i: _match(
-            p_id, p_name, p_category, i["severity"], p_confidence, "phraseology_issue", i["type"]
+            p_id, p_name, p_category, i["severity"], p_confidence, "phraseology_issue", i["type"],
+            typed(i), objects,
         ),
     )
     o_id, o_name, o_category, o_severity = OVERLAP_CASE
@@ -123,7 +151,7 @@ def built_in_matches(
                 overlapping["detected"],
                 _match(
                     o_id, o_name, o_category, o_severity, overlapping["confidence"],
-                    "audio_signature", "overlap",
+                    "audio_signature", "overlap", overlapping, objects,
                 ),
             ),
             F.when(
@@ -131,15 +159,24 @@ def built_in_matches(
                 _match(
                     w_id, w_name, w_category, w_severity, w_confidence,
                     "speaker_pattern", "high_workload",
+                    patterns if patterns is not None else F.struct(high_workload.alias("isHighWorkload")),
+                    objects,
                 ),
             ),
         )
     )
-    return F.concat(keyword, indicators, readback, phraseology, signals).cast(NO_MATCHES)
+    found = F.concat(keyword, indicators, readback, phraseology, signals)
+    return found.cast(NO_MATCHES_WITH_OBJECTS if objects else NO_MATCHES)
 
 
-def custom_matches(rule_hits: Column) -> Column:
+def custom_matches(rule_hits: Column, objects: bool = False) -> Column:
     """Rule matches in the schema of the built-in ones; severity comes from the priority."""
+
+    def evidence(r: Column) -> Column:
+        if objects:
+            return F.to_variant_object(F.struct(r["matched"].alias("matchedConditions")))
+        return F.array_join(r["matched"], ",")
+
     return F.transform(
         rule_hits,
         lambda r: F.struct(
@@ -149,10 +186,10 @@ def custom_matches(rule_hits: Column) -> Column:
             scoring.custom_match_severity(r["priority"]).alias("severity"),
             r["confidence"].alias("confidence"),
             F.lit("custom_rule").alias("match_type"),
-            F.array_join(r["matched"], ",").alias("evidence"),
+            evidence(r).alias("evidence"),
             F.lit(True).alias("is_custom_rule"),
         ),
-    ).cast(NO_MATCHES)
+    ).cast(NO_MATCHES_WITH_OBJECTS if objects else NO_MATCHES)
 
 
 def edge_score(matches: Column, rule_hits: Column, quality_score: Column) -> Column:
@@ -228,9 +265,16 @@ def detect(
     mode: str = "hybrid",
     threshold: float = 0.85,
     aliases: dict[str, str] | None = None,
+    turns: DataFrame | None = None,
+    key: str = "id",
+    objects: bool = False,
 ) -> DataFrame:
     """Score and route transcripts.
 
+    ``turns``: rows of ``turns.turn_summary`` with the transcripts' ``key``; number mismatches and
+    workload of a transcript then come from its own turns, by one join on the key. With
+    ``objects`` the evidence of every match is a VARIANT object, else a text.
+
     Input columns: text, confidence, duration, speaker_count, speech_density, mean_volume,
     max_volume, and optionally words (else the text is split), high_workload and turn_mismatches.
     Adds routing, quality, matches, rule_hits, edge_score and summary. Empty text yields no
@@ -238,6 +282,11 @@ def detect(
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    if turns is not None:
+        facts = turns.select(key, "turn_mismatches", "speaker_patterns")
+        transcripts = transcripts.drop("turn_mismatches", "speaker_patterns", "high_workload").join(facts, key, "left")
+        high = F.coalesce("speaker_patterns.isHighWorkload", F.lit(False))
+        transcripts = transcripts.withColumn("high_workload", high)
     has = set(transcripts.columns)
     lower = F.lower(F.coalesce(F.col("text"), F.lit("")))
     words = F.col("words") if "words" in has else text.words(F.col("_lower"))
@@ -257,7 +306,7 @@ def detect(
             ),
         )
     )
-    empty = F.array().cast(NO_MATCHES)
+    empty = F.array().cast(NO_MATCHES_WITH_OBJECTS if objects else NO_MATCHES)
     matches = empty
     if mode != "custom":
         found = built_in_matches(
@@ -269,6 +318,8 @@ def detect(
             cases,
             F.col("turn_mismatches") if "turn_mismatches" in has else None,
             aliases,
+            F.col("speaker_patterns") if turns is not None else None,
+            objects,
         )
         matches = F.when(F.col("_lower") != "", found).otherwise(empty)
     hits = F.array().cast(f"array<{rules.MATCH_TYPE}>")
@@ -293,8 +344,10 @@ def detect(
 
 
 def match_table(detected: DataFrame, key: str = "id") -> DataFrame:
-    """One row per match, built-in and custom in one schema."""
-    found = F.concat(F.col("matches"), custom_matches(F.col("rule_hits")))
+    """One row per match, built-in and custom in one schema, evidence as text or as objects."""
+    kind = detected.schema["matches"].dataType.elementType["evidence"].dataType
+    objects = isinstance(kind, VariantType)
+    found = F.concat(F.col("matches"), custom_matches(F.col("rule_hits"), objects))
     rows = unnest(detected, found, "m", F.col(key).alias("segment_id"))
     return rows.select("segment_id", "m.*")
 

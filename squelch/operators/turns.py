@@ -194,6 +194,71 @@ def workload(
     )
 
 
+def turn_summary(
+    turns: DataFrame,
+    key: str,
+    order: Sequence[str],
+    start: str = "start",
+    end: str = "end",
+    text_column: str = "text",
+    speaker: str = "speaker",
+    pattern: str = r"\d+",
+    as_numbers: bool = True,
+    rows_per_block: int = timeline.ROWS_PER_BLOCK,
+) -> DataFrame:
+    """What the detector takes from the turns of a transcript, one row per ``key``.
+
+    Adjacent turns are compared once: ``turn_mismatches`` lists where a turn misses numbers of the
+    one before (place of that one, both number lists, the missing numbers), in order of the turns;
+    ``speaker_patterns`` holds speakers, turns, words per turn, rapid exchanges and the workload
+    flag. Everything but the list itself is a mergeable count.
+    """
+    lower = F.lower(F.col(text_column))
+    found = text.numbers(lower, pattern) if as_numbers else F.regexp_extract_all(lower, F.lit(f"({pattern})"), 1)
+    rows = turns.select(
+        key,
+        *order,
+        *[c for c in (start, end, speaker) if c not in order],
+        F.coalesce(found, F.array().cast("array<string>")).alias("_numbers"),
+        F.size(text.words(F.coalesce(text_column, F.lit("")))).alias("_words"),
+    )
+    blocked = timeline.add_blocks(rows, [key], order, rows_per_block)
+    placed = timeline.with_row_index(blocked, [key], order, "_at")
+    paired = timeline.with_previous(placed, [key], order, [end, "_numbers"])
+    given = F.col("prev__numbers")
+    missing = F.filter(given, lambda n: ~F.array_contains("_numbers", n))
+    entry = F.struct(
+        (F.col("_at") - 1).cast("bigint").alias("first_turn"),
+        given.alias("given"),
+        F.col("_numbers").alias("answered"),
+        F.col("_missing").alias("missing"),
+    )
+    wrong = (F.size("_numbers") > 0) & (F.size(given) > 0) & (F.size("_missing") > 0)
+    rapid = F.count_if((F.col(start) - F.col(f"prev_{end}")) < 0.5)
+    return (
+        paired.withColumn("_missing", missing)
+        .groupBy(key)
+        .agg(
+            F.array_sort(F.collect_list(F.when(wrong, entry))).alias("turn_mismatches"),
+            F.countDistinct(speaker).alias("_speakers"),
+            F.count("*").alias("_turns"),
+            F.avg("_words").alias("_average"),
+            rapid.alias("_rapid"),
+        )
+        .select(
+            key,
+            "turn_mismatches",
+            F.struct(
+                F.col("_speakers").alias("speakerCount"),
+                F.col("_turns").alias("totalTurns"),
+                F.col("_average").alias("avgWordsPerTurn"),
+                F.col("_rapid").alias("rapidExchanges"),
+                ((F.col("_rapid") > 3) | (F.col("_average") > 30)).alias("isHighWorkload"),
+            ).alias("speaker_patterns"),
+        )
+    )
+
+
 def speaker_count(words: Column) -> Column:
     """Distinct non-null speakers in a word array."""
     return F.size(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from squelch.functions import scoring, text
 from squelch.functions.expr import let, unnest
-from squelch.operators import detection, queues, ranking, rules, sizing, stats
+from squelch.operators import detection, queues, ranking, rules, sizing, stats, turns
 from squelch.plans import bindings as b
 from squelch.plans import transcripts as tr
 from squelch.plans.registry import query
@@ -280,6 +280,122 @@ def rule_matches(spark, path):
     )
 
 
+_WORDS_AS_NUMBERS = "[a-z]{8,}"
+
+
+def _rule_conditions(rule) -> str:
+    """Names of the conditions of one rule that are met, as a SQL list."""
+    c, parts = rule["conditions"], []
+    if c.get("keywords"):
+        parts.append(f"CASE WHEN len({tr.contained_sql(c['keywords'])}) > 0 THEN 'keywords' END")
+    if c.get("speech_rate"):
+        rate = f"rate {c['speech_rate'][0]} {c['speech_rate'][1:]}"
+        parts.append(f"CASE WHEN {rate} THEN 'speech_rate' END")
+    if c.get("multiple_speakers"):
+        parts.append("CASE WHEN speaker_count > 1 THEN 'multiple_speakers' END")
+    if c.get("high_volume_variance"):
+        parts.append("CASE WHEN variance > 12 THEN 'high_volume_variance' END")
+    return f"list_filter([{', '.join(parts)}], lambda m: m IS NOT NULL)"
+
+
+_MET = "\n  UNION ALL ".join(
+    f"SELECT id, '{r['id']}' AS rule_id, {_severity}::DOUBLE AS severity, {_score_rule(r)} AS confidence,"
+    f" {_rule_conditions(r)} AS met FROM scored"
+    for r in b.RULES
+    for _severity in [_SEVERITY.get(r["priority"], 0.4)]
+)
+
+TURN_FACTS = f"""{b.TURNS}, turn_n AS (
+  SELECT clip, turn, speaker, start_s, end_s, regexp_extract_all(lower(text), '{_WORDS_AS_NUMBERS}') AS ns,
+    len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS n FROM turns),
+turn_p AS (SELECT *, ROW_NUMBER() OVER w - 1 AS spot, LAG(ns) OVER w AS given, start_s - LAG(end_s) OVER w AS gap
+  FROM turn_n WINDOW w AS (PARTITION BY clip ORDER BY turn)),
+turn_m AS (SELECT * FROM (SELECT clip, spot, given, ns,
+    list_filter(given, lambda g: NOT list_contains(ns, g)) AS missed FROM turn_p)
+  WHERE len(ns) > 0 AND len(given) > 0 AND len(missed) > 0),
+turn_w AS (SELECT clip, COUNT(*) AS total, AVG(n) AS average, COUNT(*) FILTER (gap < 0.5) AS rapid,
+    COUNT(DISTINCT speaker) AS speakers FROM turn_p GROUP BY clip)"""
+
+
+def detected_with_turns(spark, path, objects=True):
+    """Segments with the conversation of the same number as their turns; long words stand for numbers."""
+    facts = turns.turn_summary(
+        b.turns(spark, path).withColumnRenamed("clip", "id"), "id", ["turn"], pattern=_WORDS_AS_NUMBERS, as_numbers=False
+    )
+    return detection.detect(transcripts(spark, path), b.CASES, b.RULES, turns=facts, objects=objects)
+
+
+@query(
+    "match_evidence",
+    DETECT + f""", {TURN_FACTS}, met AS ({_MET}),
+evidence AS (
+  SELECT id, match_type, case_id, severity::DOUBLE AS severity, confidence::DOUBLE AS confidence,
+    CASE WHEN match_type = 'keyword' THEN evidence END AS keywords,
+    CASE match_type WHEN 'emergency_indicator' THEN evidence WHEN 'phraseology_issue' THEN evidence
+      WHEN 'readback_error' THEN 'missing_readback' END AS type,
+    NULL AS given, NULL AS answered, NULL AS missing, NULL::BIGINT AS second_turn,
+    NULL::BIGINT AS total_turns, NULL::BIGINT AS rapid, NULL::BIGINT AS speakers, NULL::DOUBLE AS average_words,
+    CASE WHEN match_type = 'audio_signature' THEN TRUE END AS detected, NULL AS conditions
+  FROM built_in
+  UNION ALL SELECT clip, 'readback_error', 'RB-001', 0.9, 0.8, NULL, 'number_mismatch', array_to_string(given, ','),
+    array_to_string(ns, ','), array_to_string(missed, ','), spot, NULL, NULL, NULL, NULL, NULL, NULL
+  FROM turn_m JOIN docs ON docs.id = clip WHERE t <> ''
+  UNION ALL SELECT clip, 'speaker_pattern', 'OP-001', 0.6, 0.7, NULL, NULL, NULL, NULL, NULL, NULL, total, rapid,
+    speakers, average, NULL, NULL FROM turn_w JOIN docs ON docs.id = clip WHERE t <> '' AND (rapid > 3 OR average > 30)
+  UNION ALL SELECT id, 'custom_rule', rule_id, severity, confidence, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+    NULL, NULL, NULL, array_to_string(met, ',') FROM met WHERE confidence > 0)
+SELECT id AS segment_id, * EXCLUDE (id, severity, confidence, average_words), ROUND(severity, 6) AS severity,
+  ROUND(confidence, 6) AS confidence, ROUND(average_words, 6) AS average_words FROM evidence""",
+)
+def match_evidence(spark, path):
+    """All match kinds of the detector fed by its own turns, with fields read from their evidence objects."""
+    found = detection.match_table(detected_with_turns(spark, path))
+
+    def field(name: str, kind: str = "string"):
+        return F.try_variant_get("evidence", f"$.{name}", kind)
+
+    def listed(name: str):
+        return F.array_join(field(name, "array<string>"), ",")
+
+    return found.select(
+        "segment_id",
+        "match_type",
+        "case_id",
+        F.round("severity", 6).alias("severity"),
+        F.round("confidence", 6).alias("confidence"),
+        listed("keywords").alias("keywords"),
+        field("type").alias("type"),
+        listed("controllerNumbers").alias("given"),
+        listed("pilotNumbers").alias("answered"),
+        listed("mismatches").alias("missing"),
+        field("segments[1]", "bigint").alias("second_turn"),
+        field("totalTurns", "bigint").alias("total_turns"),
+        field("rapidExchanges", "bigint").alias("rapid"),
+        field("speakerCount", "bigint").alias("speakers"),
+        F.round(field("avgWordsPerTurn", "double"), 6).alias("average_words"),
+        field("detected", "boolean").alias("detected"),
+        listed("matchedConditions").alias("conditions"),
+    )
+
+
+@query(
+    "edge_score_turns",
+    DETECT + f""", {TURN_FACTS}, all_weights AS (
+  SELECT id, severity::DOUBLE * confidence::DOUBLE AS w FROM built_in
+  UNION ALL SELECT id, weight * confidence FROM rule_hits
+  UNION ALL SELECT clip, 0.9::DOUBLE * 0.8::DOUBLE FROM turn_m JOIN docs ON docs.id = clip WHERE t <> ''
+  UNION ALL SELECT clip, 0.6::DOUBLE * 0.7::DOUBLE FROM turn_w JOIN docs ON docs.id = clip
+    WHERE t <> '' AND (rapid > 3 OR average > 30)),
+top AS (SELECT id, list_reverse_sort(list(w)) AS ws FROM all_weights GROUP BY id)
+SELECT q.id, ROUND(LEAST(1::DOUBLE, COALESCE(ws[1], 0) * 0.6::DOUBLE + COALESCE(ws[2], 0) * 0.25::DOUBLE
+  + COALESCE(ws[3], 0) * 0.15::DOUBLE + (1 - {_QUALITY_SCORE}) * 0.2::DOUBLE), 6) AS edge_score
+FROM quality q LEFT JOIN top ON top.id = q.id""",
+)
+def edge_score_turns(spark, path):
+    """Scores with the matches that come from turns."""
+    return detected_with_turns(spark, path, objects=False).select("id", F.round("edge_score", 6).alias("edge_score"))
+
+
 @query(
     "rule_dry_run",
     DETECT + f"""SELECT id, k OR r AS matched, concat_ws(',', CASE WHEN k THEN 'keywords' END,

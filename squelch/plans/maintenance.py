@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from squelch.functions import scoring, text
-from squelch.operators import detection, queues, rules, sizing, stats, tables
+from squelch.operators import buckets, counters, detection, queues, rules, sizing, stats, tables, timeline
 from squelch.plans import bindings as b
 from squelch.plans import detection as det
 from squelch.plans.registry import query
@@ -508,3 +508,106 @@ def stored_matches(spark, path):
         sinks.append_table(detection.match_table(detected), folder)
     stored = spark.read.parquet(folder)
     return stored.groupBy("match_type").agg(F.count("*").alias("matches"))
+
+
+BUCKETS = 128
+
+
+@query(
+    "bucketed_reviews",
+    SEG + f""", r AS (SELECT * FROM labels WHERE toxic = 1)
+SELECT s.id, CASE WHEN r.doc_id IS NULL THEN s.reviewed ELSE r.quality = 1 END AS reviewed,
+  CASE WHEN r.doc_id % 4 = 0 THEN 'fixed ' || r.doc_id ELSE s.text END AS text,
+  s.needs_human_review, s.id % {BUCKETS} NOT IN (SELECT doc_id % {BUCKETS} FROM r) AS kept_file
+FROM segments s LEFT JOIN r ON r.doc_id = s.id""",
+)
+def bucketed_reviews(spark, path):
+    """Reviews of the toxic segments merged into a stored table; buckets without one keep their files."""
+    folder = jobs.shared_folder(spark, "segments")
+    table = b.segments(spark, path).select("id", "reviewed", "text", "needs_human_review")
+    buckets.write_buckets(table, folder, "id", BUCKETS, by_hash=False)
+    before = f"{folder}-files"
+    buckets.files(spark, folder).write.parquet(before)
+    toxic = b.table(spark, path, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    reviews = _reviews(spark, path).join(toxic, "id", "left_semi")
+
+    def change(old):
+        wide = old.withColumns({c: F.lit(None).cast("string") for c in ("reviewed_at", "review_notes", "reviewed_by")})
+        merged, _ = tables.apply_reviews(wide, reviews, F.lit("now"))
+        return merged.select(*old.columns)
+
+    buckets.change_buckets(spark, folder, reviews, "id", BUCKETS, change, by_hash=False)
+    same = buckets.files(spark, folder).join(spark.read.parquet(before), ["bucket", "file", "written"])
+    kept = same.select("bucket").distinct().withColumn("kept", F.lit(True))
+    now = buckets.read_buckets(spark, folder).withColumn("bucket", buckets.bucket_of(F.col("id"), BUCKETS, False))
+    return now.join(kept, "bucket", "left").select(
+        "id", "reviewed", "text", "needs_human_review", F.coalesce("kept", F.lit(False)).alias("kept_file")
+    )
+
+
+_DOOMED = "SELECT DISTINCT source FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1 AND l.quality = 0"
+
+
+@query(
+    "recording_cascade",
+    f"""WITH doomed AS ({_DOOMED}), kept AS (SELECT * FROM documents WHERE source NOT IN (SELECT source FROM doomed)),
+kept_labels AS (SELECT l.* FROM labels l JOIN kept k ON k.doc_id = l.doc_id)
+SELECT 'segments of recording' AS counter, source AS parent, COUNT(*) AS n FROM kept GROUP BY source
+UNION ALL SELECT 'labels of recording', source, COUNT(*) FROM kept_labels l JOIN kept k ON k.doc_id = l.doc_id GROUP BY source
+UNION ALL SELECT 'labels of segment', CAST(doc_id AS VARCHAR), COUNT(*) FROM kept_labels GROUP BY doc_id
+UNION ALL SELECT 'segments left', 'all', COUNT(*) FROM kept UNION ALL SELECT 'labels left', 'all', COUNT(*) FROM kept_labels""",
+)
+def recording_cascade(spark, path):
+    """Recordings with a bad toxic segment deleted with their segments and labels; counters follow by signed changes."""
+    docs = b.table(spark, path, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("recording_id"))
+    labels = b.table(spark, path, "labels")
+    bad = labels.filter("toxic = 1 AND quality = 0").select(F.col("doc_id").alias("id"))
+    doomed = docs.join(bad, "id", "left_semi").select("recording_id").distinct()
+    rows = labels.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").alias("segment_id"))
+    segment_changes, label_changes = counters.cascade(doomed, docs, rows)
+    owner = docs.select(F.col("id").alias("segment_id"), "recording_id")
+    of_recording = rows.join(owner, "segment_id").select("id", "recording_id")
+    moved = label_changes.withColumnRenamed("old_parent", "segment_id").join(owner, "segment_id")
+    named = {
+        "segments of recording": (counters.count_children(docs, "recording_id"), segment_changes),
+        "labels of recording": (
+            counters.count_children(of_recording, "recording_id"),
+            moved.select("id", F.col("recording_id").alias("old_parent"), F.lit(None).cast("string").alias("new_parent")),
+        ),
+        "labels of segment": (counters.count_children(rows, "segment_id"), label_changes),
+    }
+    out = None
+    for name, (counts, changes) in named.items():
+        after = counters.apply_changes(counts, counters.changed_counts(changes))
+        after = after.select(F.lit(name).alias("counter"), F.col("parent").cast("string").alias("parent"), "n")
+        out = after if out is None else out.unionByName(after)
+    left, kept = tables.delete_cascade(docs, rows, segment_changes.select("id"))
+    for name, table in (("segments left", left), ("labels left", kept)):
+        out = out.unionByName(table.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), F.lit("all").alias("parent"), "n"))
+    return out
+
+
+def user_moves(spark, path):
+    """Users as children of the feed of their latest event; an error takes a user out of all feeds."""
+    events = b.table(spark, path, "events").select(
+        F.unix_micros(jobs.to_timestamp(F.col("ts"))).alias("moment"), "event_id", "user_id",
+        F.nullif(F.col("event_type"), F.lit("error")).alias("feed"),
+    )
+    order = ["moment", "event_id"]
+    paired = timeline.with_previous(timeline.add_blocks(events, ["user_id"], order), ["user_id"], order, ["feed"])
+    return paired.select("moment", F.col("user_id").alias("id"), F.col("prev_feed").alias("old_parent"), F.col("feed").alias("new_parent"))
+
+
+@query(
+    "counter_stream",
+    """SELECT event_type AS parent, COUNT(*) AS n FROM (SELECT event_type, ROW_NUMBER() OVER (
+    PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events)
+WHERE place = 1 AND event_type <> 'error' GROUP BY event_type""",
+)
+def counter_stream(spark, path):
+    """Inserts, moves and deletes streamed in files; counters are the sums of signed changes."""
+    folder = jobs.shared_folder(spark, "moves")
+    user_moves(spark, path).repartitionByRange("moment").write.parquet(folder)
+    stream = jobs.read_table_stream(spark, folder, "*.parquet", spark.read.parquet(folder).schema, 4)
+    sums = jobs.run_available(counters.changed_counts(stream), "update", "counters", ["parent"])
+    return sums.select("parent", F.col("delta").alias("n")).filter(F.col("n") != 0)

@@ -115,3 +115,31 @@ def test_ranking_gives_three_pairs(spark):
     assert tie.first()[0] == ["ranks not unique"]
     unset = F.array(F.lit(1), F.lit(None), F.lit(2))
     assert df.select(ranking.ranking_errors(F.col("scores"), unset)).first()[0] == ["rank missing"]
+
+
+def test_turn_facts_and_evidence_objects(spark):
+    from squelch.operators import turns
+
+    rows = [
+        (1, 0, "tower", 0.0, 1.0, "climb 350 heading 007 007"), (1, 1, "pilot", 1.2, 2.0, "climbing 350 heading 70"),
+        (1, 2, "tower", 2.1, 3.0, None), (1, 3, "pilot", 3.1, 4.0, "ok 12"), (1, 4, "tower", 4.1, 5.0, "say 99"), (2, 0, "a", 0.0, 1.0, "no numbers"),
+    ]
+    said = spark.createDataFrame(rows, "id int, turn int, speaker string, start double, end double, text string")
+    for block in (2_000_000, 2):
+        facts = turns.turn_summary(said, "id", ["turn"], rows_per_block=block)
+        got = {r["id"]: r for r in facts.collect()}
+        assert [tuple(m) for m in got[1]["turn_mismatches"]] == [
+            (0, ["350", "7", "7"], ["350", "70"], ["7", "7"]), (3, ["12"], ["99"], ["12"]),
+        ]
+        assert got[2]["turn_mismatches"] == []
+        patterns = got[1]["speaker_patterns"]
+        assert (patterns["totalTurns"], patterns["rapidExchanges"], patterns["speakerCount"], patterns["isHighWorkload"]) == (5, 4, 2, True)
+    base = "id int, text string, confidence double, duration double, speaker_count int, speech_density double, mean_volume double, max_volume double"
+    made = spark.createDataFrame([(1, "mayday", 0.5, 60.0, 2, 0.9, -20.0, -1.0), (3, "", 0.5, 60.0, 2, 0.9, -20.0, -1.0)], base)
+    found = detection.match_table(detection.detect(made, CASES, aliases={"mayday": "ED-001"}, turns=facts, objects=True))
+    field = lambda path, kind="string": F.try_variant_get("evidence", path, kind)
+    seen = found.select("segment_id", "match_type", field("$.mismatches", "array<string>"), field("$.segments[0]", "int"), field("$.totalTurns", "int"), field("$.type"))
+    got = {tuple(r[:1] + r[1:2]) + (tuple(r[2] or ()), *r[3:]) for r in seen.collect()}
+    assert {(1, "readback_error", ("7", "7"), 0, None, "number_mismatch"), (1, "readback_error", ("12",), 3, None, "number_mismatch"),
+            (1, "speaker_pattern", (), None, 5, None), (1, "emergency_indicator", (), None, None, "mayday")} <= got
+    assert not any(r[0] == 3 and r[1] != "custom_rule" for r in got)
