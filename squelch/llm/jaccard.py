@@ -8,7 +8,9 @@ sets that reach the threshold share a token of their prefix, the first n - ceil(
 2. Groups that share a prefix token, with sizes and positions that admit the threshold, are group
    pairs. The first round pairs a group only with a few leaders of each token: near copies of one
    text are then mostly connected after a number of pairs linear in their number.
-3. Pairs are expanded to members and verified on the texts' exact sets.
+3. Pairs are expanded to members. A parity sketch per class (every shingle toggles one bit) bounds
+   the symmetric difference of two sets from below, so it refuses pairs without error before any
+   text moves; the rest are verified on the exact sets of the texts' shingle hashes.
 4. Components are formed. In the second round all group pairs with members in different
    components are expanded and verified, so no link between components is missed. Pairs inside a
    component are not needed and never made.
@@ -24,6 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from squelch.llm.annotate import fresh_name
 from squelch.llm.components import components
 from squelch.llm.hashing import SPACED, Words, mix, ngrams, slices
 from squelch.llm.shared import cut, stored, with_small
@@ -34,6 +37,8 @@ LEADERS = 3
 STAR_ROUNDS = 2
 COUNTERS = 1 << 20
 PARTS = 16
+#: Bits of a parity sketch: half the size of the set, as a power of two, within these.
+LEAST_BITS, MOST_BITS = 512, 1 << 16
 
 
 def _sets(raw: bytes, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -102,17 +107,18 @@ def least_common(n: Column, percent: int) -> Column:
 
 def document_sets(documents: DataFrame, n: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
     """documents (doc_id, _text) -> doc_id, n (set size), sig (128-bit hash of the set), prefix
-    (tokens in order), prefix_sig.
+    (tokens in order), prefix_sig, sketch.
     """
     ranks = _ranks(_counters(documents, n)).astype(np.uint8)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, sigs, prefixes, prefix_sigs = [], [], [], []
+            sizes, sigs, prefixes, prefix_sigs, sketches = [], [], [], [], []
             for _, _, raw, offsets in slices(batch.column(1)):
                 for found in _sets(raw, offsets, n):
                     sizes.append(len(found))
                     sigs.append(_signature(found))
+                    sketches.append(_sketch(found))
                     rank = ranks[(found & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
                     tokens = (rank << np.uint64(57)) | (found >> np.uint64(7))
                     length = len(found) - (len(found) * percent + 99) // 100 + 1 if len(found) else 0
@@ -128,11 +134,12 @@ def document_sets(documents: DataFrame, n: int = SHINGLE, percent: int = THRESHO
                     pa.array(sigs, pa.binary()),
                     pa.array(prefixes, pa.list_(pa.int64())),
                     pa.array(prefix_sigs, pa.binary()),
+                    pa.array(sketches, pa.binary()),
                 ],
-                ["doc_id", "n", "sig", "prefix", "prefix_sig"],
+                ["doc_id", "n", "sig", "prefix", "prefix_sig", "sketch"],
             )
 
-    kind = "doc_id bigint, n bigint, sig binary, prefix array<bigint>, prefix_sig binary"
+    kind = "doc_id bigint, n bigint, sig binary, prefix array<bigint>, prefix_sig binary, sketch binary"
     return documents.select("doc_id", "_text").mapInArrow(build, kind)
 
 
@@ -143,6 +150,36 @@ def _signature(values: np.ndarray) -> bytes:
     return np.array([a, b], np.uint64).tobytes()
 
 
+def _sketch(found: np.ndarray) -> bytes:
+    """Parities of the hashes by bit, as many bits as the size asks for."""
+    bits = 1 << int(np.clip(len(found) // 2, LEAST_BITS, MOST_BITS) - 1).bit_length()
+    odd = np.bincount(((found >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """No more than the size of the symmetric difference of the sketched sets."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    wide = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, wide), axis=0) for v in (a, b))  # the larger folded
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _unrefused(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that their sketches allow to reach the threshold."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums, xs, ys = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            most = [n * (100 - percent) // (100 + percent) for n in sums]
+            keep = [i for i, (m, x, y) in enumerate(zip(most, xs, ys, strict=True)) if least_difference(x, y) <= m]
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias("_n" + c), F.col("sketch").alias("_s" + c))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.select("a", "b", F.col("_na") + F.col("_nb"), "_sa", "_sb").mapInArrow(test, "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) of class ids whose sets reach the threshold. ``texts``: id, _text."""
 
@@ -162,11 +199,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(check, "a bigint, b bigint")
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(3)
-    for batch in batches:
-        texts = [press.compress((x or "").encode()) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["id", "_text"])
+def _packed(n: int):
+    """Rows (id, _text, sig or null) as packed texts; with a sig, only the text of that set."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(3)
+        for batch in batches:
+            ids, texts = [], []
+            for i, text, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = (text or "").encode()
+                if sig is None or _signature(_sets(raw, np.array([0, len(raw)]), n)[0]) == sig:
+                    ids.append(i)
+                    texts.append(press.compress(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], ["id", "_text"])
+
+    return pack
 
 
 def _aligned(first, second) -> Iterator[tuple]:
@@ -189,17 +236,20 @@ def linked(
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     rows = stored(document_sets(docs, n, percent), "sets")
-    classes = stored(
-        rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-        .groupBy("sig")
-        .agg(
-            F.min("doc_id").alias("id"),
-            F.first("n").alias("n"),
-            F.first("prefix").alias("prefix"),
-            F.first("prefix_sig").alias("prefix_sig"),
-        ),
-        "classes",
+    full = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    made = full.groupBy("sig").agg(
+        F.min("doc_id").alias("doc"),
+        *[F.first(c).alias(c) for c in ("n", "prefix", "prefix_sig", "sketch")],
     )
+    classes = stored(made.withColumn("id", F.monotonically_increasing_id()), "classes")
+    # ids that stand in several rows, and the edges between the classes of each
+    again = cut(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_k")).filter("_k > 1").select("doc_id"))
+    repeated = not again.isEmpty()
+    edges, labels = None, None
+    if repeated:
+        of_doc = full.join(again, "doc_id").select("doc_id", "sig").distinct().join(classes.select("sig", "id"), "sig")
+        least = of_doc.groupBy("doc_id").agg(F.min("id").alias("a"))
+        edges = cut(of_doc.join(least, "doc_id").filter(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct())
     # 1. groups: equal size and prefix; the member with the smallest id leads
     groups = classes.groupBy("n", "prefix_sig").agg(F.min("id").alias("lead"), F.count("*").alias("members"))
     of = classes.select("n", "prefix_sig", "id").join(groups, ["n", "prefix_sig"])
@@ -216,41 +266,52 @@ def linked(
     star = _admitted(shared.select("*", F.col("head")["id"].alias("id2"), F.col("head")["n"].alias("n2"), F.col("head")["at"].alias("at2")), percent)
     pairs = star.unionByName(members.select(F.col("lead").alias("a"), F.col("id").alias("b")).filter(F.col("a") != F.col("b")))
     # 3. and 4.
-    edges, labels = None, None
+    if edges is not None:
+        labels = cut(components(edges))
     for round_ in range(STAR_ROUNDS + 1):
         if round_:
             nodes = shared.select("id").unionByName(members.select("id")).distinct()
             named = cut(nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")))
             last = round_ == STAR_ROUNDS
             pairs = _open_pairs(shared, members, named, round_, percent, last)
-        pairs = cut(pairs.distinct())
+        pairs = cut(_unrefused(pairs.distinct(), classes, percent))
         if round_ and pairs.isEmpty():
             if last:
                 break
             continue
-        needed = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-        found = _verified(pairs, _texts(docs, needed, n), n, percent)
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        found = _verified(pairs, _texts(docs, classes.join(ids, "id", "left_semi"), again if repeated else None, n), n, percent)
         edges = cut(found if edges is None else edges.unionByName(found))
         labels = cut(components(edges))
-    by_class = classes.select("sig", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-        "sig", F.coalesce("label", "id").alias("component_id")
-    )
-    return (
-        rows.select("doc_id", "n", "sig")
-        .join(by_class, "sig", "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-        )
+    # the smallest document of each component
+    named = classes.select("sig", "id", "doc").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    named = named.withColumn("label", F.coalesce("label", "id"))
+    by_class = named.join(named.groupBy("label").agg(F.min("doc").alias("component_id")), "label").select("sig", "component_id")
+    out = rows.select("doc_id", "n", "sig").join(by_class, "sig", "left")
+    if repeated:  # also where one of the rows has no set
+        of_doc = full.join(again, "doc_id").join(by_class, "sig").groupBy("doc_id").agg(F.min("component_id").alias("_c"))
+        out = out.join(of_doc, "doc_id", "left").withColumn("component_id", F.coalesce("_c", "component_id"))
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
 
 
-def _texts(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """Packed texts of the needed classes: the rows whose doc_id is the class id."""
-    with_id = docs.withColumn("id", F.col("doc_id"))
-    found = with_small(with_id, needed, ["id"], "inner").select("id", "_text")
-    return found.mapInArrow(_packed, "id bigint, _text binary")
+def _texts(docs: DataFrame, needed: DataFrame, again: DataFrame | None, n: int) -> DataFrame:
+    """id, packed text of the needed classes, from a row with the class's document. Where that
+    stands in several rows (``again``), the one whose set it is.
+    """
+    wanted = cut(needed.select("id", "doc", "sig"))
+    keyed = docs.withColumn("doc", F.col("doc_id"))
+    kind = "id bigint, _text binary"
+    if again is None:
+        rows = with_small(keyed, wanted.select("id", "doc"), ["doc"], "inner").select("id", "_text", F.lit(None).cast("binary"))
+        return rows.mapInArrow(_packed(n), kind)
+    flagged = wanted.join(again.select(F.col("doc_id").alias("doc"), F.lit(True).alias("_many")), "doc", "left")
+    flagged = flagged.select("id", "doc", F.when(F.col("_many"), F.col("sig")).alias("sig"))
+    rows = keyed.join(flagged, "doc").select("id", "_text", "sig").mapInArrow(_packed(n), kind)
+    return rows.groupBy("id").agg(F.first("_text").alias("_text"))
 
 
 def _admitted(pairs: DataFrame, percent: int) -> DataFrame:
@@ -312,6 +373,7 @@ def one_of_each(
 ) -> DataFrame:
     """The rows of ``documents`` whose id is the smallest of its component; rows without id stay."""
     out = linked(documents, id_col, text_col, n, percent).filter(F.col("doc_id") != F.col("component_id"))
-    gone = cut(out.select(F.col("doc_id").alias("_gone")).distinct())
-    keyed = documents.withColumn("_gone", F.col(id_col).cast("long"))
-    return with_small(keyed, gone, ["_gone"], "left_anti").drop("_gone").select(*documents.columns)
+    name = fresh_name(documents, "_gone")
+    gone = cut(out.select(F.col("doc_id").alias(name)).distinct())
+    keyed = documents.withColumn(name, F.col(id_col).cast("long"))
+    return with_small(keyed, gone, [name], "left_anti").drop(name).select(*documents.columns)

@@ -269,3 +269,44 @@ def test_split_pieces_have_the_ids_of_the_whole(texts):
     ids, edges = cache.ids(pa.array(["x", *texts], pa.string()).slice(1))
     got = [ids[a:b].tolist() for a, b in pairwise(edges)]
     assert got == [cache.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    words = [f"w{i}" for i in range(80)]
+    a, b_, c = " ".join(words[:40]), " ".join(words[40:]), " ".join(words[20:60])
+    rows = [(3, a), (7, a), (7, b_), (9, b_), (9, None), (11, c), (11, c), (12, c), (20, None), (20, ""), (None, a), (None, a), (4, c + " x"), (30, "")]
+    sets = [(i, brute.shingles(t)) for i, t in rows]
+    parent = {i: i for i, _ in rows if i is not None}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in sets:
+        for j, y in sets:
+            if None not in (i, j) and x and y and 100 * len(x & y) >= 90 * len(x | y):
+                p, q = sorted((root(i), root(j)))
+                parent[q] = p
+    want = Counter((i, len(x), None if i is None else root(i)) for i, x in sets)
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, sig int").repartition(4)
+    assert Counter(tuple(r) for r in jaccard.linked(docs).collect()) == want
+
+
+def test_sketches_bound_the_difference_from_below():
+    rng = np.random.default_rng(6)
+    for n, m in [(5, 5), (900, 40), (3000, 3100), (9000, 500), (0, 7)]:
+        pool = np.unique(rng.integers(0, 1 << 63, 12_000, dtype=np.uint64))
+        x, y = (rng.choice(pool, k, replace=False) for k in (n, m))
+        for v in (y, x, x[: n - n // 50]):
+            least = jaccard.least_difference(jaccard._sketch(x), jaccard._sketch(v))
+            assert least <= len(np.setxor1d(x, v))
+    assert jaccard.least_difference(jaccard._sketch(x), jaccard._sketch(x)) == 0
+
+
+def test_one_of_each_with_clashing_names(spark):
+    rows = [(1, LONG, "p"), (2, LONG, "q"), (3, "other words", None), (None, LONG, "r"), (None, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
+    out = jaccard.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert Counter(tuple(r) for r in out.collect()) == Counter(r for r in rows if r[0] != 2)
