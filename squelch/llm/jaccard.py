@@ -254,6 +254,7 @@ def linked(
     groups = classes.groupBy("n", "prefix_sig").agg(F.min("id").alias("lead"), F.count("*").alias("members"))
     of = classes.select("n", "prefix_sig", "id").join(groups, ["n", "prefix_sig"])
     members = cut(of.filter(F.col("members") > 1).select("lead", "id", "n"))
+    balls = stored(_balls(members, classes), "balls")
     # 2. tokens that groups share
     postings = (
         classes.join(members.filter(F.col("id") != F.col("lead")).select("id"), "id", "left_anti")
@@ -273,7 +274,7 @@ def linked(
             nodes = shared.select("id").unionByName(members.select("id")).distinct()
             named = cut(nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")))
             last = round_ == STAR_ROUNDS
-            pairs = _open_pairs(shared, members, named, round_, percent, last)
+            pairs = _open_pairs(shared, members, named, balls, round_, percent, last)
         pairs = cut(_unrefused(pairs.distinct(), classes, percent))
         if round_ and pairs.isEmpty():
             if last:
@@ -314,19 +315,68 @@ def _texts(docs: DataFrame, needed: DataFrame, again: DataFrame | None, n: int)
     return rows.groupBy("id").agg(F.first("_text").alias("_text"))
 
 
-def _admitted(pairs: DataFrame, percent: int) -> DataFrame:
-    """Group pairs whose sizes and token positions leave room for the threshold: a, b."""
+def _admitted(pairs: DataFrame, percent: int, *more: str) -> DataFrame:
+    """Group pairs whose sizes and token positions leave room for the threshold: a, b, and the
+    columns named in ``more`` of both as they are, with ``2`` for those of b.
+    """
     small, large = F.least("n", "n2"), F.greatest("n", "n2")
     rest = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
     common = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent) - 1e-9)
-    return pairs.filter(
+    found = pairs.filter(
         (F.col("id") != F.col("id2")) & (small * 100 >= large * percent) & (rest + F.least("at", "at2") >= common)
-    ).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+    )
+    ordered = F.col("id") < F.col("id2")
+    sides = [F.when(ordered, F.col(c)).otherwise(F.col(f"{c}2")).alias(c) for c in more]
+    sides += [F.when(ordered, F.col(f"{c}2")).otherwise(F.col(c)).alias(f"{c}2") for c in more]
+    return found.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), *sides)
+
+
+def _balls(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """lead, n, sketch and radius of every class that leads a group or stands alone: no sketch of a
+    member differs from the lead's in more bits.
+    """
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, ys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            far = [least_difference(x, y) for x, y in zip(xs, ys, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(far, pa.int64())], ["lead", "far"])
+
+    sketch = classes.select("id", "sketch")
+    others = members.filter(F.col("id") != F.col("lead")).select("lead", "id").join(sketch, "id")
+    both = others.join(sketch.select(F.col("id").alias("lead"), F.col("sketch").alias("_l")), "lead")
+    far = both.select("lead", "_l", "sketch").mapInArrow(measure, "lead bigint, far bigint")
+    radius = far.groupBy("lead").agg(F.max("far").alias("radius"))
+    alone = classes.join(members.filter(F.col("id") != F.col("lead")).select("id"), "id", "left_anti")
+    leads = alone.select(F.col("id").alias("lead"), "n", "sketch").join(radius, "lead", "left")
+    return leads.withColumn("radius", F.coalesce("radius", F.lit(0).cast("long")))
+
+
+def _apart(pairs: DataFrame, balls: DataFrame, percent: int) -> DataFrame:
+    """Group pairs without those whose members are all too far apart: Hamming distances of
+    sketches obey the triangle inequality.
+    """
+    kind = pairs.schema
 
-def _open_pairs(shared: DataFrame, members: DataFrame, named: DataFrame, round_: int, percent: int, last: bool) -> DataFrame:
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            room, xs, ys = (batch.column(c).to_pylist() for c in ("_room", "_sa", "_sb"))
+            keep = [i for i, (m, x, y) in enumerate(zip(room, xs, ys, strict=True)) if least_difference(x, y) <= m]
+            yield batch.select(kind.names).take(pa.array(keep, pa.int64()))
+
+    side = lambda c: balls.select(*[F.col(x).alias(y + c) for x, y in (("lead", ""), ("n", "_n"), ("sketch", "_s"), ("radius", "_r"))])
+    most = F.floor((F.col("_na") + F.col("_nb")) * (100 - percent) / (100 + percent) + 1e-9)
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.select(*kind.names, (most + F.col("_ra") + F.col("_rb")).alias("_room"), "_sa", "_sb").mapInArrow(test, kind)
+
+
+def _open_pairs(
+    shared: DataFrame, members: DataFrame, named: DataFrame, balls: DataFrame, round_: int, percent: int, last: bool
+) -> DataFrame:
     """Pairs of members in different components. Before the last round, of each token and
-    component only one leader, drawn anew, meets the groups of other components.
+    component only one leader, drawn anew, meets the groups of other components. Group pairs are
+    refused by their sketches before they are expanded, and expanding leaves out members that
+    share the one component of the other side.
     """
     whole = (
         members.join(named, "id")
@@ -352,20 +402,19 @@ def _open_pairs(shared: DataFrame, members: DataFrame, named: DataFrame, round_:
         other = open_.groupBy("token", "lo").agg(F.min(draw).alias("_h")).select("token", "lo", "_h.id", "_h.n", "_h.at", "_h.hi")
     other = other.select("token", *[F.col(c).alias(c + "2") for c in ("id", "n", "at", "lo", "hi")])
     met = one.join(other, "token").filter((F.col("lo") != F.col("lo2")) | (F.col("hi") != F.col("hi2")) | (F.col("lo") != F.col("hi")))
-    pairs = _admitted(met, percent).distinct()
-    expand = lambda df, c: (
-        df.join(members.select(F.col("lead").alias(c), F.col("id").alias("_m")), c, "left")
-        .withColumn(c, F.coalesce("_m", c))
-        .drop("_m")
-    )
-    pairs = expand(expand(pairs, "a"), "b")
+    pairs = cut(_apart(_admitted(met, percent, "lo", "hi").distinct(), balls, percent))
+    of = members.select("id", "lead")
+    full = named.join(of, "id", "left").select(F.coalesce("lead", "id").alias("lead"), F.col("id").alias("_m"), "label")
+    first = pairs.join(full, (F.col("a") == F.col("lead")) & ~((F.col("lo2") == F.col("hi2")) & (F.col("label") == F.col("lo2"))))
+    first = first.select(F.col("_m").alias("_x"), F.col("label").alias("_lx"), "b")
+    found = first.join(full, (F.col("b") == F.col("lead")) & (F.col("label") != F.col("_lx"))).select(F.col("_x").alias("a"), F.col("_m").alias("b"))
     if last:  # members of one group among each other
-        one = members.join(whole.filter("lo < hi").withColumnRenamed("id", "lead"), "lead").select("lead", "id")
-        inside = one.select("lead", F.col("id").alias("a")).join(one.select("lead", F.col("id").alias("b")), "lead")
-        pairs = pairs.unionByName(inside.filter("a < b").select("a", "b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    label = lambda c: named.select(F.col("id").alias(c), F.col("label").alias("_" + c))
-    return pairs.join(label("a"), "a").join(label("b"), "b").filter("_a != _b").select("a", "b")
+        inside = members.join(whole.filter("lo < hi").withColumnRenamed("id", "lead"), "lead").select("lead", "id").join(named, "id")
+        one = inside.select("lead", F.col("id").alias("a"), F.col("label").alias("_la"))
+        two = inside.select(F.col("lead").alias("_lead"), F.col("id").alias("b"), F.col("label").alias("_lb"))
+        same = (F.col("lead") == F.col("_lead")) & (F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb"))
+        found = found.unionByName(one.join(two, same).select("a", "b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def one_of_each(

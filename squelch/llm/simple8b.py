@@ -200,6 +200,13 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 _CACHES: dict[str, TokenCache] = {}
 
 
+def _cache(path: str) -> TokenCache:
+    """The cache of this worker. A function of the module, so tasks that run in one worker share it."""
+    if path not in _CACHES:
+        _CACHES[path] = TokenCache(path)
+    return _CACHES[path]
+
+
 def write_ids(
     documents: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID
 ) -> None:
@@ -208,8 +215,7 @@ def write_ids(
     """
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _CACHES.setdefault(tokenizer, None) or TokenCache(tokenizer)
-        _CACHES[tokenizer] = cache
+        cache = _cache(tokenizer)
         shard, chunk = TaskContext.get().partitionId(), 0
         doc_ids, lists, size = [], [], 0
         end = np.array([end_id], np.uint32)

@@ -264,8 +264,7 @@ def test_empty_tables(spark, run):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from([*"aB9.'\t\n\r\x0b\x0c \x1c\x85", " ", "　", "é", "日", "́", "\x00", "<|endoftext|>"[0]]), max_size=20), max_size=4))
 def test_split_pieces_have_the_ids_of_the_whole(texts):
-    cache = simple8b._CACHES.setdefault(queries.TOKENIZER, None) or simple8b.TokenCache(queries.TOKENIZER)
-    simple8b._CACHES[queries.TOKENIZER] = cache
+    cache = simple8b._cache(queries.TOKENIZER)
     ids, edges = cache.ids(pa.array(["x", *texts], pa.string()).slice(1))
     got = [ids[a:b].tolist() for a, b in pairwise(edges)]
     assert got == [cache.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
