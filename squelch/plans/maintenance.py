@@ -611,3 +611,18 @@ def counter_stream(spark, path):
     stream = jobs.read_table_stream(spark, folder, "*.parquet", spark.read.parquet(folder).schema, 4)
     sums = jobs.run_available(counters.changed_counts(stream), "update", "counters", ["parent"])
     return sums.select("parent", F.col("delta").alias("n")).filter(F.col("n") != 0)
+
+
+@query(
+    "summary_document",
+    """SELECT COUNT(*) AS segments, SUM(n_chars)::BIGINT AS characters, COUNT(DISTINCT source) AS recordings
+FROM documents""",
+)
+def summary_document(spark, path):
+    """A one-row summary written as a single document and read back."""
+    summary = b.table(spark, path, "documents").agg(
+        F.count("*").alias("segments"), F.sum("n_chars").alias("characters"), F.countDistinct("source").alias("recordings")
+    )
+    folder = jobs.shared_folder(spark, "summary")
+    sinks.write_document(summary, folder)
+    return spark.read.schema("segments bigint, characters bigint, recordings bigint").json(folder)

@@ -243,3 +243,14 @@ def speaker_count(spark, path):
     return (
         b.words(spark, path).groupBy("clip").agg(F.countDistinct("speaker").alias("speakers"))
     )
+
+
+@query(
+    "sentence_speakers",
+    f"WITH {b.WORDS} SELECT clip, sentence, COUNT(DISTINCT speaker) AS speakers FROM words GROUP BY clip, sentence",
+)
+def sentence_speakers(spark, path):
+    """Distinct speakers in the word array of each sentence."""
+    word = F.struct("speaker", "word")
+    words = b.words(spark, path).groupBy("clip", "sentence").agg(F.collect_list(word).alias("words"))
+    return words.select("clip", "sentence", turns.speaker_count(F.col("words")).alias("speakers"))

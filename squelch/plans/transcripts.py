@@ -369,3 +369,19 @@ def taxonomy_search(spark, path):
     )
     docs = b.table(spark, path, "documents").select(F.col("doc_id").alias("id"), "lang")
     return unnest(docs, found, "c", "id").select("id", "c.case_id", "c.category")
+
+
+@query(
+    "case_search",
+    """SELECT CAST(item_id AS VARCHAR) AS case_id, upper(substr(text, 1, 12)) AS name FROM benchmark
+WHERE contains(lower(substr(text, 1, 12)), 'th') OR contains(lower(text), 'th')
+  OR contains(lower(CAST(item_id AS VARCHAR)), 'th')""",
+)
+def case_search(spark, path):
+    """Benchmark items as a taxonomy, searched in name, description and id without regard to case."""
+    cases = b.table(spark, path, "benchmark").select(
+        F.col("item_id").cast("string").alias("case_id"),
+        F.upper(F.substring("text", 1, 12)).alias("name"),
+        F.col("text").alias("description"),
+    )
+    return lexicon.search_cases(cases, "TH").select("case_id", "name")
