@@ -3,9 +3,9 @@
 Lines become 128-bit key hashes with document and position. Hashes are range-partitioned with a
 secondary sort by document and position, so equal keys stream past in order and the first
 occurrence of a key in each document is seen without a hash table. A key that sits in very many
-documents is cut into slices by document, and the slices' counts are added up. What comes back
-per document is a run-length compressed bitmap; texts are filtered by it at the very end.
-Only built-in DataFrame functions are used.
+documents is cut into slices by document; the slices' counts are added up, and its lines meet the
+verdict slice by slice. What comes back per document is a run-length compressed bitmap; texts are
+filtered by it at the very end. Only built-in DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from squelch.functions.expr import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
-#: Parts of a key that sits in very many documents; each part is a range of its own.
-SLICES = 16
+#: Parts of a key that sits in very many documents; each part is a range and a join key of its own.
+SLICES = 1024
 
 
 def line_key(line: Column) -> Column:
@@ -40,9 +40,10 @@ def keep_bitmaps(
     min_length: int = 40,
     min_documents: int = 5,
 ) -> DataFrame:
-    """Documents that lose lines: doc_id, _row (hash of id and text), dropped (line numbers from
-    0, ascending) and keep_runs: lengths of alternating kept and dropped runs, kept first, the
-    last kept run open. Documents that keep all lines have no row.
+    """Documents that lose lines: doc_id, _row (hash of id and text) and keep_runs, the bitmap of
+    kept lines by its changes: ascending line numbers from 0 at which a dropped run begins and ends
+    in turn; lines before the first and from the last on are kept. Documents that keep all lines
+    have no row.
 
     A null id counts as one document below all others; rows that repeat an id are one document.
     """
@@ -64,59 +65,69 @@ def keep_bitmaps(
         "_h1", "_h2", "_slice"
     )
     stream = Window.partitionBy("_h1", "_h2", "_slice").orderBy("doc_id", "position")
-    frequent = (
+    sliced = (
         ranged.withColumn("_nth", F.row_number().over(stream))
         .withColumn("_before", F.lag("doc_id").over(stream))
         .filter((F.col("_nth") == 1) | ~F.col("doc_id").eqNullSafe(F.col("_before")))
-        .groupBy("_h1", "_h2")
+        .groupBy("_h1", "_h2", "_slice")
         # the row comes along so that both uses of the ranges read the same columns, one exchange
         .agg(F.count("*").alias("_documents"), F.max(F.struct("doc_id", "_row")).alias("_last"))
-        .select("_h1", "_h2", "_documents", F.col("_last")["doc_id"].alias("_keeper"))
+    )
+    frequent = (
+        sliced.groupBy("_h1", "_h2")
+        .agg(
+            F.sum("_documents").alias("_documents"),
+            F.max("_last").alias("_last"),
+            F.collect_set("_slice").alias("_slices"),  # SLICES at most
+        )
+        .select("_h1", "_h2", "_documents", "_slices", F.col("_last")["doc_id"].alias("_keeper"))
         .filter((F.col("_documents") >= min_documents) & F.col("_keeper").isNotNull())
-        .drop("_documents")
+        .select("_h1", "_h2", F.explode("_slices").alias("_slice"), "_keeper")
     )
     streamed = (
-        ranged.join(frequent, ["_h1", "_h2"])
+        ranged.join(frequent, ["_h1", "_h2", "_slice"])
         .filter(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("_keeper")))
         .select("doc_id", "_row", "position")
     )
     dropped = streamed.groupBy("doc_id", "_row").agg(
-        F.array_sort(F.collect_set("position")).alias("dropped")
+        F.array_sort(F.collect_set("position")).alias("_dropped")
     )
-    return dropped.withColumn("keep_runs", runs(F.col("dropped")))
+    return dropped.select("doc_id", "_row", runs(F.col("_dropped")).alias("keep_runs"))
 
 
 def runs(dropped: Column) -> Column:
-    """Alternating lengths of kept and dropped runs from ascending dropped positions."""
+    """Where dropped runs begin and end, from ascending dropped positions."""
 
     def of(at: Column) -> Column:
         first = F.filter(at, lambda d, i: (i == 0) | (F.get(at, i - 1) != d - 1))
         last = F.filter(at, lambda d, i: (i == F.size(at) - 1) | (F.get(at, i + 1) != d + 1))
-        begin = F.concat(F.array(F.lit(0)), F.transform(last, lambda d: d + 1))
-        return F.flatten(
-            F.zip_with(
-                F.arrays_zip(begin.alias("a"), first.alias("b")),
-                last,
-                lambda gap, end: F.when(
-                    end.isNotNull(), F.array(gap["b"] - gap["a"], end + 1 - gap["b"])
-                ).otherwise(F.array().cast("array<int>")),
-            )
-        )
+        return F.flatten(F.zip_with(first, last, lambda a, b: F.array(a, b + 1)))
 
     return let(dropped, of)
 
 
-def kept_lines(lines: Column, dropped: Column) -> Column:
-    """The lines between the dropped positions (ascending, from 0), in order."""
+def kept_lines(lines: Column, keep_runs: Column) -> Column:
+    """The lines that the bitmap keeps, in order."""
 
     def of(pair: Column) -> Column:
-        begin = F.concat(F.array(F.lit(0)), F.transform(pair["gone"], lambda d: d + 1))
-        end = F.concat(pair["gone"], F.array(F.size(pair["lines"])))
-        return F.flatten(
-            F.zip_with(begin, end, lambda a, b: F.slice(pair["lines"], a + 1, b - a))
-        )
+        borders = F.concat(F.array(F.lit(0)), pair["runs"], F.array(F.size(pair["lines"])))
+
+        def cut(at: Column) -> Column:
+            def kept(k: Column) -> Column:
+                begin = F.get(at, 2 * k)
+                return F.slice(pair["lines"], begin + 1, F.get(at, 2 * k + 1) - begin)
+
+            return F.flatten(F.transform(F.sequence(F.lit(0), (F.size(at) / 2).cast("int") - 1), kept))
+
+        return let(borders, cut)
+
+    return let(F.struct(lines.alias("lines"), keep_runs.alias("runs")), of)
+
 
-    return let(F.struct(lines.alias("lines"), dropped.alias("gone")), of)
+def n_dropped(keep_runs: Column) -> Column:
+    """How many lines the bitmap drops: the ends of its dropped runs less their beginnings."""
+    signed = F.transform(keep_runs, lambda at, i: F.when(i % 2 == 0, -at).otherwise(at))
+    return F.aggregate(signed, F.lit(0).cast("long"), lambda total, x: total + x)
 
 
 def dedup_lines(
@@ -140,13 +151,13 @@ def dedup_lines(
         maps, (rows["_row"] == maps["_row"]) & rows["doc_id"].eqNullSafe(maps["_doc"]), "left"
     ).drop(maps["_row"])
     lines = F.split("_text", "\n", -1)
-    kept = F.when(F.col("dropped").isNull(), F.col("_text")).otherwise(
-        F.array_join(kept_lines(lines, F.col("dropped")), "\n")
+    kept = F.when(F.col("keep_runs").isNull(), F.col("_text")).otherwise(
+        F.array_join(kept_lines(lines, F.col("keep_runs")), "\n")
     )
     return joined.select(
         "doc_id",
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(n_dropped(F.col("keep_runs")), F.lit(0)).cast("long").alias("n_dropped"),
         kept.alias("text"),
         "keep_runs",
     )
