@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join by grouped prefixes, and the classes of linked documents.
 
 Texts become sets of 64-bit shingle hashes. Equal sets are one class. Shingles are ordered by
-rarity (how often their hash bucket is hit over the whole corpus, in powers of two, then by hash);
+rarity (how far the hits of their hash bucket over the whole corpus lie above the usual ones, in
+powers of two, then by hash);
 sets that reach the threshold share a token of their prefix, the first n - ceil(t n) + 1 tokens.
 
 1. Classes with the same size and the same prefix collapse into one group.
@@ -35,7 +36,7 @@ SHINGLE = 3
 THRESHOLD = 90
 LEADERS = 3
 STAR_ROUNDS = 2
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
 PARTS = 16
 #: Bits of a parity sketch: half the size of the set, as a power of two, within these.
 LEAST_BITS, MOST_BITS = 512, 1 << 16
@@ -59,45 +60,52 @@ def _sets(raw: bytes, offsets: np.ndarray, n: int) -> list[np.ndarray]:
 
 def _counters(documents: DataFrame, n: int) -> np.ndarray:
     """How many document shingles fall into each of ``COUNTERS`` hash buckets, over all documents.
-    Every task sends its counters in ``PARTS`` parts; they are summed as they stream in.
+    Every task sends its counters in ``PARTS`` packed parts; they are summed as they stream in.
     """
     step = COUNTERS // PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for _, _, raw, offsets in slices(batch.column(0)):
-                found = _sets(raw, offsets, n)
-                all_ = np.concatenate(found) & np.uint64(COUNTERS - 1)
-                total += np.bincount(all_.astype(np.int64), minlength=COUNTERS)
+                for found in _sets(raw, offsets, n):
+                    np.add.at(total, (found & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
         if total.any():
             yield pack(total.reshape(PARTS, step), np.arange(PARTS))
 
     def pack(rows: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(parts, pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "counts"]
-        )
+        press = zstandard.ZstdCompressor(1)
+        packed = [press.compress(r.tobytes()) for r in rows]
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[part] = total.get(part, 0) + np.frombuffer(counts, np.int64)
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                added = np.frombuffer(unpack.decompress(counts.as_py()), np.uint32)
+                total[part] = total.get(part, np.zeros(step, np.int64)) + added
         if total:
-            yield pack(np.array(list(total.values())), np.array(list(total)))
+            summed = np.minimum(np.array(list(total.values())), 0xFFFFFFFF).astype(np.uint32)
+            yield pack(summed, np.array(list(total)))
 
     kind = "part int, counts binary"
     summed = documents.select("_text").mapInArrow(count, kind).repartition(PARTS, "part").mapInArrow(add, kind)
-    out = np.zeros((PARTS, step), np.int64)
+    out = np.zeros((PARTS, step), np.uint32)
     for r in summed.collect():
-        out[r["part"]] = np.frombuffer(r["counts"], np.int64)
+        out[r["part"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["counts"])), np.uint32)
     return out.reshape(-1)
 
 
 def _ranks(counters: np.ndarray) -> np.ndarray:
-    """0 for buckets hit no more than twice as often as the mean, then one more per doubling."""
-    usual = max(4.0, 2.0 * counters.mean())
-    return np.clip(np.floor(np.log2(np.maximum(1.0, counters / usual))), 0, 63).astype(np.uint64)
+    """0 for buckets close to the usual count, then one more per doubling of what lies above it.
+
+    Rare shingles fill all buckets alike, so what a common one adds stands out by as little as the
+    usual counts vary; it need not reach their level, which grows with the corpus.
+    """
+    low, usual, high = np.percentile(counters, [25, 50, 75])
+    above = (counters.astype(np.float32) - np.float32(usual)) / np.float32(max(4.0, 2.0 * (high - low)))
+    return np.clip(np.floor(np.log2(np.maximum(1.0, above, dtype=np.float32))), 0, 63).astype(np.uint8)
 
 
 def least_common(n: Column, percent: int) -> Column:
@@ -109,7 +117,7 @@ def document_sets(documents: DataFrame, n: int = SHINGLE, percent: int = THRESHO
     """documents (doc_id, _text) -> doc_id, n (set size), sig (128-bit hash of the set), prefix
     (tokens in order), prefix_sig, sketch.
     """
-    ranks = _ranks(_counters(documents, n)).astype(np.uint8)
+    ranks = _ranks(_counters(documents, n))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
