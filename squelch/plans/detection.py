@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from squelch.functions import scoring, text
 from squelch.functions.expr import let, unnest
-from squelch.operators import detection, queues, ranking, rules, sizing, stats, turns
+from squelch.operators import detection, queues, ranking, rule_index, rules, sizing, stats, turns
 from squelch.plans import bindings as b
 from squelch.plans import transcripts as tr
 from squelch.plans.registry import query
@@ -539,3 +539,72 @@ def review_prompts(spark, path):
         F.floor(F.col("confidence") * 1000) / 1000, F.col("text"), words,
     )
     return joined.select("id", prompt.alias("prompt"))
+
+
+def _made_rules(spark, path):
+    """A rule per word of the benchmark and a rate border per part."""
+    words = b.table(spark, path, "benchmark").select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("w")
+    )
+    w, k = F.col("w"), F.col("p_partkey")
+    border = F.when(k % 2 == 0, F.concat(F.lit(">"), 10000 + k % 500 * 37)).otherwise(F.concat(F.lit("<"), k % 50))
+
+    def rule(key, keywords, rate, many, loud, priority):
+        never = F.lit(None).cast("double")
+        conditions = F.struct(
+            keywords.alias("keywords"),
+            rate.alias("speech_rate"),
+            many.alias("multiple_speakers"),
+            loud.alias("high_volume_variance"),
+            *[never.alias(c) for c in ("min_confidence", "max_duration", "min_duration")],
+        )
+        return [
+            key.alias("id"), key.alias("name"), conditions.alias("conditions"), priority.alias("priority"),
+            F.lit(True).alias("enabled"),
+        ]
+
+    unset = F.lit(None)
+    of_words = words.distinct().select(
+        *rule(
+            F.concat(F.lit("W"), w), F.array(w, F.concat(w, F.lit(" the"))), unset.cast("string"),
+            F.length(w) >= 12, w.startswith("z"), F.when(F.length(w) % 2 == 0, "high"),
+        )
+    )
+    of_parts = b.table(spark, path, "part").select(
+        *rule(
+            F.concat(F.lit("P"), k), unset.cast("array<string>"), border, F.lit(False), F.lit(False), F.lit("low"),
+        )
+    )
+    return of_words.unionByName(of_parts)
+
+
+@query(
+    "rule_table_matches",
+    """WITH docs AS (SELECT doc_id AS id, lower(text) AS t, length(text)::DOUBLE AS rate,
+    doc_id % 40 = 0 AS s, doc_id % 25 > 12 AS v FROM documents),
+words AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark)),
+tested AS (SELECT d.id, w, contains(d.t, w)::INTEGER + contains(d.t, w || ' the')::INTEGER AS k,
+    length(w) >= 12 AS many, starts_with(w, 'z') AS loud, s, v FROM docs d, words)
+SELECT id, 'W' || w AS rule_id, CASE WHEN length(w) % 2 = 0 THEN 'high' ELSE 'medium' END AS priority,
+  ROUND((COALESCE(k, 0) / 2::DOUBLE + CASE WHEN many AND s THEN 0.9::DOUBLE ELSE 0 END
+    + CASE WHEN loud AND v THEN 0.7::DOUBLE ELSE 0 END) / (1 + many::INTEGER + loud::INTEGER), 6) AS confidence,
+  concat_ws(',', CASE WHEN k > 0 THEN 'keywords' END, CASE WHEN many AND s THEN 'multiple_speakers' END,
+    CASE WHEN loud AND v THEN 'high_volume_variance' END) AS matched
+FROM tested WHERE k > 0 OR (many AND s) OR (loud AND v)
+UNION ALL SELECT d.id, 'P' || p_partkey, 'low', 0.8::DOUBLE, 'speech_rate' FROM docs d JOIN part
+  ON CASE WHEN p_partkey % 2 = 0 THEN d.rate > 10000 + p_partkey % 500 * 37 ELSE d.rate < p_partkey % 50 END""",
+)
+def rule_table_matches(spark, path):
+    """Thousands of rules as a table, by the index over their conditions."""
+    k = F.col("doc_id")
+    docs = sizing.spread(b.table(spark, path, "documents")).select(
+        k.alias("id"),
+        "text",
+        F.length("text").alias("rate"),
+        F.when(k % 40 == 0, 2).otherwise(1).alias("speakers"),
+        (k % 25).alias("variance"),
+    )
+    found = rule_index.match_rules(_made_rules(spark, path), docs, "id")
+    return found.select(
+        "id", "rule_id", "priority", F.round("confidence", 6).alias("confidence"), F.array_join("matched", ",").alias("matched")
+    )

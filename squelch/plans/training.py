@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from squelch.operators import dataset, evaluate
+from squelch.operators import alignment, dataset, evaluate, shares
 from squelch.plans import bindings as b
 from squelch.plans import timelines as tl
 from squelch.plans.registry import query
@@ -153,6 +153,21 @@ def train_split(spark, path):
     return df.withColumn("minutes", F.round("minutes", 4))
 
 
+@query(
+    "exact_split",
+    _CLEAN + """, clips AS (SELECT DISTINCT segment_id FROM clean),
+ordered AS (SELECT segment_id, COUNT(*) OVER () AS n, ROW_NUMBER() OVER (
+    ORDER BY (segment_id + 42) % 2147483648 * 2654435761 % 4294967296, segment_id) AS place FROM clips)
+SELECT c.label_id, c.segment_id,
+  CASE WHEN o.place <= (o.n * 30 + 100) // 200 THEN 'validation' ELSE 'train' END AS split
+FROM clean c JOIN ordered o ON o.segment_id = c.segment_id""",
+)
+def exact_split(spark, path):
+    """The same with exactly 15 % of the clips for validation."""
+    clean = _clean(spark, path).select("label_id", "segment_id")
+    return shares.with_exact_split(clean, "segment_id", 15, hashed=shares.multiplicative(F.col("segment_id")))
+
+
 @query(
     "training_steps",
     _MANIFEST + """, n AS (SELECT COUNT(*) AS n FROM manifest)
@@ -306,6 +321,25 @@ def word_errors(spark, path):
     return scored.select("conv_id", "turn", "word_errors", "reference_words")
 
 
+@query(
+    "word_error_kinds",
+    WER + """SELECT s.conv_id, s.turn, s.word_errors, s.reference_words,
+  CAST(len(t.h) AS BIGINT) AS hypothesis_words
+FROM scored s JOIN tokens t ON t.conv_id = s.conv_id AND t.turn = s.turn""",
+)
+def word_error_kinds(spark, path):
+    """Substitutions, deletions and insertions, checked by their sum and by both lengths."""
+    scored = alignment.word_error_kinds(b.pairs(spark, path))
+    kept = F.col("reference_words") - F.col("deletions")
+    return scored.select(
+        "conv_id",
+        "turn",
+        (F.col("substitutions") + F.col("deletions") + F.col("insertions")).alias("word_errors"),
+        "reference_words",
+        (kept + F.col("insertions")).alias("hypothesis_words"),
+    )
+
+
 @query(
     "wer",
     WER + """SELECT conv_id, COUNT(*) AS pairs, CAST(SUM(word_errors) AS BIGINT) AS word_errors,
