@@ -219,6 +219,10 @@ def match_ngrams(
     return exploded.join(lexicon, ["_gram", "_salt"]).select(id_column, "case_id", "keyword")
 
 
+#: Characters of a text whose grams are taken together.
+_PIECE = 512
+
+
 def match_substrings(
     texts: DataFrame,
     id_column: str,
@@ -240,12 +244,19 @@ def match_substrings(
     )
     lengths = lexicon.agg(F.collect_set(F.least(F.length("_word"), F.lit(gram)))).first()[0]
 
-    def grams_of(t: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: t.substr(i, F.lit(n)))
+    def grams_of(piece: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.least(F.length(piece) - (n - 1), F.lit(_PIECE)))
+        at_least = F.greatest(F.length(piece), F.lit(n))  # a shorter piece is one gram, not found
+        return F.when(at_least == F.length(piece), F.transform(starts, lambda i: piece.substr(i, F.lit(n)))).otherwise(none)
+
+    def grams_in(piece: Column) -> Column:
+        return let(piece, lambda p: F.concat(none, *[grams_of(p, n) for n in sorted(lengths)]))
 
     none = F.array().cast("array<string>")
-    grams = let(lower, lambda t: F.concat(none, *[grams_of(t, n) for n in sorted(lengths)]))
+    # substr walks from the start of its string, so a long text is cut into overlapping pieces first
+    starts = F.sequence(F.lit(1), F.greatest(F.length(lower), F.lit(1)), F.lit(_PIECE))
+    pieces = let(lower, lambda t: F.transform(starts, lambda i: t.substr(i, F.lit(_PIECE + gram - 1))))
+    grams = F.flatten(F.transform(pieces, grams_in))
     salt = F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int")
     exploded = unnest(texts, F.array_distinct(grams), "_gram", id_column, salt.alias("_salt"))
     keyed = lexicon.select(
