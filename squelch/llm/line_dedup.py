@@ -17,7 +17,7 @@ from squelch.functions.expr import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
-#: Parts of a key that sits in very many documents; each part is a range and a join key of its own.
+#: Parts (a power of two) of a key that sits in very many documents; each is a range and a join key of its own.
 SLICES = 1024
 
 
@@ -61,7 +61,7 @@ def keep_bitmaps(
             F.xxhash64(F.lit(1), F.reverse("_key")).alias("_h2"),
         )
     )
-    ranged = lines.withColumn("_slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES))).repartitionByRange(
+    ranged = lines.withColumn("_slice", F.xxhash64("doc_id").bitwiseAND(F.lit(SLICES - 1))).repartitionByRange(
         "_h1", "_h2", "_slice"
     )
     stream = Window.partitionBy("_h1", "_h2", "_slice").orderBy("doc_id", "position")
