@@ -82,10 +82,11 @@ def keep_bitmaps(
         )
         .select("_h1", "_h2", "_documents", "_slices", F.col("_last")["doc_id"].alias("_keeper"))
         .filter((F.col("_documents") >= min_documents) & F.col("_keeper").isNotNull())
-        .select("_h1", "_h2", F.explode("_slices").alias("_slice"), "_keeper")
+        .select("_h1", "_h2", F.explode("_slices").alias("_part"), "_keeper")
     )
     streamed = (
-        ranged.join(frequent, ["_h1", "_h2", "_slice"])
+        ranged.withColumnRenamed("_slice", "_part")  # a projection on top keeps the shared exchange
+        .join(frequent, ["_h1", "_h2", "_part"])
         .filter(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("_keeper")))
         .select("doc_id", "_row", "position")
     )
