@@ -11,15 +11,20 @@ from the anchor to the end of the last of them, followed by the bytes before the
 2. A task merges the runs of its range with a loser tree that carries common-prefix lengths: a match
    compares lengths first and bytes only behind a known common prefix. Of equal records all but the
    smallest id are removed.
-3. Different records with one gram may share some of their strings only. These are compared one by
-   one as the gram passes; those of a gram at the border of a range, which may go on beyond it, and
-   of grams with more than ``GROUP_RECORDS`` records are compared by a join.
-
-A hot record costs one entry per run, a hot gram is spread over ranges.
+3. Different records with one gram may share some of their strings only. Ranges are cut at grams, so
+   all records of a gram pass through one merge. A shared string needs a common prefix and common
+   bytes before the anchor of ``LENGTH`` together; grams whose largest ones fall short are done with
+   that, others are compared offset by offset.
+4. A gram that alone fills ranges is cut into several, between whole records; its strings, and those
+   of a gram with more than ``GROUP_RECORDS`` different records (the memory of a task), are compared
+   by a join.
+
+A hot record costs one entry per run, a hot gram is spread over ranges. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +41,10 @@ GRAM = 20
 RUN_BYTES = 8_000_000
 SPLITTER_DOCUMENTS = 2000
 RANGE_BYTES = 8_000_000
-GROUP_RECORDS = 10_000
+#: Different records of one gram that a task holds (some 100 MB).
+GROUP_RECORDS = 1 << 18
+#: From so many records on a gram is compared in arrays.
+ARRAY_RECORDS = 64
 BEFORE = LENGTH - GRAM
 #: Suffix, bytes before the anchor, and both lengths.
 WIDTH = LENGTH + BEFORE + 2
@@ -228,7 +236,7 @@ def merged(runs: list[Iterator]) -> Iterator[tuple[int, bytes, list]]:
             node >>= 1
 
 
-def _splitters(docs: DataFrame, ranges: int) -> np.ndarray:
+def _splitters(docs: DataFrame, ranges: int) -> list[bytes]:
     """Borders of the ranges, from the records of at most ``SPLITTER_DOCUMENTS`` documents. They set
     the sizes of tasks only, no result.
     """
@@ -243,11 +251,18 @@ def _splitters(docs: DataFrame, ranges: int) -> np.ndarray:
 
     rows = docs.orderBy(F.xxhash64("_id", "_row")).limit(SPLITTER_DOCUMENTS).select("_text").mapInArrow(some, "r binary")
     found = sorted(r["r"] for r in rows.collect())
-    picked = sorted({found[len(found) * i // ranges] for i in range(1, ranges)} if found else set())
-    return np.array(picked, f"S{WIDTH}")
+    return _borders({found[len(found) * i // ranges] for i in range(1, ranges)} if found else set())
+
+
+def _borders(picked: set[bytes]) -> list[bytes]:
+    """The grams of the picked records; of a gram picked more than once its records as well."""
+    often = Counter(record[:GRAM] for record in picked)
+    return sorted({*often, *(record for record in picked if often[record[:GRAM]] > 1)})
 
 
-def _runs(splitters: np.ndarray):
+def _runs(borders: list[bytes]):
+    splitters = np.array(borders, f"S{WIDTH}")
+
     def emit(ids: list, rows: list, texts: list) -> Iterator[pa.RecordBatch]:
         ids, rows = np.array(ids, np.int64), np.array(rows, np.int32)
         run = _sorted_run(ids, texts)
@@ -331,86 +346,137 @@ class _Out:
         return out
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blobs: dict[int, list[bytes]] = {}
-    for batch in batches:
-        passing = batch.filter(batch.column(4).is_valid())
-        if passing.num_rows:
-            n = passing.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [*passing.columns[2:], pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], ["id", "row", "spans", "string", "at"]
-            )
-        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if blob is not None:
-                blobs.setdefault(part, []).append(blob)
-    for part in sorted(blobs):
-        yield from _merge_range([_decoded(b) for b in blobs.pop(part)])
+def _merge(borders: list[bytes]):
+    """A task's ranges one after the other; ``borders`` tell whether grams go on beyond them."""
+    inside = [len(b) > GRAM for b in borders]  # a border between records of one gram
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {}
+        for batch in batches:
+            passing = batch.filter(batch.column(4).is_valid())
+            if passing.num_rows:
+                n = passing.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [*passing.columns[2:], pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], ["id", "row", "spans", "string", "at"]
+                )
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if blob is not None:
+                    blobs.setdefault(part, []).append(blob)
+        for part in sorted(blobs):
+            opens = part > 0 and inside[part - 1]
+            closes = part < len(inside) and inside[part]
+            yield from _merge_range([_decoded(b) for b in blobs.pop(part)], opens, closes)
 
+    return run
 
-def _merge_range(runs: list[Iterator]) -> Iterator[pa.RecordBatch]:
-    out = _Out()
 
-    def texts(record: bytes) -> list[bytes]:
-        behind, before = record[-2], record[-1]
-        text = record[LENGTH : LENGTH + before][::-1] + record[:behind]
-        return [text[d : d + LENGTH] for d in range(len(text) - LENGTH + 1)]
-
-    def send(record: bytes, places: list) -> None:
-        for d, string in enumerate(texts(record)):
-            out.strings += [(i, r, string, a + d) for i, r, a in places]
-
-    def compare() -> None:
-        first: dict[bytes, int] = {}
-        for record, places in group:
-            i = places[0][0]
-            for string in texts(record):
-                if first.setdefault(string, i) > i:
-                    first[string] = i
-        for record, places in group:
-            i = places[0][0]
-            for d, string in enumerate(texts(record)):
-                if first[string] < i:
-                    out.spans += [(i, r, a + d, a + d + LENGTH) for _, r, a in places]
-
-    record, places, least = None, [], 0
-    group: list = []  # records of the gram, with the places of their smallest id
-    outside = True  # the gram may go on in the range before, or has too many records: compared by join
+def _text(record: bytes) -> bytes:
+    """The bytes of all strings of a record."""
+    behind, before = record[-2], record[-1]
+    return record[LENGTH : LENGTH + before][::-1] + record[:behind]
+
+
+def _same_bytes(a: bytes, b: bytes) -> int:
+    return len(a) - ((int.from_bytes(a) ^ int.from_bytes(b)).bit_length() + 7) // 8
+
+
+def _shared_strings(group: list[tuple[bytes, list, int]]) -> Iterator[tuple[int, int, int]]:
+    """(index, first, last offset) of the strings of records of one gram, in order, that a smaller
+    id has too. All strings of a record overlap, so what lies between the two is covered as well.
+
+    A string with k bytes before the anchor is shared only where a prefix of ``LENGTH`` - k bytes
+    and k bytes before are: neighbours in either order bound both for all pairs.
+    """
+    prefix = min(max(common for _, _, common in group[1:]), LENGTH)
+    fronts = sorted(record[LENGTH : LENGTH + BEFORE] for record, _, _ in group)
+    before = max(map(_same_bytes, fronts[:-1], fronts[1:]))
+    if prefix + before < LENGTH:
+        return
+    least_k, most_k = LENGTH - prefix, before
+    if len(group) >= ARRAY_RECORDS:
+        yield from _shared_in_arrays(group, least_k, most_k)
+        return
+    first: dict[tuple[int, bytes], int] = {}
+    strings = []
+    for record, places, _ in group:
+        i, text, size = places[0][0], _text(record), record[-1]
+        mine = []
+        for d in range(max(size - most_k, 0), min(size - least_k, len(text) - LENGTH) + 1):
+            key = (size - d, text[d : d + LENGTH])
+            mine.append((d, key))
+            if first.setdefault(key, i) > i:
+                first[key] = i
+        strings.append(mine)
+    for at, ((_, places, _), mine) in enumerate(zip(group, strings, strict=True)):
+        gone = [d for d, key in mine if first[key] < places[0][0]]
+        if gone:
+            yield at, gone[0], gone[-1]
+
+
+def _shared_in_arrays(group: list[tuple[bytes, list, int]], least_k: int, most_k: int) -> Iterator[tuple[int, int, int]]:
+    records = np.frombuffer(b"".join(record for record, _, _ in group), np.uint8).reshape(-1, WIDTH)
+    ids = np.array([places[0][0] for _, places, _ in group], np.int64)
+    behind, size = records[:, -2].astype(np.int64), records[:, -1].astype(np.int64)
+    low, high = np.full(len(group), LENGTH, np.int64), np.full(len(group), -1, np.int64)
+    for k in range(least_k, most_k + 1):
+        rows = np.flatnonzero((size >= k) & (behind >= LENGTH - k))
+        keys = np.concatenate([records[rows, : LENGTH - k], records[rows, LENGTH : LENGTH + k]], 1)
+        found, inverse = np.unique(np.ascontiguousarray(keys).view(f"S{LENGTH}").reshape(-1), return_inverse=True)
+        least = np.full(len(found), LAST_ID)
+        np.minimum.at(least, inverse, ids[rows])
+        gone = rows[least[inverse] < ids[rows]]
+        low[gone] = np.minimum(low[gone], size[gone] - k)
+        high[gone] = np.maximum(high[gone], size[gone] - k)
+    at = np.flatnonzero(high >= 0)
+    yield from zip(at.tolist(), low[at].tolist(), high[at].tolist(), strict=True)
+
+
+def _merge_range(runs: list[Iterator], opens: bool = False, closes: bool = False) -> Iterator[pa.RecordBatch]:
+    """``opens``, ``closes``: the first and the last gram may have records in the neighbouring range."""
+    out = _Out()
+    record, places, least, near = None, [], 0, 0
+    group: list = []  # records of the gram, with the places of their smallest id and the prefix shared with the one before
+    outside = opens  # the gram is compared by join
 
     def done(new_gram: bool) -> None:
         """A record is complete: ``places`` are those of its smallest id."""
         nonlocal group, outside
-        group.append((record, places))
+        group.append((record, places, near))
         if outside or len(group) > GROUP_RECORDS:
             outside = True
-            for g in group:
-                send(*g)
+            for text, at, _ in group:
+                text = _text(text)
+                for d in range(len(text) - LENGTH + 1):
+                    out.strings += [(i, r, text[d : d + LENGTH], a + d) for i, r, a in at]
             group = []
         if new_gram:
             if len(group) > 1:
-                compare()
+                for j, low, high in _shared_strings(group):
+                    out.spans += [(i, r, a + low, a + high + LENGTH) for i, r, a in group[j][1]]
             group, outside = [], False
 
     for common, text, found in merged(runs):
-        if record is not None and common == WIDTH:
-            new = found[0][0]
-            gone = []
-            if new < least:
-                gone, places, least = places, list(found), new
-            elif new > least:
-                gone = found
-            else:
-                places = places + found
-            size = text[-2] + text[-1]
-            out.spans += [(i, r, a, a + size) for i, r, a in gone]
-            continue
         if record is not None:
-            done(common < GRAM)
-        record, places, least = text, found, found[0][0]
+            if common == WIDTH:
+                new = found[0][0]
+                gone = []
+                if new < least:
+                    gone, places, least = places, list(found), new
+                elif new > least:
+                    gone = found
+                else:
+                    places = places + found
+                size = text[-2] + text[-1]
+                out.spans += [(i, r, a, a + size) for i, r, a in gone]
+                continue
+            if common >= GRAM or group or outside:  # else the gram's only record
+                done(common < GRAM)
+        record, places, least, near = text, found, found[0][0], common
         if len(out.spans) + len(out.strings) > 200_000:
             yield out.batch()
     if record is not None:
-        outside = True
-        done(False)
+        outside = outside or closes
+        done(True)
     yield out.batch()
 
 
@@ -466,10 +532,10 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     total = docs.agg(F.sum(F.length("_text"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
-    splitters = _splitters(docs, ranges)
-    sent = docs.select("_id", "_row", "_text").mapInArrow(_runs(splitters), SENT).repartition(ranges, "part")
+    borders = _splitters(docs, ranges)
+    sent = docs.select("_id", "_row", "_text").mapInArrow(_runs(borders), SENT).repartition(ranges, "part")
     folder = fresh_folder(spark, "repeats")
-    sent.mapInArrow(_merge, FOUND).write.parquet(folder)
+    sent.mapInArrow(_merge(borders), FOUND).write.parquet(folder)
     found = spark.read.schema(FOUND).parquet(folder)
     single = found.filter(F.col("string").isNotNull())
     first = single.groupBy("string").agg(F.min("id").alias("_first"), F.max("id").alias("_last")).filter("_first < _last")
