@@ -6,6 +6,7 @@ from squelch.plans import (  # noqa: F401
     rankings,
     segments,
     sounds,
+    stored,
     timelines,
     training,
     transcripts,
