@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from squelch.operators import intervals, lexicon, rules
+from squelch.operators import intervals, lexicon, pages, rules
 from squelch.plans import bindings as b
 from squelch.plans import rankings
 from squelch.plans.registry import ORACLE, query
@@ -180,3 +180,20 @@ def clock_lengths(spark, path):
     )
     malformed = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("about "), clock)).otherwise(clock)
     return b.table(spark, path, "documents").select("doc_id", readers.clip_length(malformed).alias("seconds"))
+
+
+PAGE = 5
+
+
+@query(
+    "deep_page",
+    f"""SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT {PAGE} OFFSET {1000 * PAGE}""",
+)
+def deep_page(spark, path):
+    """Page 1,000 of all lines by price, read from the ranges that hold it."""
+    lines = b.table(spark, path, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    order = [F.col("l_extendedprice").desc(), F.col("l_orderkey").asc(), F.col("l_linenumber").asc()]
+    folder = jobs.shared_folder(spark, "pages")
+    pages.store_pages(lines, order, folder, rows_per_range=1000)
+    return pages.read_page(lines, order, folder, 1000 * PAGE, PAGE)
