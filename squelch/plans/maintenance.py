@@ -364,7 +364,7 @@ def responses_by_list(spark, path):
 
 def _activity(spark, path):
     schema = b.table(spark, path, "events").schema
-    stream = jobs.read_table_stream(spark, path, "events.parquet", schema, MAX_FILES)
+    stream = jobs.read_stored_stream(spark, f"{path}/events.parquet", schema, MAX_FILES)
     return stream.select(
         F.col("event_type").alias("feed"),
         "user_id",
@@ -431,7 +431,7 @@ FROM documents""",
 def queue_drain(spark, path):
     """Pending segments drained batch by batch; failures keep their reason."""
     schema = b.table(spark, path, "documents").schema
-    stream = jobs.read_table_stream(spark, path, "documents.parquet", schema, MAX_FILES)
+    stream = jobs.read_stored_stream(spark, f"{path}/documents.parquet", schema, MAX_FILES)
     pending = stream.select(F.col("doc_id").alias("id"), "n_chars")
 
     def process(batch):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,23 @@ def read_table_stream(
     return reader.parquet(folder)
 
 
+def read_stored_stream(
+    spark: SparkSession, path: str, schema: StructType | str, max_files: int | None = None
+) -> DataFrame:
+    """One parquet table as a stream, be it a single file or a folder of part files.
+
+    A stream starts from a folder, so a single file is taken out of its folder by name; a name
+    filter on a folder of part files would match none of them.
+    """
+    path = path.rstrip("/")
+    place = "/" + path.split(":", 1)[-1].lstrip("/")
+    files = spark.read.schema(schema).parquet(path).inputFiles()
+    if len(files) == 1 and unquote(files[0]).endswith(place):
+        folder, name = path.rsplit("/", 1)
+        return read_table_stream(spark, folder, name, schema, max_files)
+    return read_table_stream(spark, path, "*", schema, max_files)
+
+
 def new_segment_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Segmentation documents that arrive in a folder, as segment rows."""
     documents = (
@@ -150,17 +168,23 @@ def run_available(
 def drain_queue(
     stream: DataFrame, process: Callable[[DataFrame], DataFrame], name: str
 ) -> DataFrame:
-    """Process queued rows batch by batch; ``process`` adds an ``error`` column, null on success."""
+    """Process queued rows batch by batch; ``process`` adds an ``error`` column, null on success.
+
+    A queue without files is drained at once: an empty table.
+    """
     spark = stream.sparkSession
     folder = shared_folder(spark, name)
     table = f"{folder}/table"
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        done = process(batch)
+    def drained(batch: DataFrame) -> DataFrame:
         status = F.when(F.col("error").isNull(), "processed").otherwise("failed")
-        done.withColumn("queue_status", status).write.mode("overwrite").parquet(
-            f"{table}/batch_id={batch_id}"
-        )
+        return process(batch).withColumn("queue_status", status)
+
+    batches = []
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batches.append(batch_id)
+        drained(batch).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     query = (
         stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
@@ -169,6 +193,8 @@ def drain_queue(
         .start()
     )
     query.awaitTermination()
+    if not batches:
+        return drained(spark.createDataFrame([], stream.schema))
     return spark.read.parquet(table).drop("batch_id")
 
 

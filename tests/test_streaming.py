@@ -85,3 +85,29 @@ def test_shared_folder_is_below_the_checkpoint_dir(spark):
     folder = jobs.shared_folder(spark, "x")
     assert folder.startswith(spark.conf.get("spark.checkpoint.dir"))
     assert folder != jobs.shared_folder(spark, "x")
+
+
+def drained(spark, stream):
+    def process(batch):
+        return batch.select("id", F.when(F.col("id") % 7 == 0, "no audio").alias("error"))
+
+    return sorted(tuple(r) for r in jobs.drain_queue(stream, process, "q").collect())
+
+
+def test_a_table_of_part_files_is_drained_like_a_single_file(spark, tmp_path):
+    want = [(i, "no audio" if i % 7 == 0 else None, "failed" if i % 7 == 0 else "processed") for i in range(40)]
+    spark.range(40).repartition(5).write.parquet(str(tmp_path / "t.parquet"))
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "other.parquet"))
+    folder = jobs.read_stored_stream(spark, str(tmp_path / "t.parquet"), "id long", 2)
+    assert drained(spark, folder) == want
+    spark.range(40).coalesce(1).write.parquet(str(tmp_path / "one"))
+    (part,) = (tmp_path / "one").glob("*.parquet")
+    part.rename(tmp_path / "one" / "t.parquet")
+    single = jobs.read_stored_stream(spark, str(tmp_path / "one" / "t.parquet"), "id long", 2)
+    assert drained(spark, single) == want
+
+
+def test_a_queue_without_files_is_an_empty_table(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    stream = jobs.read_table_stream(spark, str(tmp_path / "none"), "*", "id long")
+    assert drained(spark, stream) == []
