@@ -45,3 +45,19 @@ def test_empty_table(spark, tmp_path):
     df = spark.range(0).select("id", F.col("id").alias("score"))
     pages.store_pages(df, order(), str(tmp_path / "t"))
     assert pages.read_page(df, order(), str(tmp_path / "t"), 0, 10).collect() == []
+
+
+def test_small_ranges_share_folders_and_a_page_reads_its_rows_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pages, "FEW_FOLDERS", 4)
+    df = spark.range(5000).select("id", (F.col("id") % 7).alias("score"))
+    folder = tmp_path / "t"
+    pages.store_pages(df, order(), str(folder), rows_per_range=10)
+    assert len(list((folder / "rows").glob("range=*"))) <= 4
+    want = [tuple(r) for r in df.orderBy(*order()).collect()]
+    for offset, limit in [(0, 3), (1245, 20), (2500, 1), (4990, 30), (0, 5000)]:
+        read = pages.read_page(df, order(), str(folder), offset, limit)
+        assert [tuple(r) for r in read.collect()] == want[offset : offset + limit]
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        pages.read_page(df, order(), str(folder), 1245, 20).explain()
+    assert "GreaterThanOrEqual(_at" in plan.getvalue()
