@@ -1,6 +1,9 @@
 """Kinds of word errors against a plain dynamic programme."""
 
 import random
+import tracemalloc
+
+import pyarrow as pa
 
 from squelch.operators import alignment, evaluate
 
@@ -56,3 +59,18 @@ def test_long_texts_agree_with_the_sum(spark):
         assert r["reference_words"] - r["deletions"] + r["insertions"] == hypothesis
     assert alignment.confused_words(scored).agg({"times": "sum"}).first()[0] == sum(total.values())
     assert alignment.confused_words(scored.limit(0), "id").count() == 0
+
+
+def test_a_batch_keeps_no_words_of_its_pairs():
+    rng = random.Random(8)
+    kind = pa.list_(pa.string())
+    a, b = ([[f"w{rng.randint(0, 9999)}" for _ in range(rng.randint(0, 30))] for _ in range(2000)] for _ in "ab")
+    sides = [pa.array([["skipped"]] + x, kind)[1:] for x in (a, b)]
+    tracemalloc.start()
+    got = alignment.errors_of(*sides)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4_000_000
+    want = [alignment.word_differences(x, y) for x, y in zip(a, b)]
+    assert [[tuple(e.values()) for e in row] for row in got.to_pylist()] == want
+    assert alignment.errors_of(sides[0][:0], sides[1][:0]).to_pylist() == []
