@@ -1,12 +1,13 @@
 """Text functions, lexicons and rules on hand-made rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from squelch.functions import scoring, text
-from squelch.operators import lexicon, rules
+from squelch.operators import lexicon, rules, substrings
 
 
 def one(spark, value, *columns, schema="t string", rows=None):
@@ -174,6 +175,28 @@ def test_table_substrings_equal_inlined_keywords(spark):
     assert len(got) == len(want) and {(r["id"], r["case_id"]) for r in got} == want
 
 
+def test_scanned_keywords_equal_contains():
+    rng = random.Random(4)
+    made = lambda n: "".join(rng.choice("ab \nü") for _ in range(rng.randint(1, n)))
+    words = sorted({made(6) for _ in range(600)})
+    found = substrings.scanner(words)
+    for _ in range(300):
+        t = made(40) if rng.random() < 0.9 else made(200).replace(" ", "b")
+        assert {words[i] for i in found(t)} == {w for w in words if w in t}
+    assert found("") == set() and substrings.scanner([])("a b") == set()
+
+
+def test_table_substrings_make_rows_of_matches_only(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "MATCHES", 3)
+    texts = spark.createDataFrame([(i, f"tower{i} the towing {i}") for i in range(30)], "id long, t string")
+    keywords = spark.createDataFrame([("A", "Tower"), ("B", "tower"), ("C", "2 the"), ("D", "tow"), ("E", "toward")], "case_id string, keyword string")
+    got = lexicon.match_substrings(texts, "id", "t", keywords)
+    assert sorted(r["case_id"] for r in got.collect()) == ["A"] * 30 + ["B"] * 30 + ["C"] * 3 + ["D"] * 30
+    monkeypatch.setattr(lexicon, "MAX_SCANNED_KEYWORDS", 2)
+    assert sorted(lexicon.match_substrings(texts, "id", "t", keywords).collect()) == sorted(got.collect())
+    assert lexicon.match_substrings(texts.limit(0), "id", "t", keywords).collect() == []
+
+
 RULE = {"id": "r", "name": "n", "priority": "high",
         "conditions": {"keywords": ["unable", "standby"], "speech_rate": ">200", "multiple_speakers": True}}
 
