@@ -8,7 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Takes the text column of an Arrow batch, gives one Python value per row.
+from squelch.llm.hashing import slices
+
+#: Text that ``make`` gets at once (or one longer text): its arrays over all words are many times as large.
+PART_BYTES = 8_000_000
+#: Takes the text column of a part of an Arrow batch, gives one Python value per row.
 PerText = Callable[[pa.Array], list]
 
 
@@ -30,7 +34,9 @@ def annotate(df: DataFrame, text: str, make: PerText, name: str, kind: str) -> D
 
         arrow = to_arrow_type(schema[-1].dataType)
         for batch in batches:
-            made = pa.array(make(batch.column(at)), arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
+            for first, stop, _, _ in slices(batch.column(at), PART_BYTES):
+                part = batch.slice(first, stop - first)
+                made = pa.array(make(part.column(at)), arrow)
+                yield pa.RecordBatch.from_arrays([*part.columns, made], [*batch.schema.names, name])
 
     return df.mapInArrow(run, schema)

@@ -9,8 +9,8 @@ word and of its neighbours, its transitions tie neighbours together. It is fitte
 ascent on at most ``SAMPLE_DOCUMENTS`` labelled documents (a documented bound); the word counts
 cover all of them.
 
-Scoring is one map over the documents: forward-backward over every whole text, all texts of an
-Arrow batch at once. Marginals of 0.5 or more are offending spans; a logistic function of the
+Scoring is one map over the documents: forward-backward over every whole text, some
+megabytes of texts at once. Marginals of 0.5 or more are offending spans; a logistic function of the
 largest marginal and the expected number of toxic tokens is the score.
 """
 

@@ -15,6 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from squelch.llm import decontaminate, hmm, jaccard, line_dedup, mixture, queries, simple8b, suffix_dedup, syncmers, toxicity
+from squelch.llm.annotate import annotate
 
 PATH = "/root/testdata/sf0.001"
 KIND = "doc_id long, text string, lang string, source string, n_chars int, spans string, row string"
@@ -309,3 +310,11 @@ def test_one_of_each_with_clashing_names(spark):
     out = jaccard.one_of_each(docs)
     assert out.columns == docs.columns
     assert Counter(tuple(r) for r in out.collect()) == Counter(r for r in rows if r[0] != 2)
+
+
+def test_annotated_texts_come_in_parts_of_bounded_size(spark):
+    long, short = "x" * 5_000_000, "y"
+    docs = spark.createDataFrame([(1, long), (2, None), (3, long), (4, short)], "doc_id long, text string").coalesce(1)
+    out = annotate(docs, "text", lambda texts: [len(texts)] * len(texts), "at_once", "bigint")
+    got = {r["doc_id"]: (r["at_once"], r["n"]) for r in out.select("doc_id", "at_once", F.length("text").alias("n")).collect()}
+    assert got == {1: (2, 5_000_000), 2: (2, None), 3: (2, 5_000_000), 4: (2, 1)}
