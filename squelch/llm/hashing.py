@@ -1,7 +1,7 @@
 """Words of whole Arrow batches and their 64-bit hashes, vectorised over the text bytes.
 
 A word's hash is a polynomial of random byte values modulo 2**64, taken from one running sum over
-the buffer, and then mixed. Functions here work on one slice of a batch, a few megabytes of text
+the buffer, and then mixed. Functions here work on one slice of a batch, half a megabyte of text
 (or one longer document), so memory has a bound.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _VALUES = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -104,8 +104,12 @@ def _ranks(counters: np.ndarray) -> np.ndarray:
     usual counts vary; it need not reach their level, which grows with the corpus.
     """
     low, usual, high = np.percentile(counters, [25, 50, 75])
-    above = (counters.astype(np.float32) - np.float32(usual)) / np.float32(max(4.0, 2.0 * (high - low)))
-    return np.clip(np.floor(np.log2(np.maximum(1.0, above, dtype=np.float32))), 0, 63).astype(np.uint8)
+    ranks = np.empty(len(counters), np.uint8)
+    step = COUNTERS // PARTS  # the driver holds the numbers in between of one part only
+    for at in range(0, len(counters), step):
+        above = (counters[at : at + step].astype(np.float32) - np.float32(usual)) / np.float32(max(4.0, 2.0 * (high - low)))
+        ranks[at : at + step] = np.clip(np.floor(np.log2(np.maximum(1.0, above, dtype=np.float32))), 0, 63)
+    return ranks
 
 
 def least_common(n: Column, percent: int) -> Column:

@@ -1,6 +1,7 @@
 """Line dedup through its keep bitmaps, against brute force; hot keys over many slices."""
 
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -68,3 +69,14 @@ def test_common_shingles_stand_out_however_full_the_counters():
         before = jaccard._ranks(counters)
         counters[7] += np.uint32(60 * max(1, mean**0.5))
         assert (before == 0).mean() > 0.99 and jaccard._ranks(counters)[7] >= 3
+
+
+def test_ranks_take_little_more_than_the_counters():
+    counters = np.random.default_rng(2).poisson(30, jaccard.COUNTERS).astype(np.uint32)
+    counters[::1000] *= 500
+    tracemalloc.start()
+    ranks = jaccard._ranks(counters)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * counters.nbytes
+    assert ranks[::1000].min() >= 6 and (np.delete(ranks, np.s_[::1000]) == 0).mean() > 0.99
