@@ -7,7 +7,9 @@ sets that reach the threshold share a token of their prefix, the first n - ceil(
 
 1. Classes with the same size and the same prefix collapse into one group.
 2. Groups that share a prefix token, with sizes and positions that admit the threshold, are group
-   pairs. The first round pairs a group only with a few leaders of each token: near copies of one
+   pairs: behind the token both sets have what is left of the smaller rest in common at most, before
+   it no more than the tokens that any other group has in its prefix. So of many copies with edits of
+   their own, each too far from the others, hardly any pairs are made. The first round pairs a group only with a few leaders of each token: near copies of one
    text are then mostly connected after a number of pairs linear in their number.
 3. Pairs are expanded to members. A parity sketch per class (every shingle toggles one bit) bounds
    the symmetric difference of two sets from below, so it refuses pairs without error before any
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from squelch.llm.annotate import fresh_name
@@ -273,10 +275,15 @@ def linked(
         .select("id", "n", F.posexplode("prefix").alias("at", "token"))
         .withColumn("at", F.col("at").cast("long"))
     )
-    leader = F.struct(F.xxhash64("id", F.pmod("token", F.lit(LEADERS))).alias("by"), "id", "n", "at")
-    heads = postings.groupBy("token").agg(F.count("*").alias("groups"), F.min(leader).alias("head"))
-    shared = stored(postings.join(heads.filter(F.col("groups") > 1), "token").drop("groups"), "postings")
-    star = _admitted(shared.select("*", F.col("head")["id"].alias("id2"), F.col("head")["n"].alias("n2"), F.col("head")["at"].alias("at2")), percent)
+    often = postings.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
+    # before: the tokens of the group in front of this one that other groups have in their prefixes
+    before = F.count("*").over(Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    shared = stored(postings.join(often, "token").withColumn("before", before), "postings")
+    # those with the fewest tokens of their own lead: edited copies link with what they were made from
+    by = (F.col("at") - F.col("before")).alias("own"), F.xxhash64("id", F.pmod("token", F.lit(LEADERS))).alias("by")
+    heads = shared.groupBy("token").agg(F.min(F.struct(*by, "id", "n", "at", "before")).alias("head"))
+    head = [F.col("head")[c].alias(c + "2") for c in ("id", "n", "at", "before")]
+    star = _admitted(shared.join(heads, "token").select("*", *head), percent)
     pairs = star.unionByName(members.select(F.col("lead").alias("a"), F.col("id").alias("b")).filter(F.col("a") != F.col("b")))
     # 3. and 4.
     if edges is not None:
@@ -327,15 +334,21 @@ def _texts(docs: DataFrame, needed: DataFrame, again: DataFrame | None, n: int)
     return rows.groupBy("id").agg(F.first("_text").alias("_text"))
 
 
+def _common(n: Column, n2: Column, percent: int) -> Column:
+    """The shingles that sets of these sizes have in common at least, if they reach the threshold."""
+    return F.ceil((n + n2) * percent / (100 + percent) - 1e-9)
+
+
 def _admitted(pairs: DataFrame, percent: int, *more: str) -> DataFrame:
     """Group pairs whose sizes and token positions leave room for the threshold: a, b, and the
     columns named in ``more`` of both as they are, with ``2`` for those of b.
     """
     small, large = F.least("n", "n2"), F.greatest("n", "n2")
     rest = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
-    common = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent) - 1e-9)
     found = pairs.filter(
-        (F.col("id") != F.col("id2")) & (small * 100 >= large * percent) & (rest + F.least("at", "at2") >= common)
+        (F.col("id") != F.col("id2"))
+        & (small * 100 >= large * percent)
+        & (rest + F.least("before", "before2") >= _common(F.col("n"), F.col("n2"), percent))
     )
     ordered = F.col("id") < F.col("id2")
     sides = [F.when(ordered, F.col(c)).otherwise(F.col(f"{c}2")).alias(c) for c in more]
@@ -386,8 +399,9 @@ def _open_pairs(
     shared: DataFrame, members: DataFrame, named: DataFrame, balls: DataFrame, round_: int, percent: int, last: bool
 ) -> DataFrame:
     """Pairs of members in different components. Before the last round, of each token and
-    component only one leader, drawn anew, meets the groups of other components. Group pairs are
-    refused by their sketches before they are expanded, and expanding leaves out members that
+    component only one leader, drawn anew, meets the groups of other components. Only groups that
+    could be the smaller of a pair by this token (``able``) lead, and in the last round each of them
+    meets the larger ones. Group pairs are refused by their sketches before they are expanded, and expanding leaves out members that
     share the one component of the other side.
     """
     whole = (
@@ -397,7 +411,7 @@ def _open_pairs(
         .withColumnRenamed("lead", "id")
     )
     groups = (
-        shared.select("token", "id", "n", "at")
+        shared.select("token", "id", "n", "at", "before")
         .join(named, "id")
         .join(whole, "id", "left")
         .withColumn("lo", F.coalesce("lo", "label"))
@@ -405,15 +419,17 @@ def _open_pairs(
         .drop("label")
     )
     mixed = groups.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l < h").select("token")
-    open_ = groups.join(mixed, "token")
-    if last:
-        one, other = open_, open_
-    else:
-        draw = F.struct(F.xxhash64(F.lit(round_), "id", F.pmod("token", F.lit(LEADERS))).alias("by"), "id", "n", "at", "hi")
-        one = open_
-        other = open_.groupBy("token", "lo").agg(F.min(draw).alias("_h")).select("token", "lo", "_h.id", "_h.n", "_h.at", "_h.hi")
-    other = other.select("token", *[F.col(c).alias(c + "2") for c in ("id", "n", "at", "lo", "hi")])
+    one = groups.join(mixed, "token")
+    # the smaller one needs no less than two sets of its size would
+    other = one.filter(F.col("n") - F.col("at") + F.col("before") >= _common(F.col("n"), F.col("n"), percent))
+    carried = ("id", "n", "at", "before", "hi")
+    if not last:
+        draw = F.struct(F.xxhash64(F.lit(round_), "id", F.pmod("token", F.lit(LEADERS))).alias("by"), *carried)
+        other = other.groupBy("token", "lo").agg(F.min(draw).alias("_h")).select("token", "lo", *[f"_h.{c}" for c in carried])
+    other = other.select("token", *[F.col(c).alias(c + "2") for c in (*carried, "lo")])
     met = one.join(other, "token").filter((F.col("lo") != F.col("lo2")) | (F.col("hi") != F.col("hi2")) | (F.col("lo") != F.col("hi")))
+    if last:
+        met = met.filter(F.struct("n2", "id2") < F.struct(F.col("n").alias("n2"), F.col("id").alias("id2")))
     pairs = cut(_apart(_admitted(met, percent, "lo", "hi").distinct(), balls, percent))
     of = members.select("id", "lead")
     full = named.join(of, "id", "left").select(F.coalesce("lead", "id").alias("lead"), F.col("id").alias("_m"), "label")

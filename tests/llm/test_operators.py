@@ -45,6 +45,26 @@ def test_jaccard(name, request):
     assert {tuple(r) for r in jaccard.linked(docs).collect()} == brute.components(pairs(docs))
 
 
+def test_copies_with_edits_of_their_own_make_no_pairs_of_each_with_each(spark, monkeypatch):
+    random = np.random.default_rng(4)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(200):
+        words = list(base)
+        for at in random.choice(37, 4 if i % 4 else 1, replace=False) * 4 + 1:
+            words[at] = f"edit{i}at{at}"
+        texts.append((i, " ".join(words)))
+    made, apart = [], jaccard._apart
+
+    def counted(pairs, *more):
+        made.append(pairs.count())
+        return apart(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "_apart", counted)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {tuple(r) for r in jaccard.linked(docs).collect()} == brute.components(texts)
+    assert sum(made) < 10 * len(texts)
+
+
 def repeats(docs):
     out = suffix_dedup.remove_repeats(docs)
     return {tuple(r) for r in out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
