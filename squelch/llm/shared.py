@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 1_000_000
+#: Rows of texts that go to a Python worker at once: the JVM and the worker hold such batches in full, in both directions.
+BATCH_ROWS = 500
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +38,16 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> str:
+    """From now on at most ``rows`` rows come in one Arrow batch; returns the setting before. Spark
+    reads it when a plan runs, so it stays set, and a smaller one of the session is kept.
+    """
+    before = spark.conf.get(BATCH_SETTING)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(BATCH_SETTING, str(rows))
+    return before
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder: computed once, no lineage, survives lost executors."""
     shared_folder(df.sparkSession)

@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from squelch.llm.hashing import _VALUES, mix
-from squelch.llm.shared import fresh_folder
+from squelch.llm.shared import BATCH_SETTING, bounded_batches, fresh_folder
 
 LENGTH = 50
 GRAM = 20
 RUN_BYTES = 8_000_000
 SPLITTER_DOCUMENTS = 2000
 RANGE_BYTES = 8_000_000
+#: Pieces of runs (some 250 KB each) that go to a merging worker at once.
+PIECES = 64
 #: Different records of one gram that a task holds (some 100 MB).
 GROUP_RECORDS = 1 << 18
 #: From so many records on a gram is compared in arrays.
@@ -535,7 +537,12 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     borders = _splitters(docs, ranges)
     sent = docs.select("_id", "_row", "_text").mapInArrow(_runs(borders), SENT).repartition(ranges, "part")
     folder = fresh_folder(spark, "repeats")
-    sent.mapInArrow(_merge(borders), FOUND).write.parquet(folder)
+    bounded_batches(spark)
+    before = bounded_batches(spark, PIECES)
+    try:
+        sent.mapInArrow(_merge(borders), FOUND).write.parquet(folder)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     found = spark.read.schema(FOUND).parquet(folder)
     single = found.filter(F.col("string").isNotNull())
     first = single.groupBy("string").agg(F.min("id").alias("_first"), F.max("id").alias("_last")).filter("_first < _last")

@@ -101,6 +101,30 @@ def test_repeats_with_many_runs_and_large_grams(documents, monkeypatch):
     assert repeats(edited) == want == brute.repeats(pairs(edited))
 
 
+def test_merging_workers_get_few_pieces_at_once(spark, documents, monkeypatch):
+    make = suffix_dedup._merge
+
+    def patched(borders):
+        merge = make(borders)
+
+        def run(batches):
+            def checked():
+                for batch in batches:
+                    if batch.num_rows > suffix_dedup.PIECES:
+                        raise ValueError(f"{batch.num_rows} rows at once")
+                    yield batch
+
+            yield from merge(checked())
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_merge", patched)
+    monkeypatch.setattr(suffix_dedup, "RUN_BYTES", 2_000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    some = documents.filter("doc_id < 150")
+    assert repeats(some) == brute.repeats(pairs(some))
+
+
 def test_loser_tree_orders_all_records():
     rng = np.random.default_rng(3)
     runs = []
