@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from squelch.llm.hashing import slices
+from squelch.llm.shared import bounded_batches
 
 #: Text that ``make`` gets at once (or one longer text): its arrays over all words are many times as large.
 PART_BYTES = 8_000_000
@@ -28,6 +29,7 @@ def annotate(df: DataFrame, text: str, make: PerText, name: str, kind: str) -> D
     """``df`` with a column ``name`` of type ``kind`` (DDL)."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
     at = df.columns.index(text)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type

@@ -356,6 +356,13 @@ def test_one_of_each_with_clashing_names(spark):
     assert Counter(tuple(r) for r in out.collect()) == Counter(r for r in rows if r[0] != 2)
 
 
+def test_annotated_texts_come_in_batches_of_bounded_size(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    docs = spark.range(3000).coalesce(1).select(F.col("id"), F.lit("a b").alias("text"))
+    out = annotate(docs, "text", lambda column: [len(column)] * len(column), "rows", "int")
+    assert out.agg(F.count("*"), F.max("rows")).first()[:] == (3000, 500)
+
+
 def test_annotated_texts_come_in_parts_of_bounded_size(spark):
     long, short = "x" * 5_000_000, "y"
     docs = spark.createDataFrame([(1, long), (2, None), (3, long), (4, short)], "doc_id long, text string").coalesce(1)
