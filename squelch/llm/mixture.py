@@ -120,10 +120,11 @@ def slots(spark: SparkSession, plan: list[Source], seed: int, block: int = BLOCK
     for n in wanted:
         cum += n
         cumulated.append(cum)
-    shards = spark.range(0, -(-total // shard_slots), 1).withColumnRenamed("id", "shard")
+    # a range of all slots, not shards exploded: Spark takes an explode for as small as what is below it,
+    # and would send the slots, which grow with the input, to the driver as the smaller side of a join
+    numbers, n = spark.range(0, total, 1), F.lit(shard_slots).cast("long")
     drawn = (
-        shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(shard_slots - 1))).alias("slot"))
-        .filter(F.col("shard") * shard_slots + F.col("slot") < total)
+        numbers.select(F.floor(F.col("id") / n).alias("shard"), F.pmod("id", n).cast("int").alias("slot"))
         .withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), "shard", "slot"), F.lit(max(1, total))))
         .withColumn("s", _below(cumulated, F.col("_u")))
     )

@@ -256,6 +256,22 @@ def test_repeated_rows_carry_out_the_mix(spark):
     assert sorted((r["doc_id"], r["text"]) for r in out if r["doc_id"] >= 900) == [(900, " \n"), (901, None)]
 
 
+def test_mixture_slots_are_not_sent_to_the_driver(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        plan = [mixture.Source("a", 5_000_000, 1, 8e6 + 5), mixture.Source("b", 4_000_000, 1, 4e6)]
+        made = mixture.slots(spark, plan, 7)
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+        got = made.groupBy("s").agg(F.count("*"), F.sum("words"), F.count_distinct("shard", "slot"), F.max("block")).collect()
+        assert {tuple(r) for r in got} == {(0, 62501, 8_000_005, 62501, 39062), (1, 31250, 4_000_000, 31250, 31249)}
+        last = made.agg(F.max(F.col("shard") * mixture.SHARD_SLOTS + F.col("slot")), F.max("slot")).first()
+        assert tuple(last) == (93750, mixture.SHARD_SLOTS - 1)
+        assert dict(made.dtypes) == {"shard": "bigint", "slot": "int", "s": "int", "block": "bigint", "words": "bigint"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_awkward_lines_and_syncmers(awkward):
     assert line_dedup.dedup_lines(awkward).count() == awkward.count()
     rows = syncmers.compare_neighbours(awkward).select(syncmers.fingerprint(F.col("anchors")).alias("f"), "doc_id", "near_next").collect()
