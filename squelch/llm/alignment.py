@@ -34,9 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from squelch.llm.shared import cut, stored
+from squelch.llm.shared import BATCH_SETTING, bounded_batches, cut, stored
 
 BLOCK_BYTES = 4_000_000
+#: Characters of a block's texts that are cut and counted together: a worker holds their parts as objects.
+STEP = 500_000
 CACHED_PARTS = 400_000
 #: Characters of one joined text, joined texts encoded in one call, and the links up to which a
 #: group is written out inside a worker.
@@ -50,6 +52,8 @@ MARKS = ".,!?;:#$%&*|"
 ENDED = re.compile(r"\S\n?\Z")
 BLOCKS = """block bigint, doc_ids array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>,
 n_links array<bigint>, shas array<string>, held array<int>, places binary, times binary, pairs array<bigint>, docs array<int>"""
+#: Types in which a block's numbers of links are kept, by their bytes.
+WIDTHS = {1: "<u1", 2: "<u2", 4: "<u4", 8: "<i8"}
 RESULT = """doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint,
 groups_sha256 string"""
 
@@ -78,6 +82,26 @@ def token_ends(starts: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.
     return refined if np.array_equal(refined, along) else along
 
 
+class _Grown:
+    """An array that gets more rows at its end without a copy of the whole each time."""
+
+    def __init__(self, start: np.ndarray):
+        self.room, self.n = start, len(start)
+
+    def add(self, more: np.ndarray) -> None:
+        n = self.n + len(more)
+        if n > len(self.room):
+            room = np.empty((n + n // 4, *self.room.shape[1:]), self.room.dtype)
+            room[: self.n] = self.held
+            self.room = room
+        self.room[self.n : n] = more
+        self.n = n
+
+    @property
+    def held(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class Aligner:
     """Aligned parts of texts, kept while there is room. Per part: n_a, n_b, n_groups, n_links,
     its groups as text, and its id pairs (A id * size of B + B id) with how often each is linked.
@@ -113,9 +137,9 @@ class Aligner:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.shown: list[str] = []
-        self.sizes = np.zeros((0, 4), np.int64)
-        self.first = np.zeros(1, np.int64)
-        self.codes, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.sizes = _Grown(np.zeros((0, 4), np.int64))
+        self.first = _Grown(np.zeros(1, np.int64))
+        self.codes, self.times = (_Grown(np.zeros(0, np.int64)) for _ in range(2))
 
     def learn(self, parts: list[str]) -> None:
         """Encode new parts: those with a blank in front many at once, as they stand in texts, and
@@ -127,21 +151,21 @@ class Aligner:
         # larger batches first, since halves of a failed one are put behind
         batches = [b for led in (True, False) for b in _batches([p for p in plain if (p[0] == " ") == led])]
         batches += [[p] for p in single]
-        made = [[self.sizes], [np.diff(self.first)], [self.codes], [self.times]]
+        none = np.zeros(0, np.int64)
         while batches:
             some, batches = batches[:ENCODED], batches[ENCODED:]
             for batch, found in zip(some, self._aligned(some), strict=True):
                 if found is None and len(batch) > 1:
                     batches += [batch[: len(batch) // 2], batch[len(batch) // 2 :]]
                     continue
-                sizes, shown, *rest = found or (np.array([[-1, 0, 0, 0]]), [""], np.zeros(1, np.int64), self.codes[:0], self.times[:0])
+                sizes, shown, widths, codes, times = found or (np.array([[-1, 0, 0, 0]]), [""], np.zeros(1, np.int64), none, none)
                 for part in batch:
                     self.known[part] = len(self.known)
                 self.shown += shown
-                for kept, one in zip(made, (sizes, *rest), strict=True):
-                    kept.append(one)
-        self.sizes, widths, self.codes, self.times = map(np.concatenate, made)
-        self.first = np.cumsum(np.append(0, widths))
+                self.sizes.add(sizes)
+                self.first.add(self.codes.n + np.cumsum(widths))
+                self.codes.add(codes)
+                self.times.add(times)
 
     def _aligned(self, batches: list[list[str]]) -> list[tuple | None]:
         whole = [batch if batch[0][0] == " " else [x for p in batch for x in ("\n", p)] for batch in batches]
@@ -215,6 +239,26 @@ class Aligner:
 
     def block(self, texts: list[str | None]) -> dict:
         """The columns of a block's row but its id and doc_ids."""
+        made, first, size = [], 0, 0
+        for end, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size >= STEP or end == len(texts):
+                made.append(self._counted(texts[first:end]))
+                first, size = end, 0
+        sums, shas, held, codes, times = zip(*made, strict=True)
+        sums, total = np.concatenate(sums), np.concatenate(times)
+        pairs, at = np.unique(np.concatenate(codes), return_inverse=True)
+        return {
+            "n_a": sums[:, 0], "n_b": sums[:, 1], "n_groups": sums[:, 2], "n_links": sums[:, 3],
+            "shas": list(chain.from_iterable(shas)), "held": np.concatenate(held), "places": at.astype("<i4").tobytes(),
+            "times": total.astype("<i8").tobytes(), "pairs": (pairs // self.base << 32) | (pairs % self.base),
+            "docs": np.bincount(at, minlength=len(pairs)),
+        }
+
+    def _counted(self, texts: list[str | None]) -> tuple:
+        """Per text its sums and hash and the number of its id pairs; then these pairs in order, text
+        after text, with how often each is linked.
+        """
         split = [self.parts.split(" " + t) if t else [] for t in texts]
         wanted = set().union(*split)
         new = wanted.difference(self.known)
@@ -226,10 +270,10 @@ class Aligner:
         lengths = np.array([len(parts) for parts in split], np.int64)
         owner = np.repeat(np.arange(len(texts)), lengths)
         part = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, len(owner))
-        size = self.sizes[part]
+        size = self.sizes.held[part]
         bad = np.bincount(owner[size[:, 0] < 0], minlength=len(texts)) > 0
         keep = ~bad[owner]
-        sums = [np.bincount(owner[keep], size[keep, i], len(texts)).astype(np.int64) for i in range(4)]
+        sums = np.stack([np.bincount(owner[keep], size[keep, i], len(texts)).astype(np.int64) for i in range(4)], axis=1)
         shas, edges, numbers = [], np.cumsum([0, *lengths]).tolist(), part.tolist()
         for i, (first, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if first == end or bad[i]:
@@ -241,18 +285,13 @@ class Aligner:
         kinds = max(1, len(self.shown))
         both, often = np.unique(owner[keep] * kinds + part[keep], return_counts=True)
         which = both % kinds
-        start, wide = self.first[which], np.diff(self.first)[which]
+        start = self.first.held[which]
+        wide = self.first.held[which + 1] - start
         take = np.repeat(start - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
-        pairs, place = np.unique(self.codes[take], return_inverse=True)
+        pairs, place = np.unique(self.codes.held[take], return_inverse=True)
         n = max(1, len(pairs))
-        key, total = _summed(np.repeat(both // kinds, wide) * n + place, self.times[take] * np.repeat(often, wide))
-        doc, at = key // n, key % n
-        return {
-            "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3], "shas": shas,
-            "held": np.bincount(doc, minlength=len(texts)), "places": at.astype("<i4").tobytes(),
-            "times": total.astype("<i8").tobytes(), "pairs": (pairs // self.base << 32) | (pairs % self.base),
-            "docs": np.bincount(at, minlength=len(pairs)),
-        }
+        key, total = _summed(np.repeat(both // kinds, wide) * n + place, self.times.held[take] * np.repeat(often, wide))
+        return sums, shas, np.bincount(key // n, minlength=len(texts)), pairs[key % n], total
 
 
 def _batches(parts: list[str]) -> Iterator[list[str]]:
@@ -272,6 +311,17 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(values, first) if len(first) else values[:0]
 
 
+def _narrowed(times: bytes) -> bytes:
+    """Numbers of links in the smallest type of ``WIDTHS`` that holds them all."""
+    values = np.frombuffer(times, "<i8")
+    return values.astype(next(kind for kind in WIDTHS.values() if values.max(initial=0) <= np.iinfo(kind).max)).tobytes()
+
+
+def _widened(times: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers that ``_narrowed`` gave."""
+    return np.frombuffer(times, WIDTHS[len(times) // n] if n else "<i8").astype(np.int64)
+
+
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
@@ -312,11 +362,16 @@ def align(documents: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
         aligner, block = _aligner(a_path, b_path), TaskContext.get().partitionId() << 32
         for ids, texts in _runs(batches):
             row = {"block": block, "doc_ids": ids, **aligner.block(texts)}
+            row["times"] = _narrowed(row["times"])
             yield pa.RecordBatch.from_arrays([pa.array([row[name]], kind) for name, kind in kinds.items()], [*kinds])
             block += 1
 
     chosen = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    blocks = stored(chosen.mapInArrow(encode, BLOCKS), "aligned")
+    before = bounded_batches(documents.sparkSession)
+    try:
+        blocks = stored(chosen.mapInArrow(encode, BLOCKS), "aligned")
+    finally:
+        documents.sparkSession.conf.set(BATCH_SETTING, before)
     listed = blocks.select("block", F.explode(F.arrays_zip("pairs", "docs")).alias("p")).select(
         "block", F.col("p.pairs").alias("pair"), F.col("p.docs").alias("docs")
     )
@@ -333,7 +388,8 @@ def align(documents: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
         order = np.argsort(counted.column("pair").to_numpy())
         n = counted.column("n").to_numpy()[order]
         best = counted.column("best").to_numpy(zero_copy_only=False)[order]
-        places, times = np.frombuffer(row["places"], "<i4"), np.frombuffer(row["times"], "<i8")
+        places = np.frombuffer(row["places"], "<i4")
+        times = _widened(row["times"], len(places))
         doc = np.repeat(np.arange(len(row["doc_ids"])), row["held"])
         n_best, count_sum = (np.zeros(len(row["doc_ids"]), np.int64) for _ in range(2))
         np.add.at(n_best, doc, times * best[places])

@@ -1,5 +1,7 @@
 """Token alignment against whole texts encoded at once."""
 
+import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -71,3 +73,40 @@ def test_long_groups_are_not_written_out(tokenizers, monkeypatch):
         (want,) = brute.aligned([(1, text)], *tokenizers)
         got = aligner.block([text])
         assert int(got["n_links"][0]) == want[4] == np.frombuffer(got["times"], "<i8").sum() and got["shas"] == [want[7]]
+
+
+def test_a_block_is_taken_in_steps_of_little_memory(tokenizers, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgé", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = [None, "", *(" ".join(rng.choices(words, k=1500)) for _ in range(60)), "a\x00b", "one"]
+    aligner = alignment.Aligner(A, B)
+
+    def measured(step):
+        monkeypatch.setattr(alignment, "STEP", step)
+        aligner.block(texts)
+        tracemalloc.start()
+        made = aligner.block(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return {k: bytes(v) if isinstance(v, bytes) else [*v] for k, v in made.items()}, peak
+
+    whole, most = measured(1 << 40)
+    steps, peak = measured(20_000)
+    assert steps == whole and peak < most / 3
+    assert sum(np.frombuffer(whole["times"], "<i8")) == sum(whole["n_links"]) > 0
+
+
+@pytest.mark.parametrize("most, width", [(255, 1), (256, 2), (65_536, 4), (1 << 32, 8)])
+def test_numbers_of_links_come_back(most, width):
+    times = np.array([1, most, 7], "<i8")
+    kept = alignment._narrowed(times.tobytes())
+    assert len(kept) == 3 * width and alignment._widened(kept, 3).tolist() == [1, most, 7]
+    assert len(alignment._widened(alignment._narrowed(b""), 0)) == 0
+
+
+def test_few_texts_come_in_one_batch(spark, tokenizers, monkeypatch):
+    before, seen = spark.conf.get(alignment.BATCH_SETTING), []
+    write = alignment.stored
+    monkeypatch.setattr(alignment, "stored", lambda *x: seen.append(int(spark.conf.get(alignment.BATCH_SETTING))) or write(*x))
+    alignment.align(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), A, B)
+    assert seen == [500] and spark.conf.get(alignment.BATCH_SETTING) == before
