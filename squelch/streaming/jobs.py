@@ -56,7 +56,8 @@ def read_stored_stream(
     """
     path = path.rstrip("/")
     place = "/" + path.split(":", 1)[-1].lstrip("/")
-    files = spark.read.schema(schema).parquet(path).inputFiles()
+    # listed as binary files: the plan of a table that is cached names no files
+    files = spark.read.format("binaryFile").load(path).inputFiles()
     if len(files) == 1 and unquote(files[0]).endswith(place):
         folder, name = path.rsplit("/", 1)
         return read_table_stream(spark, folder, name, schema, max_files)

@@ -111,3 +111,16 @@ def test_a_queue_without_files_is_an_empty_table(spark, tmp_path):
     (tmp_path / "none").mkdir()
     stream = jobs.read_table_stream(spark, str(tmp_path / "none"), "*", "id long")
     assert drained(spark, stream) == []
+
+
+def test_a_cached_table_is_streamed_all_the_same(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/made")
+    (part,) = (tmp_path / "made").glob("part-*.parquet")
+    one = f"{tmp_path}/one.parquet"
+    part.rename(one)
+    table = spark.read.parquet(one).cache()
+    assert table.count() == 5
+    stream = jobs.read_stored_stream(spark, one, table.schema, 1)
+    drained = jobs.drain_queue(stream, lambda batch: batch.select("id", F.lit(None).cast("string").alias("error")), "cached")
+    assert drained.count() == 5
+    table.unpersist()
